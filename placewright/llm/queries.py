@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from placewright.llm import bpe, packing, toxicity
+from placewright.llm import bpe, bwt_repeats, fm_repeats, packing, toxicity
 from placewright.llm.staging import table
 
 
@@ -21,10 +21,18 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_fm_index_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_repeats.digests(table(spark, sf_dir, "documents"), window=50)
+
+
+def op9_bwt_interval_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_repeats.digests(table(spark, sf_dir, "documents"), length=200)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_bpe_round_trip, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_bpe_round_trip, op8_fm_index_repeats, op9_bwt_interval_repeats, op10_toxicity)}
 ORACLES: dict[str, str] = {}
