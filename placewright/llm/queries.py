@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from placewright.llm import bpe, bwt_repeats, fm_repeats, packing, toxicity
+from placewright.llm import bpe, bwt_repeats, flac, fm_repeats, packing, toxicity, weighted_minhash
 from placewright.llm.staging import table
 
 
@@ -17,10 +17,18 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(), capacity=1024, end_id=2)
 
 
+def op3_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.read_back(flac.store(table(spark, sf_dir, "documents")))
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_minhash.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8, size=5)
+
+
 def op8_fm_index_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_repeats.digests(table(spark, sf_dir, "documents"), window=50)
 
@@ -34,5 +42,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_bpe_round_trip, op8_fm_index_repeats, op9_bwt_interval_repeats, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_flac, op4_bpe_round_trip, op7_weighted_minhash, op8_fm_index_repeats, op9_bwt_interval_repeats, op10_toxicity)}
 ORACLES: dict[str, str] = {}
