@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from placewright.llm import bpe, bwt_repeats, flac, fm_repeats, packing, toxicity, weighted_minhash
+from placewright.llm import bpe, bwt_repeats, flac, fm_repeats, main_text, packing, stable_projections, toxicity, weighted_minhash
 from placewright.llm.staging import table
 
 
@@ -13,6 +13,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_stable_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stable_projections.nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(), capacity=1024, end_id=2)
 
@@ -25,6 +29,10 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_minhash.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8, size=5)
 
@@ -42,5 +50,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_flac, op4_bpe_round_trip, op7_weighted_minhash, op8_fm_index_repeats, op9_bwt_interval_repeats, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_stable_projections, op2_best_fit_packing, op3_flac, op4_bpe_round_trip, op6_main_text, op7_weighted_minhash, op8_fm_index_repeats, op9_bwt_interval_repeats, op10_toxicity)}
 ORACLES: dict[str, str] = {}
