@@ -92,9 +92,40 @@ def cut_text(text: bytes, ranges: list[dict] | None) -> tuple[list[tuple[int, in
 
 
 def with_ranges(docs: DataFrame, length: int) -> DataFrame:
-    """``docs`` with ``ranges`` of bytes to remove (null: none)."""
+    """``docs`` with ``_ranges`` of bytes to remove (null: none)."""
     found = repeated_ranges(docs, length, ANCHOR, False, True, lambda shard: search(shard, length))
-    return docs.join(found.withColumnRenamed("doc_id", "_of"), F.col("doc_id").cast("long") == F.col("_of"), "left").drop("_of")
+    return docs.join(found.select(F.col("doc_id").alias("_of"), F.col("ranges").alias("_ranges")), F.col("doc_id").cast("long") == F.col("_of"), "left").drop("_of")
+
+
+def drop_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
+    """``docs`` with the repeats taken out of ``text``; characters that a range covers in part stay, so texts stay
+    texts. ``n_chars``, if there, is the new length. Null texts stay null."""
+    names, counted = docs.columns, "n_chars" in docs.columns
+    joined = with_ranges(docs.withColumn("text", F.col("text").cast("string")), length)
+
+    def whole(text: bytes, first: int, end: int) -> tuple[int, int]:
+        while first < end and text[first] & 0xC0 == 0x80:
+            first += 1
+        while end < len(text) and first < end and text[end] & 0xC0 == 0x80:
+            end -= 1
+        return first, end
+
+    def run(batches):
+        for batch in batches:
+            texts, sizes = batch.column("text").to_pylist(), batch.column("n_chars").to_pylist() if counted else []
+            for i, own in enumerate(batch.column("_ranges").to_pylist()):
+                if own and texts[i] is not None:
+                    raw = texts[i].encode()
+                    gone = [whole(raw, a, b) for a, b in merged([(r["first"], r["end"]) for r in own])]
+                    texts[i] = cut_text(raw, [{"first": a, "end": b} for a, b in gone])[1].decode("utf-8")
+                    if counted:
+                        sizes[i] = len(texts[i])
+            columns = {name: batch.column(name) for name in names} | {"text": pa.array(texts, pa.string())}
+            if counted:
+                columns["n_chars"] = pa.array(sizes, batch.column("n_chars").type)
+            yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
+
+    return joined.mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)
 
 
 def _cut(docs: DataFrame, length: int, digest: bool) -> DataFrame:
@@ -103,7 +134,7 @@ def _cut(docs: DataFrame, length: int, digest: bool) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for text, own in zip(utf8(batch.column("text")), batch.column("ranges").to_pylist(), strict=True):
+            for text, own in zip(utf8(batch.column("text")), batch.column("_ranges").to_pylist(), strict=True):
                 gone, kept = cut_text(text, own)
                 rows.append((len(text), sum(b - a for a, b in gone), len(gone), hashlib.sha256(kept).hexdigest() if digest else kept))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 4

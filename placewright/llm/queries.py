@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from placewright.llm import bpe, bwt_repeats, flac, fm_repeats, main_text, packing, stable_projections, toxicity, weighted_minhash
+from placewright.llm import bpe, bwt_repeats, flac, fm_repeats, line_dedup, main_text, packing, stable_projections, toxicity, weighted_minhash
 from placewright.llm.staging import table
 
 
@@ -29,6 +29,10 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(table(spark, sf_dir, "pages"))
 
@@ -50,5 +54,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_stable_projections, op2_best_fit_packing, op3_flac, op4_bpe_round_trip, op6_main_text, op7_weighted_minhash, op8_fm_index_repeats, op9_bwt_interval_repeats, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_stable_projections, op2_best_fit_packing, op3_flac, op4_bpe_round_trip, op5_line_dedup, op6_main_text, op7_weighted_minhash, op8_fm_index_repeats, op9_bwt_interval_repeats, op10_toxicity)}
 ORACLES: dict[str, str] = {}
