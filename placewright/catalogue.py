@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from placewright.plans import checks, names, places, relations  # noqa: F401
+from placewright.plans.registry import ORACLES, QUERIES  # noqa: F401
