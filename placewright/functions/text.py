@@ -94,7 +94,7 @@ def title(c: Column) -> Column:
     """Title case that keeps mixed case and numerals, and leaves particles small but at the start."""
     def word(w, i):
         low = F.lower(w)
-        return F.when(w.rlike("^[IVXLC]+$"), w).when((i > 0) & low.isin(*PARTICLES), low).when(w != F.upper(w), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w)))))
+        return F.when(w.rlike("^[IVXLC]+$"), w).when((i > 0) & low.isin(*PARTICLES), low).when((w != F.upper(w)) & (w != low), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w)))))
     return F.array_join(F.transform(F.split(clean(c), r"\s+"), word), " ")
 
 
