@@ -62,7 +62,10 @@ def components(pairs: DataFrame, rounds: int = 40) -> DataFrame:
     labels = checkpointed(both.groupBy("left").agg(F.least(F.first("left"), F.min("right")).alias("component")).withColumnRenamed("left", "sid"))
     for _ in range(rounds):
         near = both.join(labels.withColumnRenamed("sid", "right"), "right").groupBy(F.col("left").alias("sid")).agg(F.min("component").alias("near"))
-        after = checkpointed(labels.join(near, "sid").select("sid", F.col("component").alias("was"), F.least("component", "near").alias("component")))
+        better = labels.join(near, "sid").select("sid", F.col("component").alias("was"), F.least("component", "near").alias("component"))
+        # A label's own label: chains shorten by half each round.
+        jump = labels.select(F.col("sid").alias("component"), F.col("component").alias("jumped"))
+        after = checkpointed(better.join(jump, "component").select("sid", "was", F.least("component", "jumped").alias("component")))
         if not after.where("was <> component").limit(1).count():
             return labels
         labels = after.select("sid", "component")

@@ -192,15 +192,15 @@ def candidate_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as building records: a few names and addresses on a plane of a kilometre."""
+    """Parts as building records: a few names and addresses on a plane of four kilometres."""
     k = F.col("p_partkey")
     return table(spark, sf_dir, "part").select(
         k.alias("id"), F.concat_ws(" ", F.col("p_type"), F.lit("Hall")).alias("name"), F.lit("").alias("name_zh"), F.when(k % 3 == 0, F.concat(F.lit("No. "), (k % 40).cast("string"), F.lit(" Rte. Nord"))).when(k % 3 == 1, F.lit("Rue du Sud")).otherwise(F.lit("")).alias("address"),
-        ((k * 7919) % 1000).cast("double").alias("x"), ((k * 104729) % 1000).cast("double").alias("y"), (F.lit(1850) + F.col("p_size")).alias("start_year"), (k % 4).cast("int").alias("n_types"))
+        ((k * 7919) % 4000).cast("double").alias("x"), ((k * 104729) % 4000).cast("double").alias("y"), (F.lit(1850) + F.col("p_size")).alias("start_year"), (k % 4).cast("int").alias("n_types"))
 
 
 @query("""
-WITH r AS (SELECT p_partkey AS id, ((p_partkey * 7919) % 1000)::DOUBLE AS x, ((p_partkey * 104729) % 1000)::DOUBLE AS y, CASE p_partkey % 3 WHEN 0 THEN 'ROUTE NORD|' || (p_partkey % 40) WHEN 1 THEN 'RUE DU SUD' END AS a, replace(upper(p_type), ' ', '') || 'HALL' AS c FROM part),
+WITH r AS (SELECT p_partkey AS id, ((p_partkey * 7919) % 4000)::DOUBLE AS x, ((p_partkey * 104729) % 4000)::DOUBLE AS y, CASE p_partkey % 3 WHEN 0 THEN 'ROUTE NORD|' || (p_partkey % 40) WHEN 1 THEN 'RUE DU SUD' END AS a, replace(upper(p_type), ' ', '') || 'HALL' AS c FROM part),
 p AS (SELECT l.id AS a, r.id AS b, sqrt(pow(l.x - r.x, 2) + pow(l.y - r.y, 2)) AS d, l.a = r.a AS same, contains(l.a, '|') AS numbered, l.c = r.c OR (least(length(l.c), length(r.c)) >= 6 AND abs(length(l.c) - length(r.c)) <= 2 AND levenshtein(l.c, r.c) <= greatest(1, floor(least(length(l.c), length(r.c)) / 10.0))) AS near FROM r l JOIN r ON l.id < r.id AND abs(l.x - r.x) <= 250 AND abs(l.y - r.y) <= 250),
 k AS (SELECT *, CASE WHEN same AND numbered AND d <= 250 THEN 'same-numbered-address-within-radius' WHEN same AND NOT numbered AND d <= 30 THEN 'same-unnumbered-address-within-radius' WHEN d <= 8 AND near THEN 'nearby-semantic-variant' END AS code FROM p)
 SELECT lpad(a::VARCHAR, 12, '0') AS "left", lpad(b::VARCHAR, 12, '0') AS "right", code, round(d, 3) AS distance FROM k WHERE code IS NOT NULL""")
