@@ -11,9 +11,10 @@ Document frequencies are counted over all documents in ``cells`` hashed cells (f
 share has a fixed size at any scale). A shingle's frequency is that of its cell.
 
 Groups are classes of documents joined by links of at least ``threshold``. No pairs are made within a group: texts that
-are equal word for word are one text; in each band bucket all are verified against the least one (round one), and only
-texts that this leaves apart are verified against the others of their bucket (round two), so any candidate pair is
-either in one class already or verified itself.
+are equal word for word are one text; in each band bucket all are verified against its most central text, and then against
+the most central one of those that this leaves apart. At last the texts that are still outside their bucket's main class
+are compared with the others of their bucket, so any candidate pair is in one class or compared itself. Only a crowd of
+texts that share buckets but resemble each other less than the threshold makes many pairs.
 
 Defined results: null, empty and wordless texts are never linked, not even to each other; a text equal to another one
 (up to case and white space) is in its class; the class's number is its least doc_id; doc_id is the key. Other columns
@@ -221,45 +222,61 @@ def classes(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 12, rows: int = 3, cells: int = 1 << 18) -> DataFrame:
-    """``doc_id, class_id, n_links`` of every row: the least doc_id of its class, and how many verified links its text has."""
+    """``doc_id, class_id, n_verified`` of every row: the least doc_id of its class, and how many links of its text were verified (within a class not all need be)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = spark.sparkContext.broadcast(idf(*document_frequencies(docs, size, cells)))  # ``cells`` numbers
     signed = staged(signatures(docs, table, size, bands, rows), "signatures")
     # Equal texts: the least document of each stands for all.
     whole = signed.where("whole IS NOT NULL").groupBy("whole").agg(F.min("doc_id").alias("rep"))
-    keys = signed.where("whole IS NOT NULL").select("doc_id", F.explode("keys").alias("key"))
-    leaders = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("most")).where("a < most").drop("most")
-    shared = keys.join(leaders, "key").join(whole.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    shared = staged(shared.select("key", F.col("a"), F.col("doc_id").alias("b")), "buckets")
+    keys = signed.where("whole IS NOT NULL").select("doc_id", "whole", F.explode("keys").alias("key")).join(whole.select("whole", F.col("rep").alias("doc_id")), ["whole", "doc_id"], "left_semi")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = keys.join(sizes, "key").select("key", F.col("doc_id").alias("b"), "n")
+    # How central a text is: the sizes of all its buckets together. What others were copied from is in the largest ones.
+    central = shared.groupBy("b").agg(F.sum("n").alias("central"))
+    members = staged(shared.select("key", "b").join(central, "b"), "buckets")
     # Only texts that share a bucket are ever compared: they are picked out once.
-    texts = staged(docs.join(shared.select(F.col("b").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text"), "texts")
-    first = shared.where("a < b").select("a", "b").distinct()
-    links = staged(verified(first, texts, table, size, threshold), "links")
-    apart, known = unresolved(shared, links)
-    if apart is not None:
-        links = links.unionByName(staged(verified(apart, texts, table, size, threshold), "links"))
-        known = classes(links)
+    texts = staged(docs.join(members.select(F.col("b").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text"), "texts")
+    links, known = compared(members, lambda pairs: staged(verified(pairs, texts, table, size, threshold), "links"))
     # A document's class is its text's; what has no link is alone with its copies.
     of_text = whole.join(known.withColumnRenamed("id", "rep"), "rep", "left").select("whole", F.coalesce("least", "rep").alias("of_text"), "rep")
     ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("linked"))
     told = signed.select("doc_id", "whole").join(of_text.join(ends, "rep", "left"), "whole", "left")
-    return told.select("doc_id", F.coalesce("of_text", "doc_id").alias("class_id"), F.coalesce("linked", F.lit(0)).cast("long").alias("n_links"))
-
-
-def unresolved(shared: DataFrame, links: DataFrame) -> tuple[DataFrame | None, DataFrame]:
-    """Pairs of one bucket that round one leaves in two classes, without those with the bucket's least; and the classes."""
-    known = classes(links)
-    named = shared.join(known.withColumnRenamed("id", "b"), "b", "left").withColumn("own", F.coalesce("least", "b")).drop("least")
-    mixed = named.groupBy("key").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x < y").select("key")
-    rest = staged(named.join(mixed, "key").select("key", "a", "b", "own"), "apart")
-    # One side of each pair is a text that its bucket's least did not take in.
-    leads = rest.select("key", F.col("a").alias("lead")).distinct().join(known.withColumnRenamed("id", "lead"), "lead", "left").select("key", F.coalesce("least", "lead").alias("lead_class"))
-    failed = rest.join(leads, "key").where("own <> lead_class AND b <> a").select("key", F.col("b").alias("x"), F.col("own").alias("own_x"))
-    other = rest.where("b <> a").select("key", F.col("b").alias("y"), F.col("own").alias("own_y"))
-    pairs = failed.join(other, "key").where("own_x <> own_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = staged(pairs, "pairs")
-    return (pairs if pairs.limit(1).count() else None), known
+    return told.select("doc_id", F.coalesce("of_text", "doc_id").alias("class_id"), F.coalesce("linked", F.lit(0)).cast("long").alias("n_verified"))
+
+
+def compared(members: DataFrame, verify, leaders: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b), and the classes they make, of all that share a bucket of ``members`` (key, b, central).
+
+    In each of ``leaders`` rounds every bucket that holds several classes verifies one text, the most central one outside its
+    main class (at first, of all), against the texts of other classes. What is still apart is compared pair by pair."""
+    spark = members.sparkSession
+    rank = F.struct("central", -F.col("b"))
+    links = known = None
+    for turn in range(leaders + 1):
+        named = members if known is None else members.join(known.withColumnRenamed("id", "b"), "b", "left")
+        named = named.withColumn("own", F.col("b") if known is None else F.coalesce("least", "b"))
+        mixed = named.groupBy("key").agg(F.max_by("own", rank).alias("main"), F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("key", "main")
+        rest = staged(named.join(mixed, "key").select("key", "b", "central", "own", "main"), "rest")
+        if not rest.limit(1).count():
+            break
+        if turn < leaders:
+            outside = rest if turn == 0 else rest.where("own <> main")
+            lead = outside.groupBy("key").agg(F.max_by(F.struct(F.col("b").alias("a"), F.col("own").alias("lead_own")), rank).alias("_l")).select("key", "_l.*")
+            pairs = lead.join(rest, "key").where("own <> lead_own").select("a", "b")
+        else:
+            # One side of each pair is outside its bucket's main class; of two such texts the lesser one asks.
+            ask = rest.where("own <> main").select("key", F.col("b").alias("a"), F.col("own").alias("lead_own"))
+            pairs = ask.join(rest, "key").where("own <> lead_own AND (own = main OR a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        found = verify(staged(pairs.distinct(), "pairs"))
+        links = found if links is None else links.unionByName(found)
+        if turn and not found.limit(1).count():
+            continue
+        known = classes(links)
+    if links is None:
+        links, known = spark.createDataFrame([], "a long, b long, similarity double"), spark.createDataFrame([], "id long, least long")
+    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").dropDuplicates(["a", "b"])
+    return links, known
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
