@@ -33,17 +33,22 @@ def short_prefixes(index: FMIndex, n: int, bound: int) -> np.ndarray:
     """For each rank, whether its suffix shares fewer than ``bound`` symbols with the one before."""
     told = np.zeros(n + 1, dtype=bool)
     told[0] = told[n] = True
-    low, high = np.zeros(1, dtype=np.int64), np.full(1, n)
+    low, high, one = np.zeros(1, dtype=np.int64), np.full(1, n), np.zeros(0, dtype=np.int64)
+    step = index.step()
     for _ in range(bound):
         _, symbol, first, end = index.tree.children(low, high)
         real = symbol > 0  # a string never runs over the end of a segment
         base = index.start[symbol[real]]
-        low, high = base + first[real], base + end[real]
+        # An interval of one rank has one extension.
+        one = step[one[index.last[one] > 0]]
+        low, high = np.concatenate([base + first[real], one]), np.concatenate([base + end[real], one + 1])
         # An interval that starts after separators has the suffixes that end earlier just before it.
         fresh = ~told[high] | ~told[low]
         told[high] = told[low] = True
         low, high = low[fresh], high[fresh]
-        if not len(low):
+        single = high - low == 1
+        one, low, high = low[single], low[~single], high[~single]
+        if not len(low) and not len(one):
             break
     return told[:n]
 

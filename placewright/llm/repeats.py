@@ -6,8 +6,9 @@ that occurs once in the corpus belongs to no repeat. So the plan is
 
 1. scan: cut every text into *segments*, each of all neighbouring windows with one anchor, as rows (anchor, hash of
    the segment, doc_id, start); count the anchors and keep the rows of those that may repeat;
-2. of equal segments only one is looked at: the first place's document gives its text;
-3. deal these segments to shards by anchor. A shard is indexed and searched as a whole (this is where the operators
+2. of equal segments only one is looked at: the first place's document gives its text. Where an anchor has one segment
+   only, with several places, they are copies of each other and of nothing else;
+3. deal the other segments to shards by anchor. A shard is indexed and searched as a whole (this is where the operators
    differ) and says which ranges of each segment repeat;
 4. join what it says with all places of the segment, and the ranges with the texts.
 
@@ -120,8 +121,8 @@ class Segments:
 
 
 def places(docs: DataFrame, window: int, k: int, by_word: bool, within_one: bool) -> DataFrame:
-    """``anchor, key, doc_id, start, again``: every segment of every text."""
-    names = ["anchor", "key", "doc_id", "start", "again"]
+    """``anchor, key, doc_id, start, size, again``: every segment of every text, in units."""
+    names = ["anchor", "key", "doc_id", "start", "size", "again"]
 
     def run(batches):
         held: list[list[np.ndarray]] = []
@@ -138,7 +139,7 @@ def places(docs: DataFrame, window: int, k: int, by_word: bool, within_one: bool
                 m = len(own.first)
                 if m and doc_id is not None:
                     again = own.again() if within_one else np.zeros(m, dtype=bool)
-                    held.append([own.anchor.view(np.int64), own.key.view(np.int64), np.full(m, doc_id, dtype=np.int64), own.first.astype(np.int32), again])
+                    held.append([own.anchor.view(np.int64), own.key.view(np.int64), np.full(m, doc_id, dtype=np.int64), own.first.astype(np.int32), (own.end - own.first).astype(np.int32), again])
                     size += m
                     if size > 50_000:
                         yield flush()
@@ -146,7 +147,7 @@ def places(docs: DataFrame, window: int, k: int, by_word: bool, within_one: bool
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "anchor long, key long, doc_id long, start int, again boolean")
+    return docs.mapInArrow(run, "anchor long, key long, doc_id long, start int, size int, again boolean")
 
 
 def repeated_places(docs: DataFrame, window: int, k: int, by_word: bool, within_one: bool) -> DataFrame:
@@ -157,10 +158,15 @@ def repeated_places(docs: DataFrame, window: int, k: int, by_word: bool, within_
     return rows.drop("again").join(counted.where("many").select("anchor"), "anchor")
 
 
-def segment_texts(docs: DataFrame, found: DataFrame, window: int, k: int, by_word: bool) -> DataFrame:
-    """``anchor, key, times, least, segment``: each distinct segment once, with the number of its places and its least doc_id.
-    Words are joined by one space."""
-    distinct = found.groupBy("anchor", "key").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.count("*").alias("times"))
+def distinct_segments(found: DataFrame) -> DataFrame:
+    """``anchor, key, at, times, kinds``: each distinct segment with its first place, how often it stands, and how many distinct
+    segments its anchor has."""
+    distinct = found.groupBy("anchor", "key").agg(F.min(F.struct("doc_id", "start", "size")).alias("at"), F.count("*").alias("times"))
+    return distinct.join(distinct.groupBy("anchor").agg(F.count("*").alias("kinds")), "anchor")
+
+
+def segment_texts(docs: DataFrame, distinct: DataFrame, window: int, k: int, by_word: bool) -> DataFrame:
+    """``anchor, key, times, least, segment``: the segments with their texts. Words are joined by one space."""
     wanted = distinct.groupBy("at.doc_id").agg(F.collect_list(F.struct("anchor", "key", "at.start", "times")).alias("wanted"))  # of one text: no more than it has
 
     def run(batches):
@@ -222,9 +228,13 @@ def repeated_ranges(docs: DataFrame, window: int, k: int, by_word: bool, within_
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["anchor", "key", "first", "end", "least"])
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = segment_texts(docs, found, window, k, by_word).repartition(n, "anchor").sortWithinPartitions("anchor", "key")
+    distinct = staged(distinct_segments(found), "segments")
+    # Copies of one segment, with no other segment at its anchor: all its windows repeat, and nothing else can hold them.
+    copies = (F.col("kinds") == 1) & (F.col("times") > 1)
+    alike = distinct.where(copies).select("anchor", "key", F.lit(0).cast("long").alias("first"), F.col("at.size").cast("long").alias("end"), F.col("at.doc_id").alias("least"))
+    dealt = segment_texts(docs, distinct.where(~copies), window, k, by_word).repartition(n, "anchor").sortWithinPartitions("anchor", "key")
     said = dealt.mapInArrow(run, "anchor long, key long, first long, end long, least long")
-    back = found.join(said, ["anchor", "key"])
+    back = found.join(said.unionByName(alike), ["anchor", "key"])
     if not within_one:
         back = back.where("least < doc_id")
     return back.select("doc_id", F.struct((F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("end")).alias("end")).alias("range")).groupBy("doc_id").agg(F.collect_set("range").alias("ranges"))

@@ -66,15 +66,24 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         rank = (rank << (width * known)) | np.concatenate([rank[known:], np.zeros(min(known, n), dtype=np.int64)])[:n]
         known *= 2
     order = np.argsort(rank)
-    while True:
-        own = rank[order]
-        dense = np.zeros(n, dtype=np.int64)
-        dense[order] = np.cumsum(np.concatenate([[1], own[1:] != own[:-1]])[:n])
-        if known >= depth or not n or dense[order[-1]] == n:
-            return order
-        rank = dense * (n + 1) + np.concatenate([dense[known:], np.zeros(min(known, n), dtype=np.int64)])[:n]
+    # From here on a suffix's rank is where its group of equal prefixes starts; only groups of several are sorted again.
+    own = rank[order]
+    starts = np.concatenate([[True], own[1:] != own[:-1]])[:n]
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.maximum.accumulate(np.where(starts, np.arange(n), 0)) if n else own
+    open_ = np.flatnonzero(~(starts & np.append(starts[1:], True)[:n]))
+    while known < depth and len(open_):
+        some = order[open_]
+        further = some + known
+        key = rank[some] * (n + 1) + np.where(further < n, rank[np.minimum(further, n - 1)] + 1, 0)
+        by = np.argsort(key)
+        some, key = some[by], key[by]
+        order[open_] = some
+        starts = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[some] = np.maximum.accumulate(np.where(starts, open_, 0))
+        open_ = open_[~(starts & np.append(starts[1:], True))]
         known *= 2
-        order = np.argsort(rank)
+    return order
 
 
 class FMIndex:
@@ -83,10 +92,17 @@ class FMIndex:
     def __init__(self, text: np.ndarray, depth: int):
         self.order = suffix_order(text, depth)
         sigma = int(text.max(initial=0)) + 1
-        self.tree = WaveletTree(text[self.order - 1], sigma)  # the symbol before the first one is the last
+        self.last = text[self.order - 1]  # the symbol before the first one is the last
+        self.tree = WaveletTree(self.last, sigma)
         self.start = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
 
     def backward(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of symbol + pattern from those of the patterns."""
         base = self.start[symbol]
         return base + self.tree.rank(symbol, low), base + self.tree.rank(symbol, high)
+
+    def step(self) -> np.ndarray:
+        """Where each rank goes when its suffix is extended by the symbol before it."""
+        to = np.empty(len(self.last), dtype=np.int64)
+        to[np.argsort(self.last.astype(np.uint16) if len(self.start) <= 1 << 16 else self.last, kind="stable")] = np.arange(len(self.last))
+        return to
