@@ -28,12 +28,12 @@ def fold_table() -> tuple[str, str]:
 
 def clean(c: Column) -> Column:
     """Null as empty, NUL bytes out, Unicode blanks off both ends."""
-    return F.regexp_replace(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("\0"), F.lit("")), r"^[\s 　 - ]+|[\s 　 - ]+$", "")
+    return F.regexp_replace(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("\0"), F.lit("")), r"^[\s\u00a0\u3000\u2000-\u200a]+|[\s\u00a0\u3000\u2000-\u200a]+$", "")
 
 
 def latin_fold(c: Column) -> Column:
     """Accents off Latin letters, combining marks out."""
-    return F.regexp_replace(F.translate(clean(c), *fold_table()), "[̀-ͯ]", "")
+    return F.regexp_replace(F.translate(clean(c), *fold_table()), r"[\u0300-\u036f]", "")
 
 
 def words(c: Column) -> Column:
