@@ -13,8 +13,10 @@ share has a fixed size at any scale). A shingle's frequency is that of its cell.
 Groups are classes of documents joined by links of at least ``threshold``. No pairs are made within a group: texts that
 are equal word for word are one text; in each band bucket all are verified against its most central text, and then against
 the most central one of those that this leaves apart. At last the texts that are still outside their bucket's main class
-are compared with the others of their bucket, so any candidate pair is in one class or compared itself. Only a crowd of
-texts that share buckets but resemble each other less than the threshold makes many pairs.
+meet the others of their bucket, so any candidate pair is in one class or judged itself. A crowd of texts that were copied
+from one source but resemble each other less than the threshold would make many pairs here. Most are told apart without
+their texts: shingles that no other remaining text has can't be shared, so what is left of the lighter text bounds the
+similarity from above, and only pairs whose bound reaches the threshold are compared.
 
 Defined results: null, empty and wordless texts are never linked, not even to each other; a text equal to another one
 (up to case and white space) is in its class; the class's number is its least doc_id; doc_id is the key. Other columns
@@ -40,6 +42,8 @@ REMEMBERED = 200_000
 STEPS = 1 << 12
 #: Shingles drawn from at once.
 BLOCK = 512
+#: Sums of weights may differ so much in their last digits, so bounds give way by it.
+SLACK = 1e-6
 
 
 def gamma_quantiles() -> np.ndarray:
@@ -156,24 +160,53 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 def signatures(docs: DataFrame, table, size: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, whole, keys``: a hash of all words, and one key a band."""
+    """``doc_id, whole, mass, keys``: a hash of all words, the weight of all shingles, and one key a band."""
     cells = len(table.value)
 
     def run(batches):
         cut, draw, weight = Shingler(size), Sampler(bands * rows), table.value
         powers = mix(np.arange(11, 11 + bands * rows, dtype=np.uint64)) | np.uint64(1)
         for batch in batches:
-            wholes, keys = [], []
+            wholes, masses, keys = [], [], []
             for text in utf8(batch.column("text")):
                 shingles, times, whole = cut(text)
                 if len(shingles):
-                    drawn = draw(shingles, times * weight[(shingles % np.uint64(cells)).astype(np.intp)])
+                    weights = times * weight[(shingles % np.uint64(cells)).astype(np.intp)]
+                    drawn = draw(shingles, weights)
                     band = mix((drawn * powers).reshape(bands, rows).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
                 wholes.append(np.uint64(whole).view(np.int64) if len(shingles) else None)
+                masses.append(float(weights.sum()) if len(shingles) else None)
                 keys.append(band.view(np.int64).tolist() if len(shingles) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(wholes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "whole", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(wholes, pa.int64()), pa.array(masses, pa.float64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "whole", "mass", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, whole long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, whole long, mass double, keys array<long>")
+
+
+def alone(texts: DataFrame, table, size: int) -> DataFrame:
+    """``b, alone``: of each text that has any, the weight of the shingles that no other one of ``texts`` (doc_id, text) has.
+    Both aggregations combine before they shuffle, so a shingle of all texts is as cheap as any other."""
+    cells, rows = len(table.value), 1 << 18
+
+    def run(batches):
+        cut, weight = Shingler(size), table.value
+        held, n = [], 0
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["shingle", "b", "weight"])
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True):
+                shingles, times, _ = cut(text)
+                held.append((shingles.view(np.int64), np.full(len(shingles), doc_id), times * weight[(shingles % np.uint64(cells)).astype(np.intp)]))
+                n += len(shingles)
+                if n >= rows:
+                    yield out()
+                    held, n = [], 0
+        if held:
+            yield out()
+
+    one = texts.select("doc_id", "text").mapInArrow(run, "shingle long, b long, weight double").groupBy("shingle").agg(F.count("*").alias("n"), F.min("b").alias("b"), F.min("weight").alias("weight"))
+    return one.where("n = 1").groupBy("b").agg(F.sum("weight").alias("alone"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, table, size: int, threshold: float) -> DataFrame:
@@ -237,7 +270,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     members = staged(shared.select("key", "b").join(central, "b"), "buckets")
     # Only texts that share a bucket are ever compared: they are picked out once.
     texts = staged(docs.join(members.select(F.col("b").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text"), "texts")
-    links, known = compared(members, lambda pairs: staged(verified(pairs, texts, table, size, threshold), "links"))
+
+    def room(rest):
+        """``b, mass, room, keys`` of those that can have a link: ``room`` is the weight that any other one may share."""
+        ids = rest.select(F.col("b").alias("doc_id")).distinct()
+        own = ids.join(signed, "doc_id").select(F.col("doc_id").alias("b"), "mass", "keys").join(alone(texts.join(ids, "doc_id", "left_semi"), table, size), "b", "left")
+        return own.withColumn("room", F.col("mass") - F.coalesce("alone", F.lit(0.0))).where(F.col("room") >= (threshold - SLACK) * F.col("mass")).drop("alone")
+
+    links, known = compared(members, lambda pairs: staged(verified(pairs, texts, table, size, threshold), "links"), room, threshold)
     # A document's class is its text's; what has no link is alone with its copies.
     of_text = whole.join(known.withColumnRenamed("id", "rep"), "rep", "left").select("whole", F.coalesce("least", "rep").alias("of_text"), "rep")
     ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("linked"))
@@ -245,11 +285,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     return told.select("doc_id", F.coalesce("of_text", "doc_id").alias("class_id"), F.coalesce("linked", F.lit(0)).cast("long").alias("n_verified"))
 
 
-def compared(members: DataFrame, verify, leaders: int = 2) -> tuple[DataFrame, DataFrame]:
+def compared(members: DataFrame, verify, room, threshold: float, leaders: int = 2) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b), and the classes they make, of all that share a bucket of ``members`` (key, b, central).
 
     In each of ``leaders`` rounds every bucket that holds several classes verifies one text, the most central one outside its
-    main class (at first, of all), against the texts of other classes. What is still apart is compared pair by pair."""
+    main class (at first, of all), against the texts of other classes. What is still apart is compared pair by pair where
+    ``room`` lets a pair reach ``threshold``, in the first bucket that both share."""
     spark = members.sparkSession
     rank = F.struct("central", -F.col("b"))
     links = known = None
@@ -266,8 +307,11 @@ def compared(members: DataFrame, verify, leaders: int = 2) -> tuple[DataFrame, D
             pairs = lead.join(rest, "key").where("own <> lead_own").select("a", "b")
         else:
             # One side of each pair is outside its bucket's main class; of two such texts the lesser one asks.
-            ask = rest.where("own <> main").select("key", F.col("b").alias("a"), F.col("own").alias("lead_own"))
-            pairs = ask.join(rest, "key").where("own <> lead_own AND (own = main OR a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            near = staged(rest.join(room(rest), "b").drop("central"), "near")
+            ask = near.where("own <> main").select("key", F.col("b").alias("a"), F.col("own").alias("ask_own"), F.col("mass").alias("ask_mass"), F.col("room").alias("ask_room"), F.col("keys").alias("ask_keys"))
+            able = F.least("room", "ask_room") * (1 + threshold) >= (threshold - SLACK) * (F.col("mass") + F.col("ask_mass"))
+            once = F.array_intersect("ask_keys", "keys")[0] == F.col("key")
+            pairs = ask.join(near, "key").where("own <> ask_own AND (own = main OR a < b)").where(able).where(once).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         found = verify(staged(pairs.distinct(), "pairs"))
         links = found if links is None else links.unionByName(found)
         if turn and not found.limit(1).count():

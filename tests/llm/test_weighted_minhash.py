@@ -70,3 +70,27 @@ def test_draws_agree_as_often_as_sets(spark):
         agree.append((draw(s, w) == draw(s, v)).mean())
         real.append(W.weighted_jaccard((s, w), (s, v)))
     assert abs(np.mean(agree) - np.mean(real)) < 0.02
+
+
+def test_crowd_around_one_source(spark):
+    """Many copies too far from their source and from each other, with a few true pairs among them."""
+    rng = random.Random(11)
+    source = [f"s{i}" for i in range(200)]
+    rows = [(" ".join(source), 0, 1, "x")]
+    for i in range(1, 160):
+        words = list(source)
+        for at in rng.sample(range(200), rng.choice([2, 6, 8, 12, 30])):
+            words[at] = f"n{i}_{at}"
+        rows.append((" ".join(words), i, 1, "x"))
+        if i % 9 == 0:  # one that resembles this copy alone
+            words[rng.randrange(200)] = f"m{i}"
+            rows.append((" ".join(words), 1000 + i, 1, "x"))
+    got = {r["doc_id"]: r["class_id"] for r in W.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute(rows)
+
+
+def test_alone_is_what_no_other_text_has(spark):
+    rows = [("a b c d e f", 1), ("a b c d e g", 2), ("h i j k l", 3), (None, 4)]
+    table = spark.sparkContext.broadcast(np.full(16, 2.0, dtype=np.float32))
+    got = {r["b"]: r["alone"] for r in W.alone(spark.createDataFrame(rows, "text string, doc_id long"), table, 5).collect()}
+    assert got == {1: 2.0, 2: 2.0, 3: 2.0}
