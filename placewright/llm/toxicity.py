@@ -1,13 +1,13 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
 Model. A token's weight is the log-odds of toxic against clean documents with a Dirichlet prior: the pooled shares
-of all labelled training rows, scaled to ``prior`` pseudo-documents, and half a document on top. A token counts once
-a document, so a word that one spam page repeats weighs no more than any other. Tokens whose own weight is less
+of all labelled training rows, scaled to ``prior`` pseudo-documents, and half a document on top. In these counts a token
+counts once a document, so a word that one spam page repeats weighs no more than any other. Tokens whose own weight is less
 than ``least_z`` standard deviations from 0 fall back on the weight of their first four letters (word stems with
 unseen endings), and else on 0. Every token also pays ``drift``, so that a clean text scores downhill.
 
-Scan. Within a text, the linear-time algorithm for all maximal scoring segments finds every passage that stands
-out (Ruzzo and Tompa); runs of tokens that only go downhill are one step. Score statistics of segments are extreme
+Scan. Every occurrence of a token scores, wherever else the same token stands. Within a text, the linear-time algorithm
+for all maximal scoring segments finds every passage that stands out (Ruzzo and Tompa); runs of tokens that only go downhill are one step. Score statistics of segments are extreme
 values: in background text a score reaches S with expectation ``K m exp(-lambda S)``, where lambda solves
 ``sum p(w) exp(lambda w) = 1`` over the background's token frequencies. A passage's evidence is minus the logarithm
 of the chance that ``m`` background tokens hold one so high; a document's evidence is the sum over its significant
@@ -58,13 +58,7 @@ class Model:
 
     def passages(self, tokens: list[str]) -> list[tuple[int, int, float]]:
         """All maximal scoring segments that are significant: (first token, end, evidence)."""
-        w = self.weigh(tokens)
-        seen: set[str] = set()
-        for i in np.flatnonzero(w > 0).tolist():  # a token counts once a text, as it did in training
-            if tokens[i] in seen:
-                w[i] = 0.0
-            seen.add(tokens[i])
-        w -= self.drift
+        w = self.weigh(tokens) - self.drift
         rises = np.flatnonzero(w > 0)
         if not len(rises):
             return []

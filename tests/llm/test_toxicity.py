@@ -88,3 +88,21 @@ def test_no_labels_and_empty_table(spark):
     assert T.fit(df, none) is None and {r["score"] for r in T.scores(df, None).collect()} == {0.0}
     assert T.reject_toxic(df, None).count() == 30
     assert T.scores(df.limit(0), T.fit(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))).count() == 0
+
+
+def test_scan_counts_every_occurrence():
+    rng = random.Random(4)
+    model = T.Model({f"t{v}": v / 4 + rng.random() / 100 for v in (-8, -5, -3, -2, -1, 1, 2, 5, 7)}, 0.3, 1.0, 1e-9, 1.0, 0.0)  # no sums are 0
+    for _ in range(300):
+        tokens = rng.choices(list(model.weights), k=rng.randint(0, 40))
+        want = maximal_segments([model.weights[t] - 0.3 for t in tokens])
+        got = model.passages(tokens)
+        assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
+        assert np.allclose([e for *_, e in got], [-np.log(-np.expm1(-1e-9 * len(tokens) * np.exp(-s))) for *_, s in want])
+
+
+def test_passage_of_words_that_stood_scattered_before():
+    model = T.Model({"grobian": 3.0, "lumpkin": 3.0}, 0.3, 1.0, 0.1, 1.0, 0.0)
+    dense = ["grobian", "lumpkin"] * 4
+    tokens = ["grobian", *["plain"] * 500, "lumpkin", *["plain"] * 500, *dense, *["plain"] * 500, *dense]
+    assert [(a, b) for a, b, _ in model.passages(tokens)] == [(1002, 1010), (1510, 1518)]
