@@ -9,7 +9,9 @@ put in, left out or changed. Lines of fewer than ``near_from`` characters go onl
 3. Candidates emit their deletion neighbourhood in two levels, as hashed keys. First the line is cut after spaces, digits
    and punctuation into pieces, and every stretch of up to two pieces is left out: one edit touches no more. What stays
    is a key with the part left out. Where lines share a key, the parts differ by one edit, so each part emits itself, itself
-   without each of its characters, and, for changed characters, the same with the character's place.
+   without each of its characters, and, for changed characters, the same with the character's place. Lines with a
+   stretch of over ``longest_piece`` characters without a space, digit or mark, and those an edit away, have their single
+   characters for pieces, so their keys grow with their length and not with its square.
 4. Lines with an equal variant are joined with the earliest line that has it, and the edit distance is verified on the texts.
 
 All members of a group of equal variants are within the bound of each other or of the one undeleted line, so the
@@ -18,7 +20,7 @@ earliest one decides and no pairs are made.
 Defined results: lines are separated by line feeds; blank lines (only white space) stay; null texts stay null; a document
 that loses all its lines stays with an empty text; ``n_chars`` follows the text. Decisions are made on the input, not on
 what is left. doc_id is the key; rows with equal doc_id are judged as one and rows without one lose nothing. Other columns are
-kept. Lines with a stretch of over ``longest_piece`` characters without a space, digit or mark are compared for equality only.
+kept.
 """
 
 from __future__ import annotations
@@ -61,12 +63,17 @@ def candidates(first: DataFrame) -> DataFrame:
 def variants(lines: DataFrame, longest_piece: int) -> DataFrame:
     """``doc_id, pos, key, kind, i`` from ``doc_id, pos, line``: the deletion neighbourhood. Kinds: ``whole`` and ``less`` meet
     where one character more is the difference, ``place`` where one character is another."""
-    cut = lines.withColumn("pieces", F.concat(F.split("line", AFTER), F.array(F.lit(""))))
-    cut = cut.where(F.forall("pieces", lambda p: F.length(p) <= longest_piece))
-    piece = cut.select("doc_id", "pos", F.size("pieces").alias("n"), F.posexplode("pieces").alias("i", "piece"))
-    line = Window.partitionBy("doc_id", "pos").orderBy("i")
-    before = F.expr("bit_xor(xxhash64(piece, i))").over(line.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.expr("bit_xor(xxhash64(piece, n - i))").over(line.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    cut = lines.withColumn("pieces", F.split("line", AFTER))
+    # An edit leaves at least half of a long piece, so both lines of a pair with a longer one are cut into characters.
+    by_piece = cut.where(F.forall("pieces", lambda p: F.length(p) <= longest_piece)).withColumn("by", F.lit(0))
+    by_character = cut.where(F.exists("pieces", lambda p: F.length(p) * 2 > longest_piece)).withColumns({"pieces": F.split("line", ""), "by": F.lit(1)})
+    cut = by_piece.unionByName(by_character).withColumn("pieces", F.concat("pieces", F.array(F.lit(""))))
+    piece = cut.select("doc_id", "pos", "by", F.size("pieces").alias("n"), F.posexplode("pieces").alias("i", "piece"))
+    line = Window.partitionBy("doc_id", "pos", "by").orderBy("i")
+    earlier = line.rowsBetween(Window.unboundedPreceding, -1)
+    before, from_end = F.expr("bit_xor(xxhash64(piece, i))").over(earlier), F.expr("bit_xor(xxhash64(piece, n - i))")
+    # What is after is all without what is before: a frame to the end would be added up anew for each row.
+    after = from_end.over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).bitwiseXOR(F.coalesce(from_end.over(earlier), F.lit(0)))
     hashed = piece.withColumns({"before": F.coalesce(before, F.lit(0)), "after": after})
     hashed = hashed.withColumns({f"after{m}": F.coalesce(F.lead("after", m).over(line), F.lit(0)) for m in (1, 2)} | {"next": F.lead("piece").over(line)})
     left_out = F.array(

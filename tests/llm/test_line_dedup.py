@@ -74,3 +74,19 @@ def test_empty_table_and_report(spark):
     assert L.dedup_lines(docs.limit(0)).count() == 0
     got = {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in L.report(docs).collect()}
     assert got == {1: (2, 0), 2: (2, 1), None: (1, 0)}
+
+
+def test_long_stretches(spark):
+    rng = random.Random(5)
+    lines = []
+    for signs, n in (("道路家園年海上外灘路", 3000), ("กขคงจฉชซ", 1001), ("abcdef", 1000), ("x", 1500), ("abcdef", 1001)):
+        source = "".join(rng.choice(signs) for _ in range(n))
+        for at in (0, n // 2, n - 1):
+            lines += [source[:at] + "z" + source[at:], source[:at] + " " + source[at:], source[:at] + source[at + 1 :], source[:at] + "7" + source[at + 1 :]]
+        lines += [source, source[: n // 3] + "zz" + source[n // 3 :], source + "tail"]
+    rng.shuffle(lines)
+    docs = [(k, "\n".join(x), 1, 1, "", 1) for k, x in enumerate([lines[::2], lines[1::2]])]
+    got = {(r["doc_id"], r["pos"]) for r in L.repeated_lines(spark.createDataFrame(docs, SCHEMA)).collect()}
+    places = [(d, i, x) for d, text, *_ in docs for i, x in enumerate(text.split("\n"))]
+    want = {(d, i) for k, (d, i, x) in enumerate(places) if any(a == x or within_one(a, x) for *_, a in places[:k])}
+    assert got == want
