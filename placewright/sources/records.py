@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import struct
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 GEOMETRY = "struct<type:string,coordinates:string>"
 
@@ -65,13 +66,15 @@ def dbf_fields(content: bytes) -> list[tuple[str, str, int]]:
     return out
 
 
-def dbf_rows(content: bytes, encoding: str = "utf-8") -> list[dict[str, str | None]]:
+def dbf_rows(content: bytes, encoding: str = "utf-8") -> list[dict[str, str | None] | None]:
+    """All rows of a dBase table in their places; a deleted one is None."""
     rows, start, width = dbf_header(content)
     fields = dbf_fields(content)
     out = []
     for i in range(rows):
         at, row = start + i * width + 1, {}
-        if content[at - 1 : at] == b"*":  # deleted
+        if content[at - 1 : at] == b"*":
+            out.append(None)
             continue
         for name, _, size in fields:
             row[name] = content[at : at + size].decode(encoding, "replace").strip("\0 ") or None
@@ -80,33 +83,64 @@ def dbf_rows(content: bytes, encoding: str = "utf-8") -> list[dict[str, str | No
     return out
 
 
-def shp_points(content: bytes) -> list[tuple[float | None, float | None]]:
-    """Points of a shapefile's main part; null shapes and other kinds give no point."""
+def shp_shapes(content: bytes) -> list[tuple]:
+    """``x, y, z, m`` of points and ``parts`` (lists of such vertices) of multipoints, polylines and polygons in a
+    shapefile's main part. Null shapes have neither; kinds that are not read raise."""
     out, at = [], 100
+    measure = lambda v: None if v < -1e38 else v  # noqa: E731  "no data"
     while at + 8 <= len(content):
-        words = struct.unpack(">I", content[at + 4 : at + 8])[0]
-        kind = struct.unpack("<I", content[at + 8 : at + 12])[0]
-        out.append(struct.unpack("<dd", content[at + 12 : at + 28]) if kind in (1, 11, 21) else (None, None))
-        at += 8 + 2 * words
+        own = content[at + 8 : at + 8 + 2 * struct.unpack(">I", content[at + 4 : at + 8])[0]]
+        at += 8 + len(own)
+        kind = struct.unpack("<I", own[:4])[0]
+        if kind == 0:
+            out.append((None, None, None, None, None))
+        elif kind in (1, 11, 21):
+            v = struct.unpack_from(f"<{(len(own) - 4) // 8}d", own, 4)
+            m = v[3:4] if kind == 11 else v[2:3] if kind == 21 else ()
+            out.append((v[0], v[1], v[2] if kind == 11 else None, measure(m[0]) if m else None, None))
+        elif kind % 10 in (3, 5, 8) and kind < 30:
+            many, to = kind % 10 != 8, 36
+            n_parts = struct.unpack_from("<I", own, to)[0] if many else 1
+            n = struct.unpack_from("<I", own, to + 4 * many)[0]
+            to += 4 + 4 * many
+            starts = [*(struct.unpack_from(f"<{n_parts}I", own, to) if many else [0]), n]
+            to += 4 * n_parts * many
+            xy = struct.unpack_from(f"<{2 * n}d", own, to)
+            to += 16 * n
+            zs = ms = [None] * n
+            if 10 < kind < 20:
+                zs = struct.unpack_from(f"<{n}d", own, to + 16)
+                to += 16 + 8 * n
+            if kind > 10 and len(own) >= to + 16 + 8 * n:  # measures can be left out
+                ms = [measure(v) for v in struct.unpack_from(f"<{n}d", own, to + 16)]
+            vertices = list(zip(xy[::2], xy[1::2], zs, ms, strict=True))
+            out.append((None, None, None, None, [vertices[i:j] for i, j in zip(starts, starts[1:], strict=False)]))
+        else:
+            raise ValueError(f"shapes of kind {kind} are not read")
     return out
 
 
 def shapefile(spark: SparkSession, folder: str, fields: list[str], encoding: str = "utf-8") -> DataFrame:
-    """``source, pos, x, y`` and ``fields`` (texts) of all pairs of .shp and .dbf in a folder: each pair is one task's work."""
+    """``source, pos, x, y, z, m, parts`` and ``fields`` (texts) of all pairs of .shp and .dbf in a folder: each pair is one
+    task's work. A deleted row goes with its shape; files with different numbers of shapes and rows raise."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{shp,dbf,SHP,DBF}").option("recursiveFileLookup", "true").load(folder)
     named = files.select(F.regexp_replace("path", r"(?i)\.(shp|dbf)$", "").alias("source"), F.lower(F.regexp_extract("path", r"\.(\w+)$", 1)).alias("kind"), "content")
     pairs = named.groupBy("source").agg(*[F.max(F.when(F.col("kind") == k, F.col("content"))).alias(k) for k in ("shp", "dbf")]).where("shp IS NOT NULL AND dbf IS NOT NULL")
-    schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("pos", T.IntegerType()), T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType()), *[T.StructField(f, T.StringType()) for f in fields]])
+    told = "source string, pos int, x double, y double, z double, m double, parts array<array<struct<x:double,y:double,z:double,m:double>>>"
+    schema = T.StructType([*T.StructType.fromDDL(told).fields, *[T.StructField(f, T.StringType()) for f in fields]])
+    kind = to_arrow_schema(schema)
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for source, shp, dbf in zip(batch["source"], batch["shp"], batch["dbf"], strict=True):
-                for i, ((x, y), row) in enumerate(zip(shp_points(shp), dbf_rows(dbf, encoding), strict=False)):
-                    rows.append((source, i, x, y, *(row.get(f) for f in fields)))
-            yield pd.DataFrame(rows, columns=schema.names)
-
-    return pairs.mapInPandas(run, schema)
+            for source, shp, dbf in zip(*(batch.column(c).to_pylist() for c in ("source", "shp", "dbf")), strict=True):
+                rows = []
+                for i, ((x, y, z, m, parts), row) in enumerate(zip(shp_shapes(shp), dbf_rows(dbf, encoding), strict=True)):
+                    if row is not None:
+                        parts = parts and [[dict(zip("xyzm", v, strict=True)) for v in part] for part in parts]
+                        rows.append(dict(zip(kind.names, (source, i, x, y, z, m, parts, *(row.get(f) for f in fields)), strict=True)))
+                yield pa.RecordBatch.from_pylist(rows, kind)
+
+    return pairs.mapInArrow(run, schema)
 
 
 def alias_field(df: DataFrame, *names: str) -> Column:

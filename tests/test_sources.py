@@ -64,3 +64,27 @@ def test_feeds(spark, tmp_path):
     for _ in range(2):  # a second run finds nothing new
         feeds.keep_latest(stream, str(tmp_path / "out"), "k", "t", str(tmp_path / "cp")).awaitTermination()
     assert {(r["k"], r["v"]) for r in feeds.latest(spark.read.parquet(str(tmp_path / "out")), "k", "t").collect()} == {(1, "b"), (2, "c")}
+
+
+def test_shapefile_parts_and_deleted_rows(spark, tmp_path):
+    field = struct.pack("<11sc4xB15x", b"NAME", b"C", 4)
+    table = lambda rows: b"\x03" + bytes(3) + struct.pack("<IHH", len(rows), 65, 5) + bytes(20) + field + b"\r" + b"".join(rows)
+    line = struct.pack("<I32xII2I", 3, 2, 4, 0, 2) + struct.pack("<8d", *range(8))
+    many = struct.pack("<I32xI4d16x2d16x2d", 18, 2, 1, 2, 3, 4, 5, 6, -1e39, 7)
+    bodies = [struct.pack("<Idd", 1, 9, 9), line, many, struct.pack("<I4d", 11, 1, 2, 3, 4)]
+    (tmp_path / "R.shp").write_bytes(bytes(100) + b"".join(struct.pack(">II", i, len(b) // 2) + b for i, b in enumerate(bodies)))
+    (tmp_path / "R.dbf").write_bytes(table([b"*gone", b" road", b" many", b" top "]))
+    rows = records.shapefile(spark, str(tmp_path), ["NAME"]).orderBy("pos").collect()
+    got = [(r["NAME"], r["x"], r["z"], r["m"], r["parts"] and [[tuple(v) for v in part] for part in r["parts"]]) for r in rows]
+    assert got == [
+        ("road", None, None, None, [[(0, 1, None, None), (2, 3, None, None)], [(4, 5, None, None), (6, 7, None, None)]]),
+        ("many", None, None, None, [[(1, 2, 5, None), (3, 4, 6, 7)]]),
+        ("top", 1, 3, 4, None),
+    ]
+    (tmp_path / "R.dbf").write_bytes(table([b" road"]))
+    try:
+        records.shapefile(spark, str(tmp_path), ["NAME"]).collect()
+    except Exception as e:
+        assert "argument" in str(e)
+    else:
+        raise AssertionError("surplus shapes were cut off")
