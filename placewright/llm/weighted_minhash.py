@@ -4,32 +4,42 @@ A document is a weighted set: its shingles of five words (lower-cased; a shorter
 count times its inverse document frequency. For each of ``bands * rows`` samples, improved consistent weighted
 sampling (Ioffe) draws from a weight S, with r, c ~ Gamma(2, 1) and b ~ U(0, 1) fixed for the shingle,
 ``t = floor(ln S / r + b)`` and keeps the shingle with least ``ln c - r (t - b + 1)``, together with t: two documents
-draw alike with the probability of their weighted Jaccard similarity. Documents with one band alike are candidates; each
-candidate pair is verified by its exact weighted Jaccard similarity on the texts.
+draw alike with the probability of their weighted Jaccard similarity. Documents with one band alike are candidates if
+enough of all their samples agree too (four bits of each are compared); each candidate pair is verified by its exact
+weighted Jaccard similarity on the texts.
 
-Document frequencies are counted over all documents in ``cells`` hashed cells (feature hashing, so the table that tasks
-share has a fixed size at any scale). A shingle's frequency is that of its cell.
+Document frequencies are shares of all documents. They are counted in a count-min sketch (two rows of hashed cells, one size
+at any scale) and told apart down to a share of one in ``rarest``; whatever is rarer weighs the same. What the sketch
+counts too much is a share as well (the shingles of a mean document over the cells of a row), so a shingle
+weighs alike in a small and in a large corpus.
 
-Groups are classes of documents joined by links of at least ``threshold``. No pairs are made within a group: texts that
-are equal word for word are one text; in each band bucket all are verified against its most central text, and then against
-the most central one of those that this leaves apart. At last the texts that are still outside their bucket's main class
-meet the others of their bucket, so any candidate pair is in one class or judged itself. A crowd of texts that were copied
-from one source but resemble each other less than the threshold would make many pairs here. Most are told apart without
-their texts: shingles that no other remaining text has can't be shared, so what is left of the lighter text bounds the
-similarity from above, and only pairs whose bound reaches the threshold are compared.
+Groups are classes of documents joined by links of at least ``threshold``. No pairs are made within a group:
+
+1. texts that are equal word for word are one text;
+2. in each band bucket the most central text leads. Every text is compared with one leader, the one of its buckets' whose
+   samples agree best, so its text is fetched once;
+3. what is still apart from others in its buckets is compared pair by pair, where masses and samples let a pair reach
+   ``threshold``. In crowded buckets shingles that no other remaining text has are found first: they can't be shared, so what is
+   left of the lighter text bounds the similarity from above, and texts that can't reach it are compared with nobody.
+
+Any candidate pair is in one class at last or was judged itself. Buckets, groups and leaders that many rows share are dealt to
+blocks (``block_counts``), so no task gets a whole crowd.
 
 Defined results: null, empty and wordless texts are never linked, not even to each other; a text equal to another one
-(up to case and white space) is in its class; the class's number is its least doc_id; doc_id is the key. Other columns
-play no part. Misses: a pair at similarity 0.8 shares none of 12 bands of 3 with probability 0.0002.
+(up to case and white space) is in its class; the class's number is its least doc_id; doc_id is the key: rows that share
+one are in one class, and a row without one is in the class of its text, or in none. Other columns play no part. Misses: a
+pair at similarity 0.8 shares none of 12 bands of 3 with probability 0.0002, and fails the samples' test with 0.00001.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placewright.llm.bpe import utf8
@@ -44,6 +54,8 @@ STEPS = 1 << 12
 BLOCK = 512
 #: Sums of weights may differ so much in their last digits, so bounds give way by it.
 SLACK = 1e-6
+#: Texts of a bucket from which on it is worth while to look for shingles of their own before pairs are made.
+CROWD = 64
 
 
 def gamma_quantiles() -> np.ndarray:
@@ -117,6 +129,12 @@ class Sampler:
         return mix(drawn ^ mix(level.astype(np.int64).view(np.uint64)))
 
 
+def cells_of(shingles: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the two rows of the sketch count each shingle."""
+    half = np.uint64(cells // 2)
+    return (shingles % half).astype(np.intp), ((mix(shingles) % half) + half).astype(np.intp)
+
+
 def document_frequencies(docs: DataFrame, size: int, cells: int) -> tuple[np.ndarray, int]:
     """How many documents have a shingle in each of ``cells`` cells, and how many have any: tables of fixed size, summed
     by Spark in ``parts`` of the table."""
@@ -125,14 +143,14 @@ def document_frequencies(docs: DataFrame, size: int, cells: int) -> tuple[np.nda
     def count(batches):
         slot = TaskContext.get().partitionId() % slots
         cut = Shingler(size)
-        seen, n = np.zeros(cells, dtype=np.int64), 0
+        seen, n = np.zeros(cells, dtype=np.int32), 0
         for batch in batches:
             for text in utf8(batch.column("text")):
-                own = np.unique(cut(text)[0] % np.uint64(cells)).astype(np.intp)
-                seen[own] += 1
+                for own in cells_of(cut(text)[0], cells):
+                    seen[own] += 1  # a document counts once in a cell, however many of its shingles are there
                 n += len(own) > 0
         for i, part in enumerate(np.split(seen, parts)):
-            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([slot]), pa.array([part.tobytes()]), pa.array([n])], ["part", "slot", "seen", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([slot]), pa.array([np.ascontiguousarray(part, dtype=np.int64).tobytes()]), pa.array([n])], ["part", "slot", "seen", "n"])
 
     def add(key, given):
         total = np.zeros(cells // parts, dtype=np.int64)
@@ -148,8 +166,46 @@ def document_frequencies(docs: DataFrame, size: int, cells: int) -> tuple[np.nda
     return np.concatenate([np.frombuffer(bytes(r["seen"]), dtype=np.int64) for r in rows]), rows[0]["n"]
 
 
-def idf(seen: np.ndarray, n: int) -> np.ndarray:
-    return (np.log((1 + n) / (1 + seen)) + 1).astype(np.float32)
+def idf(seen: np.ndarray, n: int, rarest: int) -> np.ndarray:
+    """Weights by share of documents, from 1 (all of them) on; a share below 1 in ``rarest`` counts as that."""
+    return (1 + np.log(n / np.clip(seen, max(n / rarest, 1), max(n, 1)))).astype(np.float32) if n else np.ones(len(seen), np.float32)
+
+
+def weighed(shingles: np.ndarray, times: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The weight of each shingle: of its two cells the one that counts less is right, or nearer."""
+    a, b = cells_of(shingles, len(table))
+    return times * np.maximum(table[a], table[b])
+
+
+def differences_allowed(samples: int, threshold: float, miss: float = 1e-5) -> int:
+    """The least number of differing four-bit samples that a pair at ``threshold`` exceeds with probability below ``miss``."""
+    p = (1 - threshold) * 15 / 16
+    tail, most = 1.0, -1
+    while tail >= miss:
+        most += 1
+        tail -= math.comb(samples, most) * p**most * (1 - p) ** (samples - most)
+    return most
+
+
+def code_names(samples: int) -> list[str]:
+    return [f"code{i}" for i in range(-(-samples // 16))]
+
+
+def packed_codes(drawn: np.ndarray) -> np.ndarray:
+    """Four bits of each sample, sixteen samples to an integer."""
+    bits = np.zeros(-(-len(drawn) // 16) * 16, dtype=np.uint64)
+    bits[: len(drawn)] = drawn >> np.uint64(60)
+    return (bits.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def differences(a: list[Column], b: list[Column]) -> Column:
+    """How many four-bit samples differ."""
+    total = F.lit(0)
+    for x, y in zip(a, b, strict=True):
+        z = x.bitwiseXOR(y)
+        any_bit = z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseOR(F.shiftrightunsigned(z, 3))
+        total = total + F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -160,32 +216,38 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 def signatures(docs: DataFrame, table, size: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, whole, mass, keys``: a hash of all words, the weight of all shingles, and one key a band."""
-    cells = len(table.value)
+    """``doc_id, whole, mass, keys, code0...``: a hash of all words, the weight of all shingles, one key a band, and four bits
+    of each sample."""
+    names = code_names(bands * rows)
 
     def run(batches):
         cut, draw, weight = Shingler(size), Sampler(bands * rows), table.value
         powers = mix(np.arange(11, 11 + bands * rows, dtype=np.uint64)) | np.uint64(1)
         for batch in batches:
-            wholes, masses, keys = [], [], []
+            wholes, masses, keys, codes = [], [], [], []
             for text in utf8(batch.column("text")):
                 shingles, times, whole = cut(text)
-                if len(shingles):
-                    weights = times * weight[(shingles % np.uint64(cells)).astype(np.intp)]
-                    drawn = draw(shingles, weights)
-                    band = mix((drawn * powers).reshape(bands, rows).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
-                wholes.append(np.uint64(whole).view(np.int64) if len(shingles) else None)
-                masses.append(float(weights.sum()) if len(shingles) else None)
-                keys.append(band.view(np.int64).tolist() if len(shingles) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(wholes, pa.int64()), pa.array(masses, pa.float64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "whole", "mass", "keys"])
-
-    return docs.mapInArrow(run, "doc_id long, whole long, mass double, keys array<long>")
+                if not len(shingles):
+                    for held in (wholes, masses, keys, codes):
+                        held.append(None)
+                    continue
+                weights = weighed(shingles, times, weight)
+                drawn = draw(shingles, weights)
+                band = mix((drawn * powers).reshape(bands, rows).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
+                wholes.append(np.uint64(whole).view(np.int64))
+                masses.append(float(weights.sum()))
+                keys.append(band.view(np.int64).tolist())
+                codes.append(packed_codes(drawn).tolist())
+            of_code = [pa.array([c and c[i] for c in codes], pa.int64()) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(wholes, pa.int64()), pa.array(masses, pa.float64()), pa.array(keys, pa.list_(pa.int64())), *of_code], ["doc_id", "whole", "mass", "keys", *names])
+
+    return docs.mapInArrow(run, "doc_id long, whole long, mass double, keys array<long>, " + ", ".join(f"{c} long" for c in names))
 
 
 def alone(texts: DataFrame, table, size: int) -> DataFrame:
     """``b, alone``: of each text that has any, the weight of the shingles that no other one of ``texts`` (doc_id, text) has.
     Both aggregations combine before they shuffle, so a shingle of all texts is as cheap as any other."""
-    cells, rows = len(table.value), 1 << 18
+    rows = 1 << 18
 
     def run(batches):
         cut, weight = Shingler(size), table.value
@@ -197,7 +259,7 @@ def alone(texts: DataFrame, table, size: int) -> DataFrame:
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True):
                 shingles, times, _ = cut(text)
-                held.append((shingles.view(np.int64), np.full(len(shingles), doc_id), times * weight[(shingles % np.uint64(cells)).astype(np.intp)]))
+                held.append((shingles.view(np.int64), np.full(len(shingles), doc_id), weighed(shingles, times, weight)))
                 n += len(shingles)
                 if n >= rows:
                     yield out()
@@ -209,27 +271,44 @@ def alone(texts: DataFrame, table, size: int) -> DataFrame:
     return one.where("n = 1").groupBy("b").agg(F.sum("weight").alias("alone"))
 
 
+def block_counts(counts: DataFrame, key: str, total: int, per: int = 2000, keys: int = 10_000) -> DataFrame:
+    """``key, _blocks`` of the keys that hold at least ``per`` of ``total`` rows, and at least one in ``keys`` of them: no more than
+    ``keys`` rows, which are broadcast. ``counts`` has the rows of each key as ``n``; the other keys are one block."""
+    return F.broadcast(counts.where(F.col("n") >= max(per, -(-total // keys))).select(key, F.ceil(F.col("n") / per).cast("int").alias("_blocks")))
+
+
+def block_join(left: DataFrame, right: DataFrame, key: str, by: str, blocks: DataFrame, how: str = "inner") -> DataFrame:
+    """``left`` and ``right`` by ``key``, where a key with many rows on the left is dealt to blocks (by the hash of ``by``) and its
+    rows on the right are repeated for each block."""
+    many = F.coalesce("_blocks", F.lit(1))
+    dealt = left.join(blocks, key, "left").withColumn("_block", F.pmod(F.xxhash64(by), many).cast("int")).drop("_blocks")
+    spread = right.join(blocks, key, "left").withColumn("_block", F.explode(F.sequence(F.lit(0), many - 1))).drop("_blocks")
+    return dealt.join(spread, [key, "_block"], how).drop("_block")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, table, size: int, threshold: float) -> DataFrame:
-    """Of ``a, b`` those pairs whose texts are similar enough, with ``similarity``. The text of ``a`` stands for all of
-    its partners in one batch, so it is cut into shingles once a batch."""
-    cells = len(table.value)
-    own = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text")), "b")
-    both = own.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("other")), "a")
+    """Of ``a, b`` (a written table) those pairs whose texts are similar enough, with ``similarity``. Rows come sorted by ``a``,
+    whose text is cut into shingles once for all of its partners in a task."""
+    leaders = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    blocks = block_counts(leaders, "a", pairs.count())
+    own = pairs.join(texts.select(F.col("doc_id").alias("b"), "text"), "b")
+    led = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("other")).join(leaders.select("a"), "a", "left_semi")
+    both = block_join(own, led.hint("merge"), "a", "b", blocks)
 
     def run(batches):
         cut, weight = Shingler(size), table.value
 
-        def weighed(text):
+        def read(text):
             shingles, times, _ = cut(text)
-            return shingles, times * weight[(shingles % np.uint64(cells)).astype(np.intp)]
+            return shingles, weighed(shingles, times, weight)
 
         last, left = None, None
         for batch in batches:
             out = []
             for a, x, y in zip(batch.column("a").to_pylist(), utf8(batch.column("other")), utf8(batch.column("text")), strict=True):
-                if a != last:
-                    last, left = a, weighed(x)
-                out.append(weighted_jaccard(left, weighed(y)))
+                if last != (a, x):
+                    last, left = (a, x), read(x)
+                out.append(weighted_jaccard(left, read(y)))
             made = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], ["a", "b", "similarity"])
             yield made.filter(pa.array([s >= threshold for s in out], pa.bool_()))
 
@@ -238,15 +317,19 @@ def verified(pairs: DataFrame, texts: DataFrame, table, size: int, threshold: fl
 
 def classes(links: DataFrame, rounds: int = 60) -> DataFrame:
     """``id, least`` of every id in ``links`` (a, b): the least id it is connected to. Each round gives every id the least
-    label around it and then that label's own label, so chains shorten by half; each is written before the next one."""
-    edges = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    label around it and then that label's own label, so chains shorten by half; each is written before the next one. A graph
+    that needs more than ``rounds`` rounds (a chain of over 2**60 ids) raises an error."""
+    edges = staged(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    degrees = edges.groupBy("b").agg(F.count("*").alias("n"))
+    blocks = block_counts(degrees, "b", edges.count())
     labels = staged(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least")).withColumnRenamed("a", "id"), "labels")
-    edges = staged(edges, "edges")
     for _ in range(rounds):
-        near = edges.join(labels.select(F.col("id").alias("b"), "least"), "b").groupBy(F.col("a").alias("id")).agg(F.min("least").alias("near"))
-        better = labels.join(near, "id", "left").select("id", "least", F.least("least", "near").alias("new"))
+        near = block_join(edges, labels.select(F.col("id").alias("b"), "least"), "b", "a", blocks).groupBy(F.col("a").alias("id")).agg(F.min("least").alias("near"))
+        better = staged(labels.join(near, "id", "left").select("id", "least", F.least("least", "near").alias("new")), "better")
+        # A label's own label: chains shorten by half. Many ids can have one label.
         jump = better.select(F.col("id").alias("new"), F.col("new").alias("jumped"))
-        after = staged(better.join(jump, "new", "left").select("id", F.col("least").alias("was"), F.least("new", "jumped").alias("least")), "labels")
+        shared = block_counts(better.groupBy("new").agg(F.count("*").alias("n")), "new", better.count())
+        after = staged(block_join(better, jump, "new", "id", shared).select("id", F.col("least").alias("was"), F.least("new", "jumped").alias("least")), "labels")
         moved = after.where("least <> was").limit(1).count()
         labels = after.select("id", "least")
         if not moved:
@@ -254,73 +337,86 @@ def classes(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"classes still change after {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 12, rows: int = 3, cells: int = 1 << 18) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 12, rows: int = 3, cells: int = 1 << 19, rarest: int = 500) -> DataFrame:
     """``doc_id, class_id, n_verified`` of every row: the least doc_id of its class, and how many links of its text were verified (within a class not all need be)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = spark.sparkContext.broadcast(idf(*document_frequencies(docs, size, cells)))  # ``cells`` numbers
+    table = spark.sparkContext.broadcast(idf(*document_frequencies(docs, size, cells), rarest))  # ``cells`` numbers
+    codes = code_names(bands * rows)
     signed = staged(signatures(docs, table, size, bands, rows), "signatures")
     # Equal texts: the least document of each stands for all.
-    whole = signed.where("whole IS NOT NULL").groupBy("whole").agg(F.min("doc_id").alias("rep"))
-    keys = signed.where("whole IS NOT NULL").select("doc_id", "whole", F.explode("keys").alias("key")).join(whole.select("whole", F.col("rep").alias("doc_id")), ["whole", "doc_id"], "left_semi")
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = keys.join(sizes, "key").select("key", F.col("doc_id").alias("b"), "n")
+    least = F.min_by(F.struct("doc_id", "mass", "keys", *codes), "doc_id")
+    whole = staged(signed.where("whole IS NOT NULL").groupBy("whole").agg(F.count("*").alias("n"), least.alias("_r")).where("_r.doc_id IS NOT NULL").select("whole", "n", "_r.*"), "wholes")
+    keys = whole.select(F.col("doc_id").alias("b"), F.explode("keys").alias("key"))
+    sizes = staged(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    total = bands * whole.count()
+    hot = block_counts(sizes, "key", total)
     # How central a text is: the sizes of all its buckets together. What others were copied from is in the largest ones.
-    central = shared.groupBy("b").agg(F.sum("n").alias("central"))
-    members = staged(shared.select("key", "b").join(central, "b"), "buckets")
+    buckets = block_join(keys, sizes, "key", "b", hot).groupBy("b").agg(F.sum("n").alias("central"), F.collect_list("key").alias("keys"))  # a text has one key a band
+    members = staged(buckets.join(whole.select(F.col("doc_id").alias("b"), "mass", *codes), "b"), "members")
     # Only texts that share a bucket are ever compared: they are picked out once.
-    texts = staged(docs.join(members.select(F.col("b").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text"), "texts")
-
-    def room(rest):
-        """``b, mass, room, keys`` of those that can have a link: ``room`` is the weight that any other one may share."""
-        ids = rest.select(F.col("b").alias("doc_id")).distinct()
-        own = ids.join(signed, "doc_id").select(F.col("doc_id").alias("b"), "mass", "keys").join(alone(texts.join(ids, "doc_id", "left_semi"), table, size), "b", "left")
-        return own.withColumn("room", F.col("mass") - F.coalesce("alone", F.lit(0.0))).where(F.col("room") >= (threshold - SLACK) * F.col("mass")).drop("alone")
-
-    links, known = compared(members, lambda pairs: staged(verified(pairs, texts, table, size, threshold), "links"), room, threshold)
+    texts = staged(docs.join(members.select(F.col("b").alias("doc_id")), "doc_id", "left_semi"), "texts")
+    alike = Alike(threshold, codes, differences_allowed(bands * rows, threshold))
+    verify = lambda pairs: staged(verified(staged(pairs, "pairs"), texts, table, size, threshold), "links")
+    links = verify(led_pairs(members, hot, alike))
+    known = classes(links)
+    links = staged(links.unionByName(verify(apart_pairs(members, known, sizes, total, alike, lambda ids: alone(texts.join(ids, "doc_id", "left_semi"), table, size)))), "links")
+    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").dropDuplicates(["a", "b"])
+    known = classes(links)
     # A document's class is its text's; what has no link is alone with its copies.
-    of_text = whole.join(known.withColumnRenamed("id", "rep"), "rep", "left").select("whole", F.coalesce("least", "rep").alias("of_text"), "rep")
-    ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("linked"))
-    told = signed.select("doc_id", "whole").join(of_text.join(ends, "rep", "left"), "whole", "left")
+    ends = links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))).groupBy("doc_id").agg(F.count("*").alias("linked"))
+    of_text = whole.select("whole", "doc_id").join(known.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(ends, "doc_id", "left")
+    of_text = of_text.select("whole", F.coalesce("least", "doc_id").alias("of_text"), "linked")
+    copies = block_counts(whole.select("whole", "n"), "whole", total // bands)
+    told = block_join(signed.where("whole IS NOT NULL").select("doc_id", "whole"), of_text, "whole", "doc_id", copies, "left").unionByName(
+        signed.where("whole IS NULL").select("doc_id", "whole", F.lit(None).cast("long").alias("of_text"), F.lit(None).cast("long").alias("linked")))
     return told.select("doc_id", F.coalesce("of_text", "doc_id").alias("class_id"), F.coalesce("linked", F.lit(0)).cast("long").alias("n_verified"))
 
 
-def compared(members: DataFrame, verify, room, threshold: float, leaders: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b), and the classes they make, of all that share a bucket of ``members`` (key, b, central).
-
-    In each of ``leaders`` rounds every bucket that holds several classes verifies one text, the most central one outside its
-    main class (at first, of all), against the texts of other classes. What is still apart is compared pair by pair where
-    ``room`` lets a pair reach ``threshold``, in the first bucket that both share."""
-    spark = members.sparkSession
-    rank = F.struct("central", -F.col("b"))
-    links = known = None
-    for turn in range(leaders + 1):
-        named = members if known is None else members.join(known.withColumnRenamed("id", "b"), "b", "left")
-        named = named.withColumn("own", F.col("b") if known is None else F.coalesce("least", "b"))
-        mixed = named.groupBy("key").agg(F.max_by("own", rank).alias("main"), F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("key", "main")
-        rest = staged(named.join(mixed, "key").select("key", "b", "central", "own", "main"), "rest")
-        if not rest.limit(1).count():
-            break
-        if turn < leaders:
-            outside = rest if turn == 0 else rest.where("own <> main")
-            lead = outside.groupBy("key").agg(F.max_by(F.struct(F.col("b").alias("a"), F.col("own").alias("lead_own")), rank).alias("_l")).select("key", "_l.*")
-            pairs = lead.join(rest, "key").where("own <> lead_own").select("a", "b")
-        else:
-            # One side of each pair is outside its bucket's main class; of two such texts the lesser one asks.
-            near = staged(rest.join(room(rest), "b").drop("central"), "near")
-            ask = near.where("own <> main").select("key", F.col("b").alias("a"), F.col("own").alias("ask_own"), F.col("mass").alias("ask_mass"), F.col("room").alias("ask_room"), F.col("keys").alias("ask_keys"))
-            able = F.least("room", "ask_room") * (1 + threshold) >= (threshold - SLACK) * (F.col("mass") + F.col("ask_mass"))
-            once = F.array_intersect("ask_keys", "keys")[0] == F.col("key")
-            pairs = ask.join(near, "key").where("own <> ask_own AND (own = main OR a < b)").where(able).where(once).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = verify(staged(pairs.distinct(), "pairs"))
-        links = found if links is None else links.unionByName(found)
-        if turn and not found.limit(1).count():
-            continue
-        known = classes(links)
-    if links is None:
-        links, known = spark.createDataFrame([], "a long, b long, similarity double"), spark.createDataFrame([], "id long, least long")
-    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").dropDuplicates(["a", "b"])
-    return links, known
+class Alike:
+    """Whether two rows (``mass`` and codes, those of one with a prefix) can be a link, by what is known without their texts."""
+
+    def __init__(self, threshold: float, codes: list[str], most: int):
+        self.threshold, self.codes, self.most = threshold, codes, most
+
+    def named(self, prefix: str) -> list[Column]:
+        return [F.col(c).alias(prefix + c) for c in ("mass", *self.codes)]
+
+    def differ(self, prefix: str) -> Column:
+        return differences([F.col(c) for c in self.codes], [F.col(prefix + c) for c in self.codes])
+
+    def possible(self, prefix: str) -> Column:
+        a, b = F.col("mass"), F.col(prefix + "mass")
+        return (F.least(a, b) >= (self.threshold - SLACK) * F.greatest(a, b)) & (self.differ(prefix) <= self.most)
+
+
+def led_pairs(members: DataFrame, hot: DataFrame, alike: Alike) -> DataFrame:
+    """``a, b``: every text with the one leader of its buckets that agrees with it best, if any can be a link."""
+    flat = members.select("b", "central", "mass", *alike.codes, F.explode("keys").alias("key"))
+    lead = flat.groupBy("key").agg(F.max_by(F.struct(F.col("b").alias("a"), *alike.named("a_")), F.struct("central", -F.col("b"))).alias("_l")).select("key", "_l.*")
+    met = block_join(flat.drop("central"), lead, "key", "b", hot).where(F.col("a") != F.col("b")).where(alike.possible("a_"))
+    return met.groupBy("b").agg(F.min_by("a", F.struct(alike.differ("a_"), F.col("a"))).alias("a")).select("a", "b")
+
+
+def apart_pairs(members: DataFrame, known: DataFrame, sizes: DataFrame, total: int, alike: Alike, own_weight) -> DataFrame:
+    """``a, b``: the pairs of texts that share a bucket, are in different classes of ``known`` and can be a link."""
+    named = staged(members.join(known.withColumnRenamed("id", "b"), "b", "left").withColumn("own", F.coalesce("least", "b")).drop("least"), "named")
+    flat = named.select("b", "central", "mass", *alike.codes, "own", F.explode("keys").alias("key"))
+    mixed = flat.groupBy("key").agg(F.max_by("own", F.struct("central", -F.col("b"))).alias("main"), F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "main", "n")
+    mixed = staged(mixed, "mixed")
+    rest = staged(block_join(flat.drop("central"), mixed.withColumn("crowd", F.col("n") > CROWD).drop("n"), "key", "b", block_counts(mixed, "key", total)), "rest")
+    # Every text of a crowded bucket is looked at together, so what one has alone can't be shared with any other there.
+    crowd = rest.where("crowd").select(F.col("b").alias("doc_id")).distinct()
+    room = own_weight(crowd)
+    near = rest.join(room, "b", "left").withColumn("room", F.col("mass") - F.when(F.col("crowd"), F.coalesce("alone", F.lit(0.0))).otherwise(0.0)).drop("alone", "crowd")
+    near = staged(near.where(F.col("room") >= (alike.threshold - SLACK) * F.col("mass")), "near")
+    # One side of each pair is outside its bucket's main class; of two such texts the lesser one asks.
+    ask = near.where("own <> main").select("key", F.col("b").alias("a"), F.col("own").alias("a_own"), F.col("room").alias("a_room"), *alike.named("a_"))
+    asks = ask.groupBy("key").agg(F.count("*").alias("n"))
+    met = block_join(ask, near, "key", "a", block_counts(asks, "key", total, per=256))
+    reach = F.least("room", "a_room") * (1 + alike.threshold) >= (alike.threshold - SLACK) * (F.col("mass") + F.col("a_mass"))
+    met = met.where("own <> a_own AND (own = main OR a < b)").where(reach & alike.possible("a_"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

@@ -10,14 +10,15 @@ from placewright.llm import weighted_minhash as W
 SCHEMA = "text string, doc_id long, a long, key string"
 
 
-def brute(rows, cells=1 << 18, threshold=0.8):
+def brute(rows, cells=1 << 19, rarest=500, threshold=0.8):
     cut = W.Shingler(5)
     sets = {d: cut((t or "").encode()) for t, d, *_ in rows}
     seen = np.zeros(cells, dtype=np.int64)
     for shingles, *_ in sets.values():
-        seen[np.unique(shingles % np.uint64(cells)).astype(np.int64)] += 1
-    weight = W.idf(seen, sum(1 for s, *_ in sets.values() if len(s)))
-    weighed = {d: (s, times * weight[(s % np.uint64(cells)).astype(np.int64)]) for d, (s, times, _) in sets.items()}
+        for own in W.cells_of(shingles, cells):
+            seen[np.unique(own)] += 1
+    table = W.idf(seen, sum(1 for s, *_ in sets.values() if len(s)), rarest)
+    weighed = {d: (s, W.weighed(s, times, table)) for d, (s, times, _) in sets.items()}
     least = {d: d for d in sets}
 
     def root(x):
@@ -94,3 +95,51 @@ def test_alone_is_what_no_other_text_has(spark):
     table = spark.sparkContext.broadcast(np.full(16, 2.0, dtype=np.float32))
     got = {r["b"]: r["alone"] for r in W.alone(spark.createDataFrame(rows, "text string, doc_id long"), table, 5).collect()}
     assert got == {1: 2.0, 2: 2.0, 3: 2.0}
+
+
+def test_weights_follow_shares_of_documents(spark):
+    """Frequencies from the sketch against counts of the shingles themselves, and the same shares at any size."""
+    rng = random.Random(3)
+    rows = [(" ".join(["common words that all have"] * (i % 2) + [rng.choice("abcdefgh") + str(rng.randrange(900)) for _ in range(40)]), i) for i in range(400)]
+    seen, n = W.document_frequencies(spark.createDataFrame(rows, "text string, doc_id long"), 5, 1 << 19)
+    cut, table = W.Shingler(5), W.idf(seen, 400, 500)
+    shingles, times, _ = cut(b"common words that all have")
+    assert n == 400 and abs(W.weighed(shingles, times, table)[0] - (1 + np.log(2))) < 0.01
+    assert np.allclose(W.idf(np.array([0, 1, 50, 400]), 400, 100)[1:], W.idf(np.array([0, 1000, 50_000, 400_000]), 400_000, 100)[1:])
+
+
+def test_samples_that_may_differ():
+    assert W.differences_allowed(36, 0.8) in range(16, 20)
+    rng = np.random.default_rng(2)
+    differ = (rng.random((200_000, 36)) < 0.2 * 15 / 16).sum(axis=1)
+    assert (differ > W.differences_allowed(36, 0.8)).mean() < 1e-4
+
+
+def test_codes_count_differences(spark):
+    rng = np.random.default_rng(1)
+    rows, want = [], []
+    for _ in range(50):
+        a, b = rng.integers(0, 2**64, 36, dtype=np.uint64), rng.integers(0, 2**64, 36, dtype=np.uint64)
+        same = rng.random(36) < 0.5
+        b = np.where(same, a, b)
+        rows.append((*map(int, W.packed_codes(a)), *map(int, W.packed_codes(b))))
+        want.append(int(((a >> np.uint64(60)) != (b >> np.uint64(60))).sum()))
+    df = spark.createDataFrame(rows, "a0 long, a1 long, a2 long, b0 long, b1 long, b2 long")
+    got = [r[0] for r in df.select(W.differences([df.a0, df.a1, df.a2], [df.b0, df.b1, df.b2])).collect()]
+    assert got == want
+
+
+def test_hot_keys_are_dealt_to_blocks(spark):
+    left = spark.createDataFrame([(i % 7 if i > 4000 else 1, i) for i in range(5000)], "k int, i long")
+    right = spark.createDataFrame([(k, f"v{k}") for k in range(6)], "k int, v string")
+    blocks = W.block_counts(left.groupBy("k").count().withColumnRenamed("count", "n"), "k", 5000, per=100, keys=10)
+    assert {r["k"]: r["_blocks"] for r in blocks.collect()} == {1: -(-left.where("k = 1").count() // 100)}
+    got = W.block_join(left, right, "k", "i", blocks, "left")
+    assert got.count() == 5000 and got.where("v IS NULL").count() == left.where("k = 6").count()
+
+
+def test_missing_and_repeated_ids(spark):
+    text = " ".join(map(str, range(50)))
+    rows = [(text, None, 1, "p"), (text, 3, 1, "q"), ("quite other words than those above", None, 1, "r"), ("one more text of a few words", 7, 1, "s"), ("and the same id with other words", 7, 1, "t")]
+    got = sorted(((r["doc_id"] or -1, r["class_id"] or -1) for r in W.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()))
+    assert got == [(-1, -1), (-1, 3), (3, 3), (7, 7), (7, 7)]
