@@ -19,8 +19,9 @@ Groups are classes of documents joined by links of at least ``threshold``. No pa
 2. in each band bucket the most central text leads. Every text is compared with one leader, the one of its buckets' whose
    samples agree best, so its text is fetched once;
 3. what is still apart from others in its buckets is compared pair by pair, where masses and samples let a pair reach
-   ``threshold``. In crowded buckets shingles that no other remaining text has are found first: they can't be shared, so what is
-   left of the lighter text bounds the similarity from above, and texts that can't reach it are compared with nobody.
+   ``threshold``. In crowded buckets shingles that no other remaining text has are found first: they can't be shared. What is left
+   of each text is added up in ``CLASSES`` hash classes of shingles; two texts share at most the lesser sum of each class, and
+   pairs that this bound leaves below the threshold are not compared.
 
 Any candidate pair is in one class at last or was judged itself. Buckets, groups and leaders that many rows share are dealt to
 blocks (``block_counts``), so no task gets a whole crowd.
@@ -56,6 +57,8 @@ BLOCK = 512
 SLACK = 1e-6
 #: Texts of a bucket from which on it is worth while to look for shingles of their own before pairs are made.
 CROWD = 64
+#: Hash classes of shingles in which a crowded bucket's texts are bounded.
+CLASSES = 32
 
 
 def gamma_quantiles() -> np.ndarray:
@@ -244,9 +247,9 @@ def signatures(docs: DataFrame, table, size: int, bands: int, rows: int) -> Data
     return docs.mapInArrow(run, "doc_id long, whole long, mass double, keys array<long>, " + ", ".join(f"{c} long" for c in names))
 
 
-def alone(texts: DataFrame, table, size: int) -> DataFrame:
-    """``b, alone``: of each text that has any, the weight of the shingles that no other one of ``texts`` (doc_id, text) has.
-    Both aggregations combine before they shuffle, so a shingle of all texts is as cheap as any other."""
+def shared_room(texts: DataFrame, table, size: int) -> DataFrame:
+    """``b, rooms`` of each of ``texts`` (doc_id, text): the weight of the shingles that another one has too, in CLASSES hash
+    classes. All aggregations combine before they shuffle, so a shingle of all texts is as cheap as any other."""
     rows = 1 << 18
 
     def run(batches):
@@ -267,8 +270,11 @@ def alone(texts: DataFrame, table, size: int) -> DataFrame:
         if held:
             yield out()
 
-    one = texts.select("doc_id", "text").mapInArrow(run, "shingle long, b long, weight double").groupBy("shingle").agg(F.count("*").alias("n"), F.min("b").alias("b"), F.min("weight").alias("weight"))
-    return one.where("n = 1").groupBy("b").agg(F.sum("weight").alias("alone"))
+    every = texts.select("doc_id", "text").mapInArrow(run, "shingle long, b long, weight double")
+    alone = every.groupBy("shingle").agg(F.count("*").alias("n"), F.min("b").alias("b"), F.min("weight").alias("weight")).where("n = 1").select("b", "shingle", (-F.col("weight")).alias("weight"))
+    own = F.pmod("shingle", F.lit(CLASSES))
+    sums = every.select("b", "shingle", "weight").unionByName(alone).groupBy("b").agg(*[F.sum(F.when(own == i, F.col("weight")).otherwise(0.0)).alias(f"r{i}") for i in range(CLASSES)])
+    return sums.select("b", F.array(*[f"r{i}" for i in range(CLASSES)]).alias("rooms"))
 
 
 def block_counts(counts: DataFrame, key: str, total: int, per: int = 2000, keys: int = 10_000) -> DataFrame:
@@ -291,7 +297,7 @@ def verified(pairs: DataFrame, texts: DataFrame, table, size: int, threshold: fl
     whose text is cut into shingles once for all of its partners in a task."""
     leaders = pairs.groupBy("a").agg(F.count("*").alias("n"))
     blocks = block_counts(leaders, "a", pairs.count())
-    own = pairs.join(texts.select(F.col("doc_id").alias("b"), "text"), "b")
+    own = pairs.hint("merge").join(texts.select(F.col("doc_id").alias("b"), "text"), "b")  # the plan doesn't turn with the size
     led = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("other")).join(leaders.select("a"), "a", "left_semi")
     both = block_join(own, led.hint("merge"), "a", "b", blocks)
 
@@ -352,15 +358,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     total = bands * whole.count()
     hot = block_counts(sizes, "key", total)
     # How central a text is: the sizes of all its buckets together. What others were copied from is in the largest ones.
-    buckets = block_join(keys, sizes, "key", "b", hot).groupBy("b").agg(F.sum("n").alias("central"), F.collect_list("key").alias("keys"))  # a text has one key a band
+    buckets = block_join(keys, sizes, "key", "b", hot).groupBy("b").agg(F.sum("n").alias("central"), F.sort_array(F.collect_list("key")).alias("keys"))  # a text has one key a band
     members = staged(buckets.join(whole.select(F.col("doc_id").alias("b"), "mass", *codes), "b"), "members")
     # Only texts that share a bucket are ever compared: they are picked out once.
-    texts = staged(docs.join(members.select(F.col("b").alias("doc_id")), "doc_id", "left_semi"), "texts")
+    texts = staged(docs.join(members.select(F.col("b").alias("doc_id")).hint("merge"), "doc_id", "left_semi"), "texts")
     alike = Alike(threshold, codes, differences_allowed(bands * rows, threshold))
     verify = lambda pairs: staged(verified(staged(pairs, "pairs"), texts, table, size, threshold), "links")
     links = verify(led_pairs(members, hot, alike))
     known = classes(links)
-    links = staged(links.unionByName(verify(apart_pairs(members, known, sizes, total, alike, lambda ids: alone(texts.join(ids, "doc_id", "left_semi"), table, size)))), "links")
+    links = staged(links.unionByName(verify(apart_pairs(members, known, sizes, total, alike, lambda ids: shared_room(texts.join(ids, "doc_id", "left_semi"), table, size)))), "links")
     links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").dropDuplicates(["a", "b"])
     known = classes(links)
     # A document's class is its text's; what has no link is alone with its copies.
@@ -398,24 +404,27 @@ def led_pairs(members: DataFrame, hot: DataFrame, alike: Alike) -> DataFrame:
     return met.groupBy("b").agg(F.min_by("a", F.struct(alike.differ("a_"), F.col("a"))).alias("a")).select("a", "b")
 
 
-def apart_pairs(members: DataFrame, known: DataFrame, sizes: DataFrame, total: int, alike: Alike, own_weight) -> DataFrame:
-    """``a, b``: the pairs of texts that share a bucket, are in different classes of ``known`` and can be a link."""
+def apart_pairs(members: DataFrame, known: DataFrame, sizes: DataFrame, total: int, alike: Alike, shared) -> DataFrame:
+    """``a, b``: the pairs of texts that share a bucket, are in different classes of ``known`` and can be a link. ``shared`` gives
+    the rooms (see ``shared_room``) of texts by id."""
     named = staged(members.join(known.withColumnRenamed("id", "b"), "b", "left").withColumn("own", F.coalesce("least", "b")).drop("least"), "named")
-    flat = named.select("b", "central", "mass", *alike.codes, "own", F.explode("keys").alias("key"))
+    flat = named.select("b", "central", "mass", *alike.codes, "own", "keys", F.explode("keys").alias("key"))
     mixed = flat.groupBy("key").agg(F.max_by("own", F.struct("central", -F.col("b"))).alias("main"), F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "main", "n")
     mixed = staged(mixed, "mixed")
     rest = staged(block_join(flat.drop("central"), mixed.withColumn("crowd", F.col("n") > CROWD).drop("n"), "key", "b", block_counts(mixed, "key", total)), "rest")
-    # Every text of a crowded bucket is looked at together, so what one has alone can't be shared with any other there.
-    crowd = rest.where("crowd").select(F.col("b").alias("doc_id")).distinct()
-    room = own_weight(crowd)
-    near = rest.join(room, "b", "left").withColumn("room", F.col("mass") - F.when(F.col("crowd"), F.coalesce("alone", F.lit(0.0))).otherwise(0.0)).drop("alone", "crowd")
-    near = staged(near.where(F.col("room") >= (alike.threshold - SLACK) * F.col("mass")), "near")
+    # All texts of crowded buckets are looked at together, so what one has alone can't be shared with another one there.
+    room = shared(rest.where("crowd").select(F.col("b").alias("doc_id")).distinct())
+    near = rest.join(room, "b", "left").withColumn("rooms", F.when(F.col("crowd"), F.col("rooms"))).drop("crowd")
+    left = F.aggregate("rooms", F.lit(0.0), lambda x, y: x + y)
+    near = staged(near.where(F.col("rooms").isNull() | (left >= (alike.threshold - SLACK) * F.col("mass"))), "near")
     # One side of each pair is outside its bucket's main class; of two such texts the lesser one asks.
-    ask = near.where("own <> main").select("key", F.col("b").alias("a"), F.col("own").alias("a_own"), F.col("room").alias("a_room"), *alike.named("a_"))
+    ask = near.where("own <> main").select("key", F.col("b").alias("a"), F.col("own").alias("a_own"), F.col("rooms").alias("a_rooms"), F.col("keys").alias("a_keys"), *alike.named("a_"))
     asks = ask.groupBy("key").agg(F.count("*").alias("n"))
     met = block_join(ask, near, "key", "a", block_counts(asks, "key", total, per=256))
-    reach = F.least("room", "a_room") * (1 + alike.threshold) >= (alike.threshold - SLACK) * (F.col("mass") + F.col("a_mass"))
-    met = met.where("own <> a_own AND (own = main OR a < b)").where(reach & alike.possible("a_"))
+    both = F.aggregate(F.zip_with("rooms", "a_rooms", lambda x, y: F.least(x, y)), F.lit(0.0), lambda x, y: x + y)
+    reach = F.coalesce(both * (1 + alike.threshold) >= (alike.threshold - SLACK) * (F.col("mass") + F.col("a_mass")), F.lit(True))
+    once = F.array_intersect("a_keys", "keys")[0] == F.col("key")  # in the first bucket that both share
+    met = met.where("own <> a_own AND (own = main OR a < b)").where(alike.possible("a_")).where(once).where(reach)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

@@ -90,11 +90,11 @@ def test_crowd_around_one_source(spark):
     assert got == brute(rows)
 
 
-def test_alone_is_what_no_other_text_has(spark):
+def test_room_is_what_another_text_has_too(spark):
     rows = [("a b c d e f", 1), ("a b c d e g", 2), ("h i j k l", 3), (None, 4)]
     table = spark.sparkContext.broadcast(np.full(16, 2.0, dtype=np.float32))
-    got = {r["b"]: r["alone"] for r in W.alone(spark.createDataFrame(rows, "text string, doc_id long"), table, 5).collect()}
-    assert got == {1: 2.0, 2: 2.0, 3: 2.0}
+    got = {r["b"]: sum(r["rooms"]) for r in W.shared_room(spark.createDataFrame(rows, "text string, doc_id long"), table, 5).collect()}
+    assert got == {1: 2.0, 2: 2.0, 3: 0.0}
 
 
 def test_weights_follow_shares_of_documents(spark):
