@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct fragments remembered by a task, and the longest that is. Only memory depends on them, never a result.
-REMEMBERED, LONGEST = 150_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 #: Fragments handled at once, which bounds the memory for very long texts.
 SLICE = 100_000
 #: Bytes of text handled at once.
@@ -53,11 +52,13 @@ class Codec:
         letters = byte_letters()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bytes_of = [b""] * (max(vocabulary.values()) + 1)
+        self.sizes = np.zeros(len(self.bytes_of), dtype=np.int64)
         added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         joined = np.zeros((256, 256), dtype=bool)
         for token, i in vocabulary.items():
             raw = token.encode() if token in added else bytes(letters[c] for c in token)
             self.bytes_of[i] = raw
+            self.sizes[i] = len(raw)
             b = np.frombuffer(raw, dtype=np.uint8)
             joined[b[:-1], b[1:]] = True
         self.cut = ~joined & self._free_of_context()
@@ -96,21 +97,41 @@ class Codec:
         for parts in self.fragments(data):
             found = list(map(self.known.get, parts))
             if None in found:
-                passing = self._learn({p for p, ids in zip(parts, found, strict=True) if ids is None})
-                found = [self.known.get(p) or passing[p] if ids is None else ids for p, ids in zip(parts, found, strict=True)]
+                at = [i for i, ids in enumerate(found) if ids is None]
+                made = self._learn({parts[i] for i in at})
+                for i in at:
+                    found[i] = made[parts[i]]
             yield b"".join(found)
 
     def _learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
-        """Encode fragments; those too long to be remembered are returned."""
+        """The ids of fragments that are not known; all but the long ones are remembered."""
         if len(self.known) > REMEMBERED:  # the last two generations stay, so frequent fragments do
             self.older, self.known = self.known, {}
-        again = {p: self.older[p] for p in missing if p in self.older}
-        self.known |= again
-        new = [p for p in missing if p not in again]
-        made = self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in new], add_special_tokens=False)
-        packed = [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in made)]
-        self.known |= {p: ids for p, ids in zip(new, packed, strict=True) if len(p) <= LONGEST}
-        return {p: ids for p, ids in zip(new, packed, strict=True) if len(p) > LONGEST}
+        made = {p: self.older[p] for p in missing if p in self.older}
+        new = [p for p in missing if p not in made]
+        made.update(zip(new, self._ids(new), strict=True))
+        self.known.update((p, ids) for p, ids in made.items() if len(p) <= LONGEST)
+        return made
+
+    def _ids(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of each fragment. Between two that may stand side by side with a forced cut the library needs no call of its own:
+        they are encoded as one text, and the lengths of its tokens say which belong to which."""
+        if not parts:
+            return []
+        last, first = (np.frombuffer(bytes(p[i] for p in parts), dtype=np.uint8) for i in (-1, 0))
+        breaks = [0, *(np.flatnonzero(~self.cut[last[:-1], first[1:]]) + 1).tolist(), len(parts)]
+        texts = [b"".join(parts[x:y]) for x, y in zip(breaks, breaks[1:], strict=False)]
+        made = [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)]
+        out = []
+        for (x, y), ids, text in zip(zip(breaks, breaks[1:], strict=False), made, texts, strict=True):
+            ends = np.cumsum(self.sizes[ids])
+            stops = np.cumsum([len(p) for p in parts[x:y]])
+            at = np.searchsorted(ends, stops)
+            if not len(ids) or ends[-1] != len(text) or (ends[at] != stops).any():
+                raise ValueError("a token runs over a forced boundary")
+            raw, at = ids.tobytes(), [0, *((at + 1) * 4).tolist()]
+            out += [raw[i:j] for i, j in zip(at, at[1:], strict=False)]
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD, as the library has it."""
