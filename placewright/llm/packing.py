@@ -3,10 +3,10 @@
 The plan follows the linear grouping scheme. Large lengths (over ``capacity / small_part``) are sorted and dealt
 into groups of equal cardinality, and each group's lengths are rounded up to its largest. For these few sizes the
 best configurations (which sizes share a sequence, and how often) come from the linear programme over
-configurations, solved by column generation with a knapsack as pricing problem. Half of each configuration's
-uses (``SHARE``) are laid down; the actual documents take the places of their rounded sizes, which frees room, and
-all the rest, down to the small documents, goes by best fit (longest first, to the place it fills best). Laying
-down all uses would fix the waste of rounding up; with half of them the rest evens it out.
+configurations, solved by column generation with a knapsack as pricing problem. The configurations' uses are laid down;
+the actual documents take the places of their rounded sizes, which frees room, and all the rest, down to the small
+documents, goes by best fit (longest first, to the place it fills best). Laying down all uses can fix the waste of rounding
+up, so the plan is made with all, three quarters and half of them (``SHARES``), and the one with fewest sequences holds.
 
 Lengths are integers up to ``capacity``, so all this works on counts per length: the driver handles at most
 ``capacity`` numbers and a plan of a few thousand rows, however many documents there are. Documents find their
@@ -31,18 +31,19 @@ from placewright.llm.bpe import codec, utf8
 from placewright.llm.staging import staged
 
 #: Rows ranked together by one task.
-CELL = 20_000
-#: Of each configuration's uses, the share that is laid down before best fit.
-SHARE = 0.5
+CELL = 2_000
+#: Of each configuration's uses, the shares that are tried to be laid down before best fit.
+SHARES = (1.0, 0.75, 0.5)
 
-PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: ``turn`` numbers a task's pieces; it tells rows with one id apart when they are dealt to cells.
+PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, turn long"
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> DataFrame:
     """Every document as pieces of at most ``capacity`` ids; only the first piece of a cut document may be shorter."""
 
     def run(batches):
-        own, last = codec(vocabulary), np.array([end_id], dtype="<u4")
+        own, last, turn = codec(vocabulary), np.array([end_id], dtype="<u4"), 0
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True):
@@ -50,9 +51,10 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -
                 first = (len(ids) - 1) % capacity + 1
                 starts = [0, *range(first, len(ids), capacity)]
                 for piece, (x, y) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
-                    rows.append((doc_id, piece, x, y - x, zlib.crc32(ids[x:y].tobytes())))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                    rows.append((doc_id, piece, x, y - x, zlib.crc32(ids[x:y].tobytes()), turn + len(rows)))
+            turn += len(rows)
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "turn"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECE)
 
@@ -101,8 +103,8 @@ def best_configuration(sizes: np.ndarray, values: np.ndarray, capacity: int) ->
     return float(best[capacity]), made
 
 
-def configurations(sizes: list[int], need: list[int], capacity: int, gap: float = 1e-3) -> list[tuple[np.ndarray, int]]:
-    """Configurations and how many times to lay each down: SHARE of the linear programme's optimum (to ``gap``), rounded down."""
+def configurations(sizes: list[int], need: list[int], capacity: int, gap: float = 1e-3) -> list[tuple[np.ndarray, float]]:
+    """Configurations and how often the linear programme's optimum (to ``gap``) uses each."""
     s, n = np.array(sizes), np.array(need, dtype=float)
     if not len(s):
         return []
@@ -131,7 +133,7 @@ def configurations(sizes: list[int], need: list[int], capacity: int, gap: float
         x = x - t * step
         x[leave] = t
         columns[leave], costs[leave] = entering, cost
-    return [(c, int(m * SHARE)) for c, m, cost in zip(columns, x, costs, strict=True) if cost and m * SHARE >= 1]
+    return [(c, float(m)) for c, m, cost in zip(columns, x, costs, strict=True) if cost and m > 0]
 
 
 class Plan:
@@ -195,19 +197,22 @@ class Plan:
 
 
 def plan(counts: dict[int, int], capacity: int, groups: int = 96, small_part: int = 8) -> Plan:
-    out = Plan(counts, capacity)
     grouped = linear_groups(counts, capacity // small_part, groups)
-    need = [sum(n for _, n in runs) for _, runs in grouped]
-    out.substitute(grouped, configurations([size for size, _ in grouped], need, capacity))
-    out.best_fit()
-    return out
+    chosen = configurations([size for size, _ in grouped], [sum(n for _, n in runs) for _, runs in grouped], capacity)
+    made = []
+    for share in SHARES:
+        own = Plan(counts, capacity)
+        own.substitute(grouped, [(c, int(m * share)) for c, m in chosen if m * share >= 1])
+        own.best_fit()
+        made.append(own)
+    return min(made, key=lambda p: p.sequences)
 
 
 def ranked(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
     """``rank`` of each piece among those of its length, counted in cells of about CELL rows."""
     spark = pieces.sparkSession
     cells = spark.createDataFrame([(x, max(1, -(-n // CELL))) for x, n in counts.items()], "length long, cells long")  # one row a length
-    dealt = pieces.join(F.broadcast(cells), "length").withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece"), "cells"))
+    dealt = pieces.join(F.broadcast(cells), "length").withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "turn"), "cells"))
     sizes = dealt.groupBy("length", "cell").count()
     before = sizes.withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("cell")) - F.col("count")).drop("count")
     inside = Window.partitionBy("length", "cell").orderBy("doc_id", "piece")
@@ -215,16 +220,16 @@ def ranked(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
 
 
 def packed(pieces: DataFrame, capacity: int, groups: int = 96, small_part: int = 8) -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset``. ``pieces`` is read twice, so it should be a written table."""
+    """``pieces`` (see PIECE) with ``sequence_id`` and ``offset``. ``pieces`` is read twice, so it should be a written table."""
     counts = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}  # at most one row for each length up to capacity
     if not counts:
-        return pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+        return pieces.drop("turn").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
     made = plan(counts, capacity, groups, small_part)
     rows = pieces.sparkSession.createDataFrame([(length, rank, rank + n, first, offset) for length, rank, n, first, offset in made.rows], "for_length long, from_rank long, to_rank long, first long, offset long")
     own = ranked(pieces, counts)
     fits = (F.col("length") == F.col("for_length")) & (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("to_rank"))
     placed = own.join(F.broadcast(rows), fits)  # a few thousand rows: lengths are at most ``capacity``
-    return placed.select(*pieces.columns, (F.col("first") + F.col("rank") - F.col("from_rank")).alias("sequence_id"), "offset")
+    return placed.select(*[c for c in pieces.columns if c != "turn"], (F.col("first") + F.col("rank") - F.col("from_rank")).alias("sequence_id"), "offset")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, groups: int = 96) -> DataFrame:

@@ -121,7 +121,18 @@ def test_plan_places_every_rank_once(seed):
 
 def test_hot_length_is_ranked_in_cells(spark, monkeypatch):
     monkeypatch.setattr(packing, "CELL", 10)
-    pieces = spark.createDataFrame([(i, 0, 0, 300 if i % 3 else 700, 1) for i in range(300)], packing.PIECE)
+    pieces = spark.createDataFrame([(i, 0, 0, 300 if i % 3 else 700, 1, i) for i in range(300)], packing.PIECE)
     assert check(packing.packed(pieces, 1024).collect(), 1024) <= 134
     held = packing.sequences(packing.packed(pieces, 1024)).collect()
     assert sum(len(r["holds"]) for r in held) == 300
+
+
+def test_repeated_and_missing_ids_and_one_huge_text(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CELL", 10)
+    rows = [("same words", 1)] * 60 + [("other", None)] * 30 + [("long text " * 60_000, 2)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "text string, doc_id long"), PATH).collect()
+    check(got, 1024)
+    assert sum(r["doc_id"] == 1 for r in got) == 60 and sum(r["doc_id"] is None for r in got) == 30
+    assert [r["piece"] for r in sorted((r for r in got if r["doc_id"] == 2), key=lambda r: r["start"])] == list(range(sum(r["doc_id"] == 2 for r in got)))
+    told = bpe.round_trip(spark.createDataFrame([("x y", None), (None, 4), ("x y", None)], "text string, doc_id long"), PATH).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in told) == [(0, 2), (0, 2), (4, 0)]
