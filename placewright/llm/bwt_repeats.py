@@ -7,8 +7,8 @@ neighbours there share l - 1 bytes, and only such intervals are extended again.
 a value is one whose neighbours share ``length`` bytes or more: those suffixes start repeats. Nothing longer is computed.
 
 Defined results: a text is its UTF-8 bytes, null as empty; matches never cross documents; shorter texts lose nothing;
-all places of a repeat are removed, in equal texts all bytes. doc_id is the key: rows that repeat one must have one text,
-and that text then stands twice. Rows without one lose nothing. Other columns play no part.
+all places of a repeat are removed, in equal texts all bytes. Rows that share a doc_id are texts of their own, and equal
+rows stand twice. Rows without one lose nothing. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placewright.llm.bpe import utf8
-from placewright.llm.repeats import Segment, merged, repeated_ranges, runs
+from placewright.llm.repeats import Segment, bodies, merged, repeated_ranges, runs
 from placewright.llm.succinct import FMIndex
 
 #: Bytes of an anchor.
@@ -67,15 +67,14 @@ def search(shard: list[Segment], length: int) -> Iterator[tuple[Segment, int, in
     short = short_prefixes(index, len(text), length)
     alone = short & np.append(short[1:], True)
     room = np.repeat(ends, lengths + 1) - np.arange(len(text))
+    # An interval of ``length`` bytes repeats if it holds several suffixes, or one of a segment that stands several times.
+    times = np.repeat([s.times for s in shard], lengths + 1)
     start = np.zeros(len(text), dtype=bool)
-    start[index.order[~alone]] = True
+    start[index.order] = ~alone | (times[index.order] > 1)
     start &= room >= length
     for segment, first, size in zip(shard, (ends - lengths).tolist(), lengths.tolist(), strict=True):
-        if segment.times > 1:
-            yield segment, 0, size, -1
-        else:
-            for a, b in runs(start[first : first + size]):
-                yield segment, a, b + length - 1, -1
+        for a, b in runs(start[first : first + size]):
+            yield segment, a, b + length - 1, -1
 
 
 def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -98,8 +97,11 @@ def cut_text(text: bytes, ranges: list[dict] | None) -> tuple[list[tuple[int, in
 
 def with_ranges(docs: DataFrame, length: int) -> DataFrame:
     """``docs`` with ``_ranges`` of bytes to remove (null: none)."""
-    found = repeated_ranges(docs, length, ANCHOR, False, True, lambda shard: search(shard, length))
-    return docs.join(found.select(F.col("doc_id").alias("_of"), F.col("ranges").alias("_ranges")), F.col("doc_id").cast("long") == F.col("_of"), "left").drop("_of")
+    own = bodies(docs)
+    found = repeated_ranges(own, length, ANCHOR, False, True, lambda shard: search(shard, length))
+    found = found.select(F.col("doc_id").alias("_of"), F.col("body").alias("_body"), F.col("ranges").alias("_ranges"))
+    body = F.hash(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.join(found, (docs["doc_id"].cast("long") == F.col("_of")) & (body == F.col("_body")), "left").drop("_of", "_body")
 
 
 def drop_repeats(docs: DataFrame, length: int = 200) -> DataFrame:

@@ -8,7 +8,7 @@ index, and which is the least document that has them. Statistics of ``window`` w
 
 Defined results: words are what stands between ASCII white space, unchanged. Null and empty texts have no words;
 texts of fewer than ``window`` words lose none; of equal texts the one with the least doc_id keeps its words. doc_id is
-the key: rows that repeat one count as one document and must have its text; rows without one lose nothing. Other
+the key: rows that share one are one document, each judged by its own text; rows without one lose nothing. Other
 columns play no part.
 """
 
@@ -20,10 +20,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from placewright.llm.bpe import utf8
-from placewright.llm.repeats import Segment, merged, repeated_ranges
+from placewright.llm.repeats import Segment, bodies, merged, repeated_ranges
 from placewright.llm.succinct import FMIndex
 
 #: Words of an anchor: long enough to be rare, short enough that a window holds many.
@@ -99,8 +98,8 @@ def digests(docs: DataFrame, window: int = 50) -> DataFrame:
 
 
 def _with_ranges(docs: DataFrame, window: int, more: str, digest: bool) -> DataFrame:
-    found = repeated_ranges(docs, window, ANCHOR, True, False, lambda shard: search(shard, window))
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(found, "doc_id", "left")
+    own = bodies(docs)
+    joined = own.join(repeated_ranges(own, window, ANCHOR, True, False, lambda shard: search(shard, window)), ["doc_id", "body"], "left").select("doc_id", "text", "ranges")
 
     def run(batches):
         for batch in batches:

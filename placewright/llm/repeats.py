@@ -6,15 +6,16 @@ that occurs once in the corpus belongs to no repeat. So the plan is
 
 1. scan: cut every text into *segments*, each of all neighbouring windows with one anchor, as rows (anchor, hash of
    the segment, doc_id, start); count the anchors and keep the rows of those that may repeat;
-2. of equal segments only one is looked at: the first place's document gives its text. Where an anchor has one segment
-   only, with several places, they are copies of each other and of nothing else;
-3. deal the other segments to shards by anchor. A shard is indexed and searched as a whole (this is where the operators
+2. of equal segments one is looked at, with how often it stands: the first place's document gives its text;
+3. deal the segments to shards by anchor. A shard is indexed and searched as a whole (this is where the operators
    differ) and says which ranges of each segment repeat;
 4. join what it says with all places of the segment, and the ranges with the texts.
 
 Equal windows meet in one shard, so shards need nothing from each other. All counting is by aggregations that
-combine before they shuffle, and a segment that a third of all documents share reaches its shard once. Shards close at
-a fixed size; what a task holds doesn't grow with the corpus but for an anchor whose surroundings differ everywhere.
+combine before they shuffle, a segment that a third of all documents share reaches its shard once, and its places are joined
+in blocks. Shards close at a fixed size. An anchor with very many places (a phrase of a licence in all sorts of
+surroundings) would make a large shard: such anchors, at most ``HOT_KEYS`` of them, are split. Their windows get a second anchor,
+the least of their strings of nine tenths of a window, which differs where the surroundings do.
 """
 
 from __future__ import annotations
@@ -28,10 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placewright.llm.bpe import utf8
-from placewright.llm.staging import staged
+from placewright.llm.staging import block_counts, block_join, staged
 
 #: Bytes of segments in one shard.
 SHARD = 500_000
+#: Places from which on an anchor is split, if it also holds one in HOT_KEYS of all places (so no more are).
+HOT, HOT_KEYS = 20_000, 10_000
+SECOND = np.uint64(0x8EBC6AF09C88C6E3)
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -89,10 +93,21 @@ def codes(data: bytes, by_word: bool) -> np.ndarray:
     return Rolling(own).stretch(first, end)
 
 
+def least_of(values: np.ndarray, want: int) -> np.ndarray:
+    """The minimum over each ``want`` neighbours, by doubling."""
+    wide = 1
+    while wide < want:
+        step = min(wide, want - wide)
+        values = np.minimum(values[:-step], values[step:])
+        wide += step
+    return values
+
+
 class Segments:
-    """The segments of one text: first window and end of each (in units), its anchor and a hash of its units."""
+    """The segments of one text: first window and end of each (in units), its anchor and a hash of its units. Windows whose anchor
+    is one of ``hot`` (sorted) have a second one in its place."""
 
-    def __init__(self, units: np.ndarray, window: int, k: int):
+    def __init__(self, units: np.ndarray, window: int, k: int, hot: np.ndarray):
         n = len(units) - window + 1
         if n < 1:
             self.first = self.end = np.zeros(0, np.int64)
@@ -100,15 +115,18 @@ class Segments:
             self.grams = self.anchor
             return
         rolling = Rolling(units)
-        self.grams = least = rolling.grams(k)
-        wide, want = 1, window - k + 1
-        while wide < want:  # minimum over ``want`` neighbours, by doubling
-            step = min(wide, want - wide)
-            least = np.minimum(least[:-step], least[step:])
-            wide += step
-        self.first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+        self.grams = rolling.grams(k)
+        anchor = least_of(self.grams, window - k + 1)
+        if len(hot):
+            split = hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor
+            if split.any():
+                wide = window * 9 // 10
+                longer = mix(rolling.grams(wide) ^ SECOND)
+                anchor = np.where(split, least_of(longer, window - wide + 1), anchor)
+                self.grams = np.concatenate([self.grams, longer])
+        self.first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         self.end = np.append(self.first[1:], n) + window - 1
-        self.anchor = least[self.first]
+        self.anchor = anchor[self.first]
         self.key = rolling.stretch(self.first, self.end)
 
     def again(self) -> np.ndarray:
@@ -120,9 +138,15 @@ class Segments:
         return times[np.searchsorted(values, self.anchor)] > 1
 
 
-def places(docs: DataFrame, window: int, k: int, by_word: bool, within_one: bool) -> DataFrame:
-    """``anchor, key, doc_id, start, size, again``: every segment of every text, in units."""
-    names = ["anchor", "key", "doc_id", "start", "size", "again"]
+def bodies(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, body``: rows with one doc_id are told apart by a hash of their texts."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.hash(F.coalesce(text, F.lit(""))).alias("body"))
+
+
+def places(docs: DataFrame, window: int, k: int, by_word: bool, within_one: bool, hot) -> DataFrame:
+    """``anchor, key, doc_id, body, start, size, again``: every segment of every text, in units."""
+    names = ["anchor", "key", "doc_id", "body", "start", "size", "again"]
 
     def run(batches):
         held: list[list[np.ndarray]] = []
@@ -134,12 +158,12 @@ def places(docs: DataFrame, window: int, k: int, by_word: bool, within_one: bool
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True):
-                own = Segments(codes(text, by_word), window, k)
+            for doc_id, body, text in zip(batch.column("doc_id").to_pylist(), batch.column("body").to_pylist(), utf8(batch.column("text")), strict=True):
+                own = Segments(codes(text, by_word), window, k, hot.value)
                 m = len(own.first)
                 if m and doc_id is not None:
                     again = own.again() if within_one else np.zeros(m, dtype=bool)
-                    held.append([own.anchor.view(np.int64), own.key.view(np.int64), np.full(m, doc_id, dtype=np.int64), own.first.astype(np.int32), (own.end - own.first).astype(np.int32), again])
+                    held.append([own.anchor.view(np.int64), own.key.view(np.int64), np.full(m, doc_id, dtype=np.int64), np.full(m, body, dtype=np.int32), own.first.astype(np.int32), (own.end - own.first).astype(np.int32), again])
                     size += m
                     if size > 50_000:
                         yield flush()
@@ -147,33 +171,45 @@ def places(docs: DataFrame, window: int, k: int, by_word: bool, within_one: bool
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "anchor long, key long, doc_id long, start int, size int, again boolean")
+    return docs.mapInArrow(run, "anchor long, key long, doc_id long, body int, start int, size int, again boolean")
 
 
-def repeated_places(docs: DataFrame, window: int, k: int, by_word: bool, within_one: bool) -> DataFrame:
-    """The rows of ``places`` whose anchor stands in another document too (``within_one``: or again anywhere)."""
-    rows = places(docs, window, k, by_word, within_one)
+def repeated_places(docs: DataFrame, window: int, k: int, by_word: bool, within_one: bool):
+    """The rows of ``places`` whose anchor stands in another document too (``within_one``: or again anywhere), how they are dealt
+    to blocks by anchor, and the anchors that were split (broadcast)."""
+    share = docs.sparkSession.sparkContext.broadcast
     many = F.min("doc_id") < F.max("doc_id")
-    counted = rows.groupBy("anchor").agg((many | F.max("again") | (F.count("*") > 1) if within_one else many).alias("many"))
-    return rows.drop("again").join(counted.where("many").select("anchor"), "anchor")
+
+    def counted(hot):
+        rows = places(docs, window, k, by_word, within_one, hot)
+        counts = rows.groupBy("anchor").agg((many | F.max("again") | (F.count("*") > 1) if within_one else many).alias("many"), F.count("*").alias("n"))
+        return rows.drop("again"), staged(counts.where("many").select("anchor", "n"), "anchors")
+
+    hot = share(np.zeros(0, np.uint64))
+    rows, counts = counted(hot)
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    crowded = [r["anchor"] for r in counts.where(F.col("n") >= max(HOT, -(-total // HOT_KEYS))).select("anchor").collect()]  # HOT_KEYS at most
+    if crowded:
+        hot = share(np.sort(np.array(crowded, dtype=np.int64).view(np.uint64)))
+        rows, counts = counted(hot)
+    blocks = block_counts(counts, "anchor", total)
+    return block_join(rows, counts.select("anchor"), "anchor", "doc_id", blocks), blocks, hot
 
 
 def distinct_segments(found: DataFrame) -> DataFrame:
-    """``anchor, key, at, times, kinds``: each distinct segment with its first place, how often it stands, and how many distinct
-    segments its anchor has."""
-    distinct = found.groupBy("anchor", "key").agg(F.min(F.struct("doc_id", "start", "size")).alias("at"), F.count("*").alias("times"))
-    return distinct.join(distinct.groupBy("anchor").agg(F.count("*").alias("kinds")), "anchor")
+    """``anchor, key, at, times``: each distinct segment with its first place and how often it stands."""
+    return found.groupBy("anchor", "key").agg(F.min(F.struct("doc_id", "body", "start")).alias("at"), F.count("*").alias("times"))
 
 
-def segment_texts(docs: DataFrame, distinct: DataFrame, window: int, k: int, by_word: bool) -> DataFrame:
+def segment_texts(docs: DataFrame, distinct: DataFrame, window: int, k: int, by_word: bool, hot) -> DataFrame:
     """``anchor, key, times, least, segment``: the segments with their texts. Words are joined by one space."""
-    wanted = distinct.groupBy("at.doc_id").agg(F.collect_list(F.struct("anchor", "key", "at.start", "times")).alias("wanted"))  # of one text: no more than it has
+    wanted = distinct.groupBy("at.doc_id", "at.body").agg(F.collect_list(F.struct("anchor", "key", "at.start", "times")).alias("wanted"))  # of one text: no more than it has
 
     def run(batches):
         for batch in batches:
             ids, lists = batch.column("doc_id").to_pylist(), batch.column("wanted")
             for i, text in enumerate(utf8(batch.column("text"))):
-                own, want = Segments(codes(text, by_word), window, k), lists.slice(i, 1).flatten()
+                own, want = Segments(codes(text, by_word), window, k, hot.value), lists.slice(i, 1).flatten()
                 starts = want.field("start").to_numpy(zero_copy_only=False)
                 at = np.searchsorted(own.first, starts)
                 first, end = own.first[at], own.end[at]
@@ -184,7 +220,9 @@ def segment_texts(docs: DataFrame, distinct: DataFrame, window: int, k: int, by_
                 pieces = [b" ".join(x.split()) for x in cut] if by_word else cut
                 yield pa.RecordBatch.from_arrays([want.field("anchor"), want.field("key"), want.field("times"), pa.array([ids[i]] * len(cut), pa.int64()), pa.array(pieces, pa.binary())], ["anchor", "key", "times", "least", "segment"])
 
-    return docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(run, "anchor long, key long, times long, least long, segment binary")
+    # Rows that repeat an id and its text give their segments more than once; they stand more than once, too.
+    rows = docs.join(wanted, ["doc_id", "body"]).select("doc_id", "text", "wanted")
+    return rows.mapInArrow(run, "anchor long, key long, times long, least long, segment binary")
 
 
 @dataclass
@@ -216,10 +254,10 @@ Search = Callable[[list[Segment]], Iterator[tuple[Segment, int, int, int]]]
 
 
 def repeated_ranges(docs: DataFrame, window: int, k: int, by_word: bool, within_one: bool, search: Search) -> DataFrame:
-    """``doc_id, ranges``: ranges of units to remove, for each document that has any. With ``within_one`` all places of a
-    repeat are removed, else those in documents with more than the least doc_id."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = staged(repeated_places(docs, window, k, by_word, within_one), "places")
+    """``doc_id, body, ranges``: ranges of units to remove, for each of ``docs`` (see ``bodies``) that has any. With ``within_one``
+    all places of a repeat are removed, else those in documents with more than the least doc_id."""
+    rows, blocks, hot = repeated_places(docs, window, k, by_word, within_one)
+    found = staged(rows, "places")
 
     def run(batches):
         for shard in shards(batches):
@@ -229,15 +267,12 @@ def repeated_ranges(docs: DataFrame, window: int, k: int, by_word: bool, within_
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = staged(distinct_segments(found), "segments")
-    # Copies of one segment, with no other segment at its anchor: all its windows repeat, and nothing else can hold them.
-    copies = (F.col("kinds") == 1) & (F.col("times") > 1)
-    alike = distinct.where(copies).select("anchor", "key", F.lit(0).cast("long").alias("first"), F.col("at.size").cast("long").alias("end"), F.col("at.doc_id").alias("least"))
-    dealt = segment_texts(docs, distinct.where(~copies), window, k, by_word).repartition(n, "anchor").sortWithinPartitions("anchor", "key")
+    dealt = segment_texts(docs, distinct, window, k, by_word, hot).repartition(n, "anchor").sortWithinPartitions("anchor", "key")
     said = dealt.mapInArrow(run, "anchor long, key long, first long, end long, least long")
-    back = found.join(said.unionByName(alike), ["anchor", "key"])
+    back = block_join(found, said, ["anchor", "key"], "doc_id", blocks)
     if not within_one:
         back = back.where("least < doc_id")
-    return back.select("doc_id", F.struct((F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("end")).alias("end")).alias("range")).groupBy("doc_id").agg(F.collect_set("range").alias("ranges"))
+    return back.select("doc_id", "body", F.struct((F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("end")).alias("end")).alias("range")).groupBy("doc_id", "body").agg(F.collect_set("range").alias("ranges"))
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from placewright.llm.bpe import utf8
 from placewright.llm.repeats import Rolling, mix
-from placewright.llm.staging import staged
+from placewright.llm.staging import block_counts, block_join, staged
 
 #: Words remembered by a task; only speed depends on it.
 REMEMBERED = 200_000
@@ -277,21 +277,6 @@ def shared_room(texts: DataFrame, table, size: int) -> DataFrame:
     return sums.select("b", F.array(*[f"r{i}" for i in range(CLASSES)]).alias("rooms"))
 
 
-def block_counts(counts: DataFrame, key: str, total: int, per: int = 2000, keys: int = 10_000) -> DataFrame:
-    """``key, _blocks`` of the keys that hold at least ``per`` of ``total`` rows, and at least one in ``keys`` of them: no more than
-    ``keys`` rows, which are broadcast. ``counts`` has the rows of each key as ``n``; the other keys are one block."""
-    return F.broadcast(counts.where(F.col("n") >= max(per, -(-total // keys))).select(key, F.ceil(F.col("n") / per).cast("int").alias("_blocks")))
-
-
-def block_join(left: DataFrame, right: DataFrame, key: str, by: str, blocks: DataFrame, how: str = "inner") -> DataFrame:
-    """``left`` and ``right`` by ``key``, where a key with many rows on the left is dealt to blocks (by the hash of ``by``) and its
-    rows on the right are repeated for each block."""
-    many = F.coalesce("_blocks", F.lit(1))
-    dealt = left.join(blocks, key, "left").withColumn("_block", F.pmod(F.xxhash64(by), many).cast("int")).drop("_blocks")
-    spread = right.join(blocks, key, "left").withColumn("_block", F.explode(F.sequence(F.lit(0), many - 1))).drop("_blocks")
-    return dealt.join(spread, [key, "_block"], how).drop("_block")
-
-
 def verified(pairs: DataFrame, texts: DataFrame, table, size: int, threshold: float) -> DataFrame:
     """Of ``a, b`` (a written table) those pairs whose texts are similar enough, with ``similarity``. Rows come sorted by ``a``,
     whose text is cut into shingles once for all of its partners in a task."""

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from placewright.llm import bwt_repeats, fm_repeats
+from placewright.llm import bwt_repeats, fm_repeats, repeats
 
 SCHEMA = "text string, doc_id long, key string, ranges int"
 
@@ -86,3 +86,32 @@ def test_texts_and_spans(spark):
     rows = [(" ".join(map(str, range(60))), 1, "", 0), ("new " + " ".join(map(str, range(60))) + " end", 2, "", 0)]
     got = {r["doc_id"]: r for r in fm_repeats.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got[2]["kept"] == "new end" and [tuple(s) for s in got[2]["spans"]] == [(1, 61)] and got[1]["n_removed"] == 0
+
+
+def test_anchors_in_many_surroundings_are_split(spark, monkeypatch):
+    """A phrase as long as an anchor in many texts, some of which share a whole window around it."""
+    monkeypatch.setattr(repeats, "HOT", 5)
+    rng = random.Random(4)
+    phrase = [f"p{i}" for i in range(30)]
+    rows = []
+    for i in range(60):
+        before, after = ([f"x{i % 20 if i % 4 == 0 else i}_{j}" for j in range(40)] for _ in "ab")
+        rows.append((" ".join([*before, *phrase, *after, *[rng.choice("abc") for _ in range(5)]]), i, "k", 1))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in fm_repeats.digests(docs).collect()}
+    assert got == by_words(rows, 50)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in bwt_repeats.digests(docs).collect()}
+    assert got == by_bytes(rows, 200)
+
+
+def test_rows_that_share_an_id(spark):
+    """Several texts with one id: each is judged by its own text."""
+    a, b = " ".join(f"w{i}" for i in range(90)), " ".join(f"v{i}" for i in range(70))
+    rows = [(a, 1, "k", 1), (b, 1, "k", 1), (b + " end", 2, "k", 1), (b + " end", 2, "k", 1), ("short", 2, "k", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in fm_repeats.digests(docs).collect())
+    assert got == [(1, 70, 0), (1, 90, 0), (2, 1, 0), (2, 71, 70), (2, 71, 70)]
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in bwt_repeats.digests(docs).collect())
+    assert got == sorted([(1, len(a), 0), (1, len(b), len(b)), (2, len(b) + 4, len(b) + 4), (2, len(b) + 4, len(b) + 4), (2, 5, 0)])
+    kept = {(r["doc_id"], r["text"]) for r in bwt_repeats.drop_repeats(docs).collect()}
+    assert kept == {(1, a), (1, ""), (2, ""), (2, "short")}

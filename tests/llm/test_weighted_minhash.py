@@ -6,6 +6,7 @@ import random
 import numpy as np
 
 from placewright.llm import weighted_minhash as W
+from placewright.llm.staging import block_counts, block_join
 
 SCHEMA = "text string, doc_id long, a long, key string"
 
@@ -132,9 +133,9 @@ def test_codes_count_differences(spark):
 def test_hot_keys_are_dealt_to_blocks(spark):
     left = spark.createDataFrame([(i % 7 if i > 4000 else 1, i) for i in range(5000)], "k int, i long")
     right = spark.createDataFrame([(k, f"v{k}") for k in range(6)], "k int, v string")
-    blocks = W.block_counts(left.groupBy("k").count().withColumnRenamed("count", "n"), "k", 5000, per=100, keys=10)
+    blocks = block_counts(left.groupBy("k").count().withColumnRenamed("count", "n"), "k", 5000, per=100, keys=10)
     assert {r["k"]: r["_blocks"] for r in blocks.collect()} == {1: -(-left.where("k = 1").count() // 100)}
-    got = W.block_join(left, right, "k", "i", blocks, "left")
+    got = block_join(left, right, "k", "i", blocks, "left")
     assert got.count() == 5000 and got.where("v IS NULL").count() == left.where("k = 6").count()
 
 
