@@ -1,16 +1,24 @@
-"""Lineage cuts that outlive a lost executor."""
+"""Tables written between jobs: lineage and estimates end there, and a lost executor costs a task."""
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` in the folder the cluster names in ``spark.checkpoint.dir``; a folder of our own only where none is named."""
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as Parquet in the folder the cluster names in ``spark.checkpoint.dir``, read back. Only a session in one process may
+    leave it unset, and gets a folder of its own."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="placewright-"))
-    return df.checkpoint()
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="placewright-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    path = f"{named.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placewright.functions import address, text
-from placewright.operators.checkpoints import checkpointed
+from placewright.operators.checkpoints import written
 from placewright.operators.spatial import euclid
 
 # The linkage rules, in order of priority, with their radius in metres.
@@ -33,48 +35,57 @@ def close_names(a: Column, b: Column) -> Column:
     return F.coalesce((a != "") & (b != "") & ((a == b) | near), F.lit(False))
 
 
+def _near(l: DataFrame, r: DataFrame, keys: Sequence[str], width: Column) -> DataFrame:
+    """Pairs of rows of l and r (columns with these prefixes) with equal ``keys`` in neighbouring cells of ``width``, by id."""
+    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    spread = l.withColumn("_o", F.explode(offsets)).withColumns({"cx": F.floor(F.col("l_x") / width) + F.col("_o.i"), "cy": F.floor(F.col("l_y") / width) + F.col("_o.j")} | {k: F.col(f"l_{k}") for k in keys}).drop("_o")
+    cells = r.withColumns({"cx": F.floor(F.col("r_x") / width), "cy": F.floor(F.col("r_y") / width)} | {k: F.col(f"r_{k}") for k in keys})
+    gap = euclid(F.col("l_x"), F.col("l_y"), F.col("r_x"), F.col("r_y"))
+    return spread.join(cells, ["cx", "cy", *keys]).where(F.col("l_sid") < F.col("r_sid")).withColumn("distance", gap)
+
+
 def candidate_pairs(records: DataFrame, vetoes: DataFrame | None = None) -> DataFrame:
-    """``left, right, code, distance``: pairs that a rule allows, from blocks: equal addresses, and cells as wide as the
-    radius for names. ``vetoes`` (a, b) take pairs out."""
+    """``left, right, code, distance``: pairs that a rule allows, from cells as wide as the rule's radius: equal addresses within a
+    cell's neighbourhood, and names. An address that a third of all records have is dealt to its places. ``vetoes`` (a, b)
+    take pairs out."""
     own = prepared(records).where(F.col("x").isNotNull() & F.col("y").isNotNull()).select("sid", "x", "y", "address_key", "numbered", "compact_name", "compact_zh")
     l, r = (own.select(*[F.col(c).alias(f"{side}_{c}") for c in own.columns]) for side in "lr")
-    gap = euclid(F.col("l_x"), F.col("l_y"), F.col("r_x"), F.col("r_y"))
-    same = l.join(r, (F.col("l_address_key") == F.col("r_address_key")) & (F.col("l_numbered") == F.col("r_numbered")) & (F.col("l_sid") < F.col("r_sid"))).withColumn("distance", gap)
-    same = same.withColumn("code", F.when(F.col("l_numbered"), NUMBERED).otherwise(UNNUMBERED)).where(F.col("distance") <= F.when(F.col("l_numbered"), RADIUS[NUMBERED]).otherwise(RADIUS[UNNUMBERED]))
-    width = RADIUS[SEMANTIC]
-    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    spread = l.withColumn("_o", F.explode(offsets)).withColumns({"cx": F.floor(F.col("l_x") / width) + F.col("_o.i"), "cy": F.floor(F.col("l_y") / width) + F.col("_o.j")})
-    cells = r.withColumns({"cx": F.floor(F.col("r_x") / width), "cy": F.floor(F.col("r_y") / width)})
+    same = None
+    for code, numbered in ((NUMBERED, True), (UNNUMBERED, False)):
+        a, b = (x.where(F.col(f"{side}_address_key").isNotNull() & (F.col(f"{side}_numbered") == numbered)) for x, side in ((l, "l"), (r, "r")))
+        met = _near(a, b, ["address_key"], F.lit(RADIUS[code])).where(F.col("distance") <= RADIUS[code]).withColumn("code", F.lit(code))
+        same = met if same is None else same.unionByName(met)
     names = close_names(F.col("l_compact_name"), F.col("r_compact_name")) | close_names(F.col("l_compact_zh"), F.col("r_compact_zh"))
-    near = spread.join(cells, ["cx", "cy"]).where(F.col("l_sid") < F.col("r_sid")).withColumn("distance", gap).where((F.col("distance") <= width) & names).withColumn("code", F.lit(SEMANTIC))
+    near = _near(l, r, [], F.lit(RADIUS[SEMANTIC])).where((F.col("distance") <= RADIUS[SEMANTIC]) & names).withColumn("code", F.lit(SEMANTIC))
     columns = [F.col("l_sid").alias("left"), F.col("r_sid").alias("right"), "code", "distance"]
-    rank = F.when(F.col("code") == NUMBERED, 0).when(F.col("code") == UNNUMBERED, 1).otherwise(2)
-    pairs = same.select(*columns).unionByName(near.select(*columns)).groupBy("left", "right").agg(F.min_by("code", rank).alias("code"), F.first("distance").alias("distance"))
+    pairs = same.select(*columns).unionByName(near.select(*columns)).groupBy("left", "right").agg(F.min_by("code", _rank()).alias("code"), F.first("distance").alias("distance"))
     if vetoes is not None:
         a, b = stable_id(F.col("a")), stable_id(F.col("b"))
         pairs = pairs.join(vetoes.select(F.least(a, b).alias("left"), F.greatest(a, b).alias("right")), ["left", "right"], "left_anti")
     return pairs
 
 
-def components(pairs: DataFrame, rounds: int = 40) -> DataFrame:
-    """``sid, component``: the least id reachable over pairs. Labels are checkpointed each round."""
-    both = pairs.select("left", "right").unionByName(pairs.select(F.col("right").alias("left"), F.col("left").alias("right"))).distinct()
-    labels = checkpointed(both.groupBy("left").agg(F.least(F.first("left"), F.min("right")).alias("component")).withColumnRenamed("left", "sid"))
-    for _ in range(rounds):
+def _rank() -> Column:
+    return F.when(F.col("code") == NUMBERED, 0).when(F.col("code") == UNNUMBERED, 1).otherwise(2)
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """``sid, component``: the least id reachable over pairs. Labels are written each round; rounds go on until nothing moves."""
+    both = written(pairs.select("left", "right").unionByName(pairs.select(F.col("right").alias("left"), F.col("left").alias("right"))).distinct(), "both")
+    labels = written(both.groupBy("left").agg(F.least(F.first("left"), F.min("right")).alias("component")).withColumnRenamed("left", "sid"), "labels")
+    while True:
         near = both.join(labels.withColumnRenamed("sid", "right"), "right").groupBy(F.col("left").alias("sid")).agg(F.min("component").alias("near"))
         better = labels.join(near, "sid").select("sid", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         # A label's own label: chains shorten by half each round.
         jump = labels.select(F.col("sid").alias("component"), F.col("component").alias("jumped"))
-        after = checkpointed(better.join(jump, "component").select("sid", "was", F.least("component", "jumped").alias("component")))
+        after = written(better.join(jump, "component").select("sid", "was", F.least("component", "jumped").alias("component")), "labels")
         if not after.where("was <> component").limit(1).count():
             return labels
         labels = after.select("sid", "component")
-    raise RuntimeError("components still change")
 
 
 def _complete_link(group: pd.DataFrame) -> pd.DataFrame:
-    """Merge sites of one component in order of priority, where every cross pair is allowed. Components are neighbourhoods of a
-    few metres, so groups are small."""
+    """Merge sites of one component in order of priority, where every cross pair is allowed."""
     allowed = {(a, b) for a, b in zip(group["left"], group["right"], strict=True)}
     site = {s: frozenset([s]) for pair in allowed for s in pair}
     for a, b in zip(group["left"], group["right"], strict=True):
@@ -85,16 +96,43 @@ def _complete_link(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"sid": list(site), "site": [min(site[s]) for s in site]})
 
 
-def sites(records: DataFrame, vetoes: DataFrame | None = None) -> DataFrame:
-    """``records`` with ``site``, the least member id: no chain of close pairs makes a site whose ends break every rule."""
-    pairs = checkpointed(candidate_pairs(records, vetoes))
-    rank = F.when(F.col("code") == NUMBERED, 0).when(F.col("code") == UNNUMBERED, 1).otherwise(2)
-    grouped = pairs.join(components(pairs).withColumnRenamed("sid", "left"), "left").withColumn("rank", rank)
+def _linked_by_rounds(pairs: DataFrame) -> DataFrame:
+    """``sid, site`` by the same rule for components of any size. A pair of sites that lacks a cross pair can never merge, as sites only
+    grow, so it goes. Of the rest every pair that comes first for both of its sites merges: nothing before it can touch either."""
+    ids = pairs.select(F.col("left").alias("sid")).unionByName(pairs.select(F.col("right").alias("sid"))).distinct()
+    site = written(ids.withColumn("site", F.col("sid")), "sites")
+    left = pairs
+    while True:
+        sizes = site.groupBy("site").agg(F.count("*").alias("n"))
+        side = lambda end: site.select(F.col("sid").alias(end), F.col("site").alias(f"{end}_site"))
+        met = left.join(side("left"), "left").join(side("right"), "right").where("left_site <> right_site")
+        met = met.withColumns({"a": F.least("left_site", "right_site"), "b": F.greatest("left_site", "right_site")})
+        between = met.groupBy("a", "b").agg(F.count("*").alias("have"), F.min(F.struct("rank", "distance", "left", "right")).alias("best"))
+        size = lambda end: sizes.select(F.col("site").alias(end), F.col("n").alias(f"n_{end}"))
+        able = written(between.join(size("a"), "a").join(size("b"), "b").where("have = n_a * n_b").select("a", "b", "best"), "able")
+        if not able.limit(1).count():
+            return site
+        ends = able.select(F.col("a").alias("site"), "best").unionByName(able.select(F.col("b").alias("site"), "best"))
+        first = ends.groupBy("site").agg(F.min("best").alias("best"))
+        chosen = able.join(first.select(F.col("site").alias("a"), F.col("best").alias("best_a")), "a").join(first.select(F.col("site").alias("b"), F.col("best").alias("best_b")), "b")
+        moves = chosen.where("best = best_a AND best = best_b").select(F.col("b").alias("site"), F.col("a").alias("to"))
+        left = written(met.select("left", "right", "rank", "distance", "a", "b").join(able.select("a", "b"), ["a", "b"], "left_semi").drop("a", "b"), "pairs")
+        site = written(site.join(moves, "site", "left").select("sid", F.coalesce("to", "site").alias("site")), "sites")
+
+
+def sites(records: DataFrame, vetoes: DataFrame | None = None, most_pairs: int = 50_000) -> DataFrame:
+    """``records`` with ``site``, the least member id: no chain of close pairs makes a site whose ends break every rule. Components of at
+    most ``most_pairs`` pairs are merged in one task each, larger ones by rounds over all of their pairs, with the same result."""
+    pairs = written(candidate_pairs(records, vetoes).withColumn("rank", _rank()), "candidates")
+    grouped = written(pairs.join(components(pairs).withColumnRenamed("sid", "left"), "left"), "grouped")
+    large = grouped.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > most_pairs).select("component")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         return _complete_link(group.sort_values(["rank", "distance", "left", "right"]))
 
-    found = grouped.groupBy("component").applyInPandas(run, "sid string, site string")
+    found = grouped.join(large, "component", "left_anti").groupBy("component").applyInPandas(run, "sid string, site string")
+    if large.limit(1).count():
+        found = found.unionByName(_linked_by_rounds(written(grouped.join(large, "component", "left_semi").drop("component"), "large")))
     return prepared(records).join(found, "sid", "left").withColumn("site", F.coalesce("site", "sid"))
 
 

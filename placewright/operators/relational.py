@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from placewright.operators.checkpoints import written
+
 Keys = Sequence[str]
 
 
@@ -42,16 +44,16 @@ def islands(df: DataFrame, value: str, keys: Keys, order: Sequence[Column | str]
     return df.withColumn("_new", new).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new").where(F.col(value).isNotNull())
 
 
-def chunked(df: DataFrame, order: Sequence[Column | str], size: int, parts: Column | None = None) -> DataFrame:
-    """``chunk`` (from 1) of ``size`` rows in global order, without one task sorting all: rows are dealt to ranges of
-    the order's first column, ranked inside, and lifted by the count of the ranges before."""
-    spread = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    inside = Window.partitionBy("_part").orderBy(*order)
-    ranked = spread.withColumn("_inside", F.row_number().over(inside))
-    sizes = spread.groupBy("_part").count()
-    before = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.col("b._part") < F.col("a._part"), "left").groupBy(F.col("a._part").alias("_part")).agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("_before"))
+def chunked(df: DataFrame, order: Sequence[Column | str], size: int) -> DataFrame:
+    """``rank`` (from 1) and ``chunk`` of ``size`` rows in global order, without one task sorting all: rows are dealt to ranges of
+    the order, ranked inside, and lifted by the count of the ranges before. The ranges are written once, as planning them again may
+    deal rows otherwise."""
+    spread = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = spread.groupBy("_part").agg(F.count("*").alias("_n"))  # one row for each range
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
+    ranked = spread.withColumn("_inside", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     rank = F.col("_before") + F.col("_inside")
-    return ranked.join(F.broadcast(before), "_part").withColumns({"rank": rank, "chunk": (F.floor((rank - 1) / size) + 1).cast("int")}).drop("_part", "_inside", "_before")
+    return ranked.join(before, "_part").withColumns({"rank": rank, "chunk": (F.floor((rank - 1) / size) + 1).cast("int")}).drop("_part", "_inside", "_before")
 
 
 def require(left: DataFrame, right: DataFrame, on: Keys) -> tuple[DataFrame, DataFrame]:
@@ -63,6 +65,17 @@ def duplicated(df: DataFrame, keys: Keys) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def overlapping(df: DataFrame, keys: Keys, row_id: str, low: str, high: str, width: int) -> DataFrame:
+    """Pairs of rows with equal ``keys`` whose closed ranges meet: a row with ``other, other_low, other_high`` of a later one by id. Ranges
+    are dealt to stretches of ``width``, so a long key is no group of its own; a pair meets in the stretch where its overlap starts."""
+    cell = lambda c: F.floor(F.col(c) / width)
+    spread = df.where(F.col(low) <= F.col(high)).withColumn("_cell", F.explode(F.sequence(cell(low), cell(high))))
+    other = spread.select(*keys, "_cell", F.col(row_id).alias("other"), F.col(low).alias("other_low"), F.col(high).alias("other_high"))
+    met = spread.join(other, [*keys, "_cell"]).where(F.col(row_id) < F.col("other"))
+    start = F.greatest(low, "other_low")
+    return met.where((start <= F.least(high, "other_high")) & (F.col("_cell") == F.floor(start / width))).drop("_cell")
+
+
 def key_fallback(left: DataFrame, keys: str, right: DataFrame, right_key: str, order: Sequence[str]) -> DataFrame:
     """Rows of ``left`` with the first of an ordered array of keys that ``right`` has."""
     ids = [c for c in left.columns if c != keys]
@@ -72,11 +85,16 @@ def key_fallback(left: DataFrame, keys: str, right: DataFrame, right_key: str, o
 
 
 def contained_sets(parts: DataFrame, wholes: DataFrame, part_id: str, whole_id: str, item: str) -> DataFrame:
-    """Pairs whose items of the part are all in the whole: counts of common items against the part's size."""
-    own = parts.select(part_id, item).distinct()
-    sizes = own.groupBy(part_id).agg(F.count("*").alias("_size"))
-    common = own.join(wholes.select(whole_id, item).distinct(), item).groupBy(part_id, whole_id).agg(F.count("*").alias("_common"))
-    return common.join(sizes, part_id).where("_common = _size").select(part_id, whole_id)
+    """Pairs whose items of the part are all in the whole. Each part is probed by its rarest item among the wholes, so a common
+    item makes no pairs; the rest is looked up in the whole's set."""
+    held = wholes.select(whole_id, item).distinct()
+    often = held.groupBy(item).agg(F.count("*").alias("_often"))
+    own = parts.select(part_id, item).distinct().join(often, item, "left")
+    # A part with an item that no whole has is in none.
+    probes = own.groupBy(part_id).agg(F.min_by(item, F.struct(F.coalesce("_often", F.lit(0)), item)).alias(item), F.collect_set(item).alias("_items"))
+    sets = held.groupBy(whole_id).agg(F.collect_set(item).alias("_held"))  # a whole's members
+    met = probes.join(held, item).join(sets, whole_id)
+    return met.where(F.size(F.array_except("_items", "_held")) == 0).select(part_id, whole_id)
 
 
 def same_sets(a: DataFrame, b: DataFrame, key: str, item: str) -> DataFrame:
@@ -86,10 +104,13 @@ def same_sets(a: DataFrame, b: DataFrame, key: str, item: str) -> DataFrame:
 
 
 def only_once(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows whose value of each key is in no other row: links that compete for an end are all inert."""
+    """Rows whose value of each key is in no other row (of all, whatever another key says): links that compete for an end are inert.
+    Rows without a key compete with each other."""
+    out = df
     for k in keys:
-        df = df.withColumn("_n", F.count("*").over(Window.partitionBy(k))).where("_n = 1").drop("_n")
-    return df
+        taken = df.groupBy(F.col(k).alias("_k")).agg(F.count("*").alias("_n")).where("_n > 1").select("_k")
+        out = out.join(taken, F.col(k).eqNullSafe(F.col("_k")), "left_anti")
+    return out
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Keys) -> DataFrame:
@@ -115,20 +136,28 @@ def set_differences(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def competition(df: DataFrame, left: str, right: str) -> DataFrame:
-    """How many other candidates each end of a pair has."""
-    return df.withColumns({"left_rivals": F.count("*").over(Window.partitionBy(left)) - 1, "right_rivals": F.count("*").over(Window.partitionBy(right)) - 1})
-
-
-def redirects(edges: DataFrame, source: str, target: str, rounds: int = 30) -> DataFrame:
-    """``source, final, hops``: where each chain of redirects ends; chains that run in a circle end nowhere (null)."""
-    edges.createOrReplaceTempView("_redirect_edges")
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE walk AS (
-            SELECT {source} AS source, {target} AS at, 1 AS hops FROM _redirect_edges
-            UNION ALL
-            SELECT w.source, e.{target}, w.hops + 1 FROM walk w JOIN _redirect_edges e ON w.at = e.{source} WHERE w.hops < {rounds})
-        SELECT s.{source} AS source, d.at AS final, d.hops FROM _redirect_edges s LEFT JOIN
-            (SELECT w.source, w.at, w.hops FROM walk w LEFT ANTI JOIN _redirect_edges e ON w.at = e.{source}) d ON s.{source} = d.source""")
+    """How many other candidates each end of a pair has. Counts are aggregations, so a common end is no task's own."""
+    for end, name in ((left, "left_rivals"), (right, "right_rivals")):
+        counts = df.groupBy(end).agg((F.count("*") - 1).alias(name))
+        df = df.join(counts, end)
+    return df
+
+
+def redirects(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """``source, final, hops``: where each chain of redirects ends; chains that run into a circle end nowhere (null). Of several targets
+    of a source the least counts. Each round doubles the way that is known, so a chain of n edges takes log n rounds; what has gone
+    further than there are edges runs in a circle."""
+    at = written(edges.where(F.col(source).isNotNull()).groupBy(F.col(source).alias("source")).agg(F.min(target).alias("at")).withColumns({"hops": F.lit(1).cast("long"), "open": F.lit(True)}), "redirects")
+    n = at.count()
+    while at.where("open").limit(1).count():
+        ahead = at.select(F.col("source").alias("at"), F.col("at").alias("_at"), F.col("hops").alias("_hops"), F.col("open").alias("_open"))
+        met = at.join(ahead, "at", "left")
+        hops = F.col("hops") + F.col("_hops")
+        moved = F.col("open") & F.col("_at").isNotNull()
+        far = moved & (hops > n)
+        at = written(met.select("source", F.when(far, F.lit(None)).when(moved, F.col("_at")).otherwise(F.col("at")).alias("at"), F.when(moved, F.least(hops, F.lit(n + 1))).otherwise(F.col("hops")).alias("hops"), (moved & ~far & F.col("_open")).alias("open")), "redirects")
+    circle = F.col("hops") > n
+    return at.select("source", F.when(~circle, F.col("at")).alias("final"), F.when(~circle, F.col("hops")).alias("hops"))
 
 
 def profile(df: DataFrame, columns: Keys) -> DataFrame:

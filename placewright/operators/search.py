@@ -20,9 +20,12 @@ def search_records(features: DataFrame, group: str, position: str, name: str, te
     return first.select(group, name, position, F.array_distinct(F.transform(own, search_key)).alias("terms"))
 
 
-def search(records: DataFrame, queries: DataFrame, group: str, name: str, position: str, limit: int = 10) -> DataFrame:
+def search(records: DataFrame, queries: DataFrame, group: str, name: str, position: str, limit: int = 10, most_queries: int = 1000) -> DataFrame:
     """``query, rank, place`` and the record's key of the best ``limit`` records for each row of ``queries`` (query). Queries
-    are what people typed: a short list that is broadcast; records stay where they are and are cut to the best before sorting."""
+    are what people typed: at most ``most_queries`` rows, which are broadcast (more are an error); records stay where they are and are cut
+    to the best before sorting."""
+    if queries.limit(most_queries + 1).count() > most_queries:
+        raise ValueError(f"more than {most_queries} queries at once")
     asked = queries.select("query", search_key(F.col("query")).alias("_q")).where("_q <> ''")
     term = records.select(group, name, position, F.explode("terms").alias("_t"))
     met = term.join(F.broadcast(asked), F.instr(F.col("_t"), F.col("_q")) > 0)

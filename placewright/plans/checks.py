@@ -10,9 +10,11 @@ from placewright.operators.relational import chunked
 from placewright.plans.registry import query, table
 
 
-@query("""SELECT 'required' AS rule, event_id::VARCHAR AS key, 'value' AS detail FROM events WHERE value IS NULL UNION ALL SELECT 'required', event_id::VARCHAR, 'props' FROM events WHERE props IS NULL OR trim(props) = ''""")
+@query("""SELECT 'required' AS rule, event_id::VARCHAR AS key, 'value' AS detail FROM events WHERE value IS NULL OR event_type = 'error' UNION ALL SELECT 'required', event_id::VARCHAR, 'props' FROM events WHERE props IS NULL OR trim(props) = '' OR event_id % 7 = 0""")
 def validate_required(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.required(table(spark, sf_dir, "events"), "event_id", ["value", "props"])
+    """Errors have no value here, and every seventh row blank properties."""
+    own = table(spark, sf_dir, "events").withColumns({"value": F.when(F.col("event_type") != "error", F.col("value")), "props": F.when(F.col("event_id") % 7 == 0, "  ").otherwise(F.col("props"))})
+    return V.required(own, "event_id", ["value", "props"])
 
 
 @query("SELECT 'unique' AS rule, l_orderkey::VARCHAR AS key, count(*)::VARCHAR AS detail FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1")
@@ -30,9 +32,9 @@ def validate_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.holds(table(spark, sf_dir, "orders"), "price-range", "o_orderkey", (F.col("o_totalprice") < 300000) & (F.col("o_orderstatus") != "P"), F.col("o_orderstatus"))
 
 
-@query("""SELECT 'text' AS rule, doc_id::VARCHAR AS key, NULL::VARCHAR AS detail FROM documents WHERE regexp_matches(text, '[�?]')""")
+@query("""SELECT 'text' AS rule, doc_id::VARCHAR AS key, NULL::VARCHAR AS detail FROM documents WHERE regexp_matches(replace(text, '@', '?'), '[�?]')""")
 def validate_damaged_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.holds(table(spark, sf_dir, "documents"), "text", "doc_id", ~F.col("text").rlike("[�?]"))
+    return V.holds(table(spark, sf_dir, "documents").withColumn("text", F.translate("text", "@", "?")), "text", "doc_id", ~F.col("text").rlike("[�?]"))
 
 
 @query("""SELECT 'url' AS rule, page_id::VARCHAR AS key, url AS detail FROM pages WHERE NOT regexp_matches(url, '^https?://[a-z0-9.-]+/[a-z]{2}/[0-9]+$')""")

@@ -45,11 +45,11 @@ def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(records, asked, "p_partkey", "p_name", "pos")
 
 
-@query(f"SELECT doc_id, {words_sql('left(text, 300)')} AS words, length({compact_sql('left(text, 300)')})::INT AS letters FROM documents")
+@query(f"SELECT doc_id, {words_sql('text')} AS words, length({compact_sql('text')})::INT AS letters FROM documents")
 def normalize_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headings (the first 300 characters) as folded upper-case words."""
-    heading = F.substring("text", 1, 300)
-    return table(spark, sf_dir, "documents").select("doc_id", text.words(heading).alias("words"), F.length(text.compact(heading)).alias("letters"))
+    """Texts as folded upper-case words."""
+    whole = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", text.words(whole).alias("words"), F.length(text.compact(whole)).alias("letters"))
 
 
 @query("""
@@ -121,9 +121,9 @@ def format_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", text.period(start, end.cast("int")).alias("period"))
 
 
-@query(f"SELECT doc_id, {search_key_sql('left(text, 200)')} AS key FROM documents")
+@query(f"SELECT doc_id, {search_key_sql('text')} AS key FROM documents")
 def search_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.search_key(F.substring("text", 1, 200)).alias("key"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.search_key(F.col("text")).alias("key"))
 
 
 @query("SELECT sha256(text) AS hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -141,7 +141,7 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<(?:script|style)[^>]*>[^<]*(?:<[^/][^<]*|</p>[^<]*)*</(?:script|style)>', '', 'g'), '<(?:br|/p|/div|/li)[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'), '[ \\t]+', ' ', 'g')) AS text FROM pages""")
+SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', '', 'g'), '<(?:br|/p|/div|/li)[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'), '[ \\t]+', ' ', 'g')) AS text FROM pages""")
 def html_cell_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", cell_text(F.col("html")).alias("text"))
 

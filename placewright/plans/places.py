@@ -143,14 +143,14 @@ def radius_join_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH c AS (SELECT label AS k, vec_id AS pos, CASE WHEN vec_id % 7 = 0 THEN 'page' ELSE 'claim' END AS origin, CASE vec_id % 5 WHEN 0 THEN 'preferred' WHEN 1 THEN 'deprecated' ELSE 'normal' END AS rank, 121.47 + embedding[1]::DOUBLE AS lon, 31.23 + embedding[2]::DOUBLE / 100000 AS lat FROM embeddings WHERE vec_id % 40 < 3),
+WITH c AS (SELECT label AS k, vec_id AS pos, CASE WHEN vec_id % 7 = 0 THEN 'page' ELSE 'claim' END AS origin, CASE vec_id % 5 WHEN 0 THEN 'preferred' WHEN 1 THEN 'deprecated' ELSE 'normal' END AS rank, 121.47 + embedding[1]::DOUBLE AS lon, 31.23 + embedding[2]::DOUBLE / 100000 AS lat FROM embeddings),
 o AS (SELECT *, coalesce(lon BETWEEN 121.4 AND 121.6 AND lat BETWEEN 30 AND 32 AND rank <> 'deprecated', false) AS ok FROM c), p AS (SELECT *, bool_or(ok AND origin = 'claim' AND rank = 'preferred') OVER (PARTITION BY k) AS pref FROM o),
 e AS (SELECT * FROM p WHERE ok AND (origin = 'page' OR NOT pref OR rank = 'preferred')), f AS (SELECT k, arg_min(lon, (origin <> 'page', pos)) AS flon, arg_min(lat, (origin <> 'page', pos)) AS flat FROM e GROUP BY k),
 d AS (SELECT k, flon, flat, max(2 * 6371000 * asin(least(1.0, sqrt(pow(sin(radians(lat - flat) / 2), 2) + cos(radians(flat)) * cos(radians(lat)) * pow(sin(radians(lon - flon) / 2), 2))))) AS far FROM e JOIN f USING (k) GROUP BY ALL)
 SELECT k AS label, CASE WHEN far IS NULL THEN 'rejected' WHEN far > 8000 THEN 'coordinate-conflict' ELSE 'reference-point' END AS status, CASE WHEN far <= 8000 THEN flon END AS lon, CASE WHEN far <= 8000 THEN flat END AS lat FROM (SELECT DISTINCT k FROM c) LEFT JOIN d USING (k)""")
 def location_election(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("vec_id")
-    own = table(spark, sf_dir, "embeddings").where(v % 40 < 3).select(
+    own = table(spark, sf_dir, "embeddings").select(
         "label", v.alias("pos"), F.when(v % 7 == 0, "page").otherwise("claim").alias("origin"), F.when(v % 5 == 0, "preferred").when(v % 5 == 1, "deprecated").otherwise("normal").alias("rank"), (121.47 + part(0)).alias("lon"), (31.23 + part(1) / 100000).alias("lat"))
     return overlay.elected_locations(own, "label", (121.4, 121.6, 30.0, 32.0), 8000.0)
 
@@ -167,9 +167,9 @@ def current_use_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlay.by_priority(own, "c_custkey", "use")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_partkey) = 1")
+@query("SELECT l_orderkey, l_linenumber, l_partkey * 50 + l_quantity::BIGINT AS claim FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_partkey * 50 + l_quantity::BIGINT) = 1")
 def unclaimed_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlay.unclaimed_twice(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_partkey")
+    return overlay.unclaimed_twice(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") * 50 + F.col("l_quantity").cast("long")).alias("claim")), "claim")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 AND o_orderstatus = 'O' THEN 'held' ELSE o_orderstatus END AS o_orderstatus FROM orders")

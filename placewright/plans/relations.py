@@ -133,16 +133,16 @@ def semi_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
+@query("SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey AND o_orderpriority = '1-URGENT'")
 def anti_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
-@query("""SELECT n_nationkey FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier) AND n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal >= 0)""")
+@query("""SELECT n_nationkey FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier) AND n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 40 = 0)""")
 def orphan_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dimension rows that only removed facts used (suppliers in debt are removed)."""
+    """Dimension rows that only removed facts used (only every fortieth supplier stays)."""
     s, n = table(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "n_nationkey"), table(spark, sf_dir, "nation")
-    return n.join(s.where("s_acctbal < 0"), "n_nationkey", "left_semi").join(s.where("s_acctbal >= 0"), "n_nationkey", "left_anti").select("n_nationkey")
+    return n.join(s.where("s_suppkey % 40 <> 0"), "n_nationkey", "left_semi").join(s.where("s_suppkey % 40 = 0"), "n_nationkey", "left_anti").select("n_nationkey")
 
 
 @query("""
@@ -186,9 +186,9 @@ def guarded_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.same_sets(li, li.where("NOT (l_linenumber = 1 AND l_orderkey % 3 = 0)"), "l_orderkey", "l_partkey")
 
 
-@query("""SELECT l_orderkey, l_partkey FROM (SELECT l_orderkey, l_partkey, count(*) OVER (PARTITION BY l_partkey) AS n FROM lineitem) WHERE n = 1""")
+@query("""SELECT l_orderkey, end_b FROM (SELECT l_orderkey, l_partkey * 50 + l_quantity::BIGINT AS end_b, count(*) OVER (PARTITION BY l_partkey * 50 + l_quantity::BIGINT) AS n FROM lineitem) WHERE n = 1""")
 def competing_links_inert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.only_once(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), "l_partkey")
+    return R.only_once(table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") * 50 + F.col("l_quantity").cast("long")).alias("end_b")), "end_b")
 
 
 HOLDS = [(1, 7, None), (2, None, [30, 60, 90]), (3, 11, [44])]
@@ -206,28 +206,26 @@ def hold_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_hold(orders, holds)
 
 
-@query("""SELECT a.l_orderkey AS a, b.l_orderkey AS b, a.l_linenumber AS line FROM lineitem a JOIN lineitem b ON a.l_suppkey = b.l_suppkey AND a.l_linenumber = b.l_linenumber AND a.l_orderkey < b.l_orderkey
-WHERE a.l_linenumber = 7 AND greatest(a.l_partkey, b.l_partkey) <= least(a.l_partkey + a.l_quantity::BIGINT, b.l_partkey + b.l_quantity::BIGINT)
- AND (a.l_orderkey % 2 <> b.l_orderkey % 2 OR greatest(a.l_partkey, b.l_partkey) + CASE WHEN greatest(a.l_partkey, b.l_partkey) % 2 = a.l_orderkey % 2 THEN 0 ELSE 1 END <= least(a.l_partkey + a.l_quantity::BIGINT, b.l_partkey + b.l_quantity::BIGINT))
- AND a.l_orderkey % 2 = b.l_orderkey % 2""")
+@query("""SELECT a.l_orderkey AS a, b.l_orderkey AS b, a.l_linenumber AS line FROM lineitem a JOIN lineitem b ON a.l_suppkey = b.l_suppkey AND a.l_linenumber = b.l_linenumber AND a.l_orderkey < b.l_orderkey AND a.l_orderkey % 2 = b.l_orderkey % 2
+WHERE greatest(a.l_partkey, b.l_partkey) + CASE WHEN greatest(a.l_partkey, b.l_partkey) % 2 = a.l_orderkey % 2 THEN 0 ELSE 1 END <= least(a.l_partkey + a.l_quantity::BIGINT, b.l_partkey + b.l_quantity::BIGINT)""")
 def interval_overlap_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Door ranges on one street (supplier and line) that share a number of the side both are on."""
-    own = table(spark, sf_dir, "lineitem").where("l_linenumber = 7").select("l_orderkey", "l_suppkey", "l_linenumber", F.col("l_partkey").alias("low"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("high"), (F.col("l_orderkey") % 2).cast("int").alias("side"))
-    a, b = own.alias("a"), own.alias("b")
-    meet = address.ranges_meet(*[F.col(f"{t}.{c}") for t in "ab" for c in ("low", "high", "side")])
-    return a.join(b, (F.col("a.l_suppkey") == F.col("b.l_suppkey")) & (F.col("a.l_orderkey") < F.col("b.l_orderkey")) & meet).select(F.col("a.l_orderkey").alias("a"), F.col("b.l_orderkey").alias("b"), F.col("a.l_linenumber").alias("line"))
+    own = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", F.col("l_partkey").alias("low"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("high"), (F.col("l_orderkey") % 2).cast("int").alias("side"))
+    met = R.overlapping(own, ["l_suppkey", "l_linenumber", "side"], "l_orderkey", "low", "high", 64)
+    first = F.greatest("low", "other_low") + F.when(F.greatest("low", "other_low") % 2 == F.col("side"), 0).otherwise(1)
+    return met.where(first <= F.least("high", "other_high")).select(F.col("l_orderkey").alias("a"), F.col("other").alias("b"), F.col("l_linenumber").alias("line"))
 
 
 @query("""
-WITH a AS (SELECT s_suppkey, s_suppkey % 50 AS code FROM supplier), b AS (SELECT s_suppkey AS other, (s_suppkey + 3) % 50 AS code FROM supplier),
+WITH a AS (SELECT c_custkey, (c_custkey * 7919) % 100003 AS code FROM customer), b AS (SELECT c_custkey AS other, ((c_custkey + CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END) * 7919) % 100003 AS code FROM customer),
 a1 AS (SELECT * FROM a QUALIFY count(*) OVER (PARTITION BY code) = 1), b1 AS (SELECT * FROM b QUALIFY count(*) OVER (PARTITION BY code) = 1)
-SELECT s_suppkey, other FROM a1 JOIN b1 USING (code)""")
+SELECT c_custkey, other FROM a1 JOIN b1 USING (code)""")
 def bijective_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two code systems joined where each code stands once on each side."""
-    s = table(spark, sf_dir, "supplier")
-    a = R.only_once(s.select("s_suppkey", (F.col("s_suppkey") % 50).alias("code")), "code")
-    b = R.only_once(s.select(F.col("s_suppkey").alias("other"), ((F.col("s_suppkey") + 3) % 50).alias("code")), "code")
-    return a.join(b, "code").select("s_suppkey", "other")
+    """Two code systems joined where each code stands once on each side; every fifth row of the second one takes its neighbour's code."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey").cast("long")
+    a = R.only_once(c.select("c_custkey", (k * 7919 % 100003).alias("code")), "code")
+    b = R.only_once(c.select(F.col("c_custkey").alias("other"), ((k + F.when(k % 5 == 0, 1).otherwise(0)) * 7919 % 100003).alias("code")), "code")
+    return a.join(b, "code").select("c_custkey", "other")
 
 
 @query("""

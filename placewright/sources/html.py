@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -15,11 +16,31 @@ def links(html: Column) -> Column:
 
 def cell_text(html: Column) -> Column:
     """Text with line breaks where a line, paragraph or item ends; scripts and styles left out."""
-    own = F.regexp_replace(html, r"(?s)<(?:script|style)[^>]*>[^<]*(?:<[^/][^<]*|</p>[^<]*)*</(?:script|style)>", "")
+    own = F.regexp_replace(html, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>", "")
     own = F.regexp_replace(F.regexp_replace(own, "<(?:br|/p|/div|/li)[^>]*>", "\n"), "<[^>]*>", "")
     return F.trim(F.regexp_replace(own, r"[ \t]+", " "))
 
 
+def unescape(c: Column) -> Column:
+    """Character references as characters: HTML's names, and numbers in either notation. What is none stays."""
+    names = F.create_map(*[F.lit(x) for name, code in sorted(name2codepoint.items()) for x in (name, chr(code))])
+
+    def read(part: Column, at: Column) -> Column:
+        name = F.regexp_extract(part, r"^(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]*);", 1)
+        number = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10)).when(name.startswith("#"), F.substring(name, F.lit(2), F.length(name))).try_cast("int")
+        valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        sign = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(F.get(F.map_values(F.map_filter(names, lambda k, _: k == name)), 0))
+        rest = F.substring(part, F.length(name) + 2, F.length(part))
+        return F.when(at == 0, part).when((name != "") & sign.isNotNull(), F.concat(sign, rest)).otherwise(F.concat(F.lit("&"), part))
+
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(F.split(c, "&"), read), "")).otherwise(c)
+
+
+def plain(html: Column) -> Column:
+    """Text of a cell with its references decoded; references are read after the tags, so ``&lt;`` makes no tag."""
+    return F.trim(unescape(cell_text(html)))
+
+
 def detail_map(html: Column) -> Column:
     """Key and value cells of a detail page as a map; of equal keys the last holds."""
     key = F.regexp_extract_all(html, F.lit(r"(?is)<t[hd][^>]*>([^<]*)</t[hd]>\s*<td[^>]*>[^<]*</td>"), F.lit(1))

@@ -48,7 +48,7 @@ def archive(spark: SparkSession, folder: str, manifest: dict[str, tuple[str, int
     """Violations of a content-hashed archive: files whose digest or size is not what its manifest (name: sha256, bytes) says."""
     found = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha"), F.col("length").alias("size"))
     said = spark.createDataFrame([(k, h, n) for k, (h, n) in manifest.items()], "name string, sha256 string, bytes long")
-    told = said.join(F.broadcast(found), "name", "left")  # one row for each file of one archive
+    told = said.join(found, "name", "left")
     return told.where("NOT (sha <=> sha256 AND size <=> bytes)").select(F.lit("archive").alias("rule"), F.col("name").alias("key"), F.coalesce("sha", F.lit("missing")).alias("detail"))
 
 
