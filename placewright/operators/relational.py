@@ -137,10 +137,10 @@ def set_differences(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def competition(df: DataFrame, left: str, right: str) -> DataFrame:
     """How many other candidates each end of a pair has. Counts are aggregations, so a common end is no task's own."""
+    own = df
     for end, name in ((left, "left_rivals"), (right, "right_rivals")):
-        counts = df.groupBy(end).agg((F.count("*") - 1).alias(name))
-        df = df.join(counts, end)
-    return df
+        own = own.join(df.groupBy(end).agg((F.count("*") - 1).alias(name)), end)
+    return own.select(*df.columns, "left_rivals", "right_rivals")
 
 
 def redirects(edges: DataFrame, source: str, target: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placewright.functions import geo
+from placewright.operators.relational import islands
 
 Metric = Callable[[Column, Column, Column, Column], Column]
 
@@ -42,3 +43,38 @@ def nearest_segment(points: DataFrame, segments: DataFrame, key: str, limit: flo
     d2 = geo.segment_distance2(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")])
     met = points.join(segments, key).withColumn("d2", d2).where(F.col("d2") <= limit * limit)
     return met.groupBy("id").agg(F.min_by("segment", F.struct("d2", "segment")).alias("segment"), F.min("d2").alias("d2"))
+
+
+def in_polygons(points: DataFrame, edges: DataFrame, band: float) -> DataFrame:
+    """``id, polygon`` of the points (id, x, y) inside each polygon of a table of edges (polygon, x1, y1, x2, y2), by the even-odd rule, so
+    holes are outside. Edges are dealt to bands of y of width ``band``, so a point meets only the edges at its height."""
+    cell = lambda c: F.floor(c / band)
+    flat = edges.where("y1 <> y2").withColumn("_b", F.explode(F.sequence(cell(F.least("y1", "y2")), cell(F.greatest("y1", "y2")))))
+    met = points.withColumn("_b", cell(F.col("y"))).join(flat, "_b").where(geo.crosses(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")]))
+    return met.groupBy("id", "polygon").agg(F.count("*").alias("n")).where("n % 2 = 1").select("id", "polygon")
+
+
+def winding(points: DataFrame, edges: DataFrame, band: float) -> DataFrame:
+    """``id, polygon, turns``: how often a polygon's edges, in their direction, go around each point (0 is left out): a check of the even-odd
+    rule by another way."""
+    cell = lambda c: F.floor(c / band)
+    flat = edges.where("y1 <> y2").withColumn("_b", F.explode(F.sequence(cell(F.least("y1", "y2")), cell(F.greatest("y1", "y2")))))
+    side = (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) - (F.col("x") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    turn = F.when((F.col("y1") <= F.col("y")) & (F.col("y2") > F.col("y")) & (side > 0), 1).when((F.col("y1") > F.col("y")) & (F.col("y2") <= F.col("y")) & (side < 0), -1).otherwise(0)
+    met = points.withColumn("_b", cell(F.col("y"))).join(flat, "_b")
+    return met.groupBy("id", "polygon").agg(F.sum(turn).alias("turns")).where("turns <> 0")
+
+
+def aligned_lines(vertices: DataFrame, segments: DataFrame, key: str, limit: float, cell: float) -> DataFrame:
+    """``line, part, segment_group, n``: runs of neighbouring vertices (line, pos, x, y) that are nearest to one group of modern segments (segment,
+    group, x1, y1, x2, y2) with the same ``key``, at most ``limit`` away. Segments are dealt to cells of width ``cell`` (``limit`` at least)."""
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    own = vertices.withColumns({"_cx": F.floor(F.col("x") / cell), "_cy": F.floor(F.col("y") / cell)})
+    span = lambda a, b: F.sequence(F.floor(F.least(a, b) / cell), F.floor(F.greatest(a, b) / cell))
+    dealt = segments.withColumn("_x", F.explode(span("x1", "x2"))).withColumn("_y", F.explode(span("y1", "y2"))).withColumn("_o", F.explode(steps))
+    dealt = dealt.withColumns({"_cx": F.col("_x") + F.col("_o.i"), "_cy": F.col("_y") + F.col("_o.j")}).drop("_x", "_y", "_o").distinct()
+    d2 = geo.segment_distance2(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")])
+    near = own.join(dealt, [key, "_cx", "_cy"]).withColumn("_d2", d2).where(F.col("_d2") <= limit * limit)
+    best = near.groupBy("line", "pos").agg(F.min_by("group", F.struct("_d2", "segment")).alias("group"))
+    runs = islands(vertices.select("line", "pos").join(best, ["line", "pos"], "left"), "group", ["line"], ["pos"], "part")
+    return runs.groupBy("line", "part").agg(F.first("group").alias("segment_group"), F.count("*").alias("n"))
