@@ -1,7 +1,8 @@
 """Line dedup by deletion neighbourhoods, in DataFrame functions only.
 
 A line goes if an earlier line (by doc_id, then place) is at most one character edit away: equal, or with one character
-put in, left out or changed. Lines of fewer than ``near_from`` characters go only if equal to an earlier one.
+put in, left out or changed. One edit in ``near_from`` characters is allowed: shorter lines go only if equal to an earlier one
+(at an edit a few characters are another word or number), however long the earlier one is.
 
 1. Equal lines are found by a 128-bit hash; only first places go on.
 2. Two lines one edit apart agree in their first or in their last half. Lines that share neither half with another
@@ -97,7 +98,7 @@ def variants(lines: DataFrame, longest_piece: int) -> DataFrame:
     return same_rest.select("doc_id", "pos", F.inline(own)).distinct()
 
 
-def near_lines(lines: DataFrame, longest_piece: int) -> DataFrame:
+def near_lines(lines: DataFrame, near_from: int, longest_piece: int) -> DataFrame:
     """``doc_id, pos`` of the candidates that have an earlier line one edit away."""
     own = staged(variants(lines, longest_piece), "variants")
     at = F.struct("doc_id", "pos")
@@ -107,13 +108,13 @@ def near_lines(lines: DataFrame, longest_piece: int) -> DataFrame:
     pairs = pairs.select("doc_id", "pos", F.col("by.doc_id").alias("by_doc"), F.col("by.pos").alias("by_pos"))
     leaders = lines.select(F.col("doc_id").alias("by_doc"), F.col("pos").alias("by_pos"), F.col("line").alias("by_line"))
     both = pairs.join(lines, ["doc_id", "pos"]).join(leaders, ["by_doc", "by_pos"])
-    return both.where(F.expr("levenshtein(line, by_line, 1) BETWEEN 0 AND 1")).select("doc_id", "pos").distinct()
+    return both.where(F.length("line") >= near_from).where(F.expr("levenshtein(line, by_line, 1) BETWEEN 0 AND 1")).select("doc_id", "pos").distinct()
 
 
 def repeated_lines(docs: DataFrame, near_from: int = 20, longest_piece: int = 1000) -> DataFrame:
     """``doc_id, pos`` of every line to remove."""
     n = F.length("line")
-    hashed = lines_of(docs).select("doc_id", "pos", *fingerprint(F.col("line")), F.when(n >= near_from, halves(F.col("line"), n)).alias("keys"))
+    hashed = lines_of(docs).select("doc_id", "pos", *fingerprint(F.col("line")), F.when(n >= near_from - 1, halves(F.col("line"), n)).alias("keys"))  # a line may be one shorter than what it decides on
     # One row for each distinct line: its first place. The halves are the same wherever it stands.
     first = staged(hashed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.count("*").alias("times"), F.any_value("keys").alias("keys")), "lines")
     repeated = first.where("times > 1").select("h1", "h2", "at")
@@ -122,14 +123,20 @@ def repeated_lines(docs: DataFrame, near_from: int = 20, longest_piece: int = 10
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.split(F.col("text").cast("string"), "\n").alias("all"))
     fetched = cut.join(wanted, "doc_id").select("doc_id", F.inline(F.transform("wanted", lambda p: F.struct(p.alias("pos"), F.get("all", p).alias("line")))))
     lines = staged(fetched.where("line IS NOT NULL").dropDuplicates(["doc_id", "pos"]), "candidates")
-    return equal.unionByName(near_lines(lines, longest_piece)).distinct()
+    return equal.unionByName(near_lines(lines, near_from, longest_piece)).distinct()
+
+
+def staying(lines: Column, gone: Column) -> Column:
+    """The lines that are not at the places ``gone``. The places that stay are a difference of sets, so the work grows with the lines."""
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    return F.transform(places, lambda i: F.get(lines, i))
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``; ``n_chars``, if there, is the new length."""
-    gone = repeated_lines(docs, **options).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.lit(True)))).alias("_gone"))  # no more than a document has lines
+    gone = repeated_lines(docs, **options).groupBy("doc_id").agg(F.collect_set("pos").alias("_gone"))  # no more than a document has lines
     joined = docs.join(gone.withColumnRenamed("doc_id", "_of"), F.col("doc_id").cast("long") == F.col("_of"), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: F.col("_gone")[i].isNull()), "\n")
+    kept = F.array_join(staying(F.split("text", "\n"), F.col("_gone")), "\n")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
@@ -139,9 +146,9 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
 
 def report(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, n_lines, n_removed, kept_sha256`` of every row (lines that are not blank are counted)."""
-    gone = repeated_lines(docs, **options).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.lit(True)))).alias("_gone"))
+    gone = repeated_lines(docs, **options).groupBy("doc_id").agg(F.collect_set("pos").alias("_gone"))  # no more than a document has lines
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n").alias("all"))
     joined = own.join(gone.withColumnRenamed("doc_id", "_of"), F.col("doc_id") == F.col("_of"), "left")
-    stay = F.filter("all", lambda line, i: F.col("_gone").isNull() | F.col("_gone")[i].isNull())
+    stay = F.when(F.col("_gone").isNull(), F.col("all")).otherwise(staying(F.col("all"), F.col("_gone")))
     counted = F.size(F.filter("all", lambda line: line.rlike(r"\S")))
     return joined.select("doc_id", counted.cast("long").alias("n_lines"), (F.size("all") - F.size(stay)).cast("long").alias("n_removed"), F.sha2(F.array_join(stay, "\n"), 256).alias("kept_sha256"))

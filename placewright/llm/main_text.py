@@ -4,7 +4,7 @@ A page is read into a tree of elements and *blocks*: stretches of text without a
 paragraph gives points (one, one for each comma, one for each hundred characters up to three) to its element, all of them to the
 parent, half to the grandparent, and a third, a sixth and so on further up; elements start with points for their kind.
 An element's points are discounted by its link density. The best container is kept with those of its siblings that
-score at least a fifth of it or are plain paragraphs of text. Within what is kept, menus, headers, footers, sidebars,
+score at least a fifth of it or are plain paragraphs of text, and with the headings before it. Within what is kept, menus, headers, footers, sidebars,
 notices, adverts, forms and reader comments are left out, told by tag, role, class and id, and so are lists of links.
 
 Defined results: null and empty pages give an empty text; broken markup is read as browsers do where it matters
@@ -33,22 +33,39 @@ CLOSED_BY = {"p": BLOCK - {"body", "html", "head", "option", "optgroup"}, "li":
 #: What an implied end doesn't reach beyond.
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "p": {"td", "th", "table", "button", "object", "body", "div", "article", "section", "main", "li", "blockquote"}, "option": {"select"}}
 KIND = {"article": 25.0, "main": 20.0, "section": 3.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "ol": -3.0, "ul": -3.0, "dl": -3.0, "dd": -3.0, "dt": -3.0, "li": -3.0, "form": -3.0, "th": -5.0, "h1": -5.0, "h2": -5.0, "h3": -5.0}
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-NAMES = re.compile(
-    r"(?<![a-z])(?:ads?|advert\w*|adsense|adslot|banner|sponsor\w*|promo\w*|comments?|commentlist|comment-\w+|disqus|respond|replies|sidebar|side-bar|rail|widgets?|"
-    r"nav|navbar|navigation|menu|menus|breadcrumbs?|pager|pagination|footer|masthead|header|topbar|toolbar|cookie\w*|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|"
-    r"subscription|signup|login|social|share|sharing|related|recommend\w*|skip-link|site-header|site-footer|page-header|page-footer|outbrain|taboola|paywall)(?![a-z])",
-    re.IGNORECASE,
+# Words of class and id names. A name says what a block is with its last part: ``post-comments`` are comments, a
+# ``notice-board`` is a board. Where the last part is only a wrapper, any other part says it.
+BOILERPLATE = frozenset(
+    "ad ads adsense adslot adunit banner banners sponsor sponsored promo promos promotion comment comments commentlist disqus respond replies reply sidebar rail widget widgets nav navbar navigation menu menus "
+    "breadcrumb breadcrumbs pager pagination footer masthead header topbar toolbar cookie cookies cookiebar consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login "
+    "social share sharing sharebar related recommended recommendations outbrain taboola paywall advert adverts advertisement advertisements advertising".split()
 )
-#: Names of wrappers that hold an article, whatever else their names say.
-CONTENT = re.compile(r"(?<![a-z])(?:article|post|entry|content|main|story|body)(?![a-z])", re.IGNORECASE)
+WRAPPERS = frozenset("content contents wrapper wrap container inner outer box area section block blocks list item items row col column body bar panel holder group form links link button buttons widget title top bottom left right main js posts articles stories news".split())
+#: Parts that make a header one of an article.
+ARTICLE = frozenset("article post entry content story".split())
+PART = re.compile(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])|[a-z]")
+
+
+def boilerplate(names: str) -> bool:
+    """Whether one of the names of a block says that it is no part of an article."""
+    for name in names.split():
+        parts = [x.lower() for x in PART.findall(name)]
+        while len(parts) > 1 and parts[-1] in WRAPPERS and parts[-1] not in BOILERPLATE:
+            parts.pop()
+        if parts and parts[-1] in BOILERPLATE and not (parts[-1] == "header" and ARTICLE & set(parts)):
+            return True
+        if any(x in ("sidebar", "advert", "advertisement", "comments", "cookie", "disqus") for x in parts):
+            return True
+    return False
 
 
 class Element:
-    __slots__ = ("blocks", "characters", "commas", "depth", "linked", "links", "name", "out", "parent", "points", "said")
+    __slots__ = ("blocks", "characters", "commas", "depth", "linked", "links", "name", "named", "out", "parent", "points", "said")
 
-    def __init__(self, name: str, parent: Element | None, said: dict[str, str]):
-        self.name, self.parent, self.said = name, parent, said
+    def __init__(self, name: str, parent: Element | None, said: dict[str, str], named: bool = True):
+        self.name, self.parent, self.said, self.named = name, parent, said, named
         self.depth = parent.depth + 1 if parent else 0
         self.points: float | None = None
         self.characters = self.linked = self.links = 0
@@ -65,7 +82,7 @@ class Element:
             return False
         names = f"{self.said.get('class', '')} {self.said.get('id', '')}"
         hidden = "hidden" in self.said or self.said.get("aria-hidden") == "true" or "display:none" in self.said.get("style", "").replace(" ", "").lower()
-        return hidden or self.said.get("role", "").lower() in ROLES or (bool(NAMES.search(names)) and self.name in BLOCK | {"span", "a"} and not CONTENT.search(names))
+        return hidden or self.said.get("role", "").lower() in ROLES or (self.named and (self.name in BLOCK or self.name in ("span", "a")) and boilerplate(names))
 
     def within(self, name: str) -> bool:
         up = self.parent
@@ -80,7 +97,8 @@ class Element:
 class Page:
     """The elements and blocks of a page; blocks come in page order as (element, text)."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, named: bool = True):
+        self.named = named
         self.blocks: list[tuple[Element, str]] = []
         self.elements: list[Element] = []
         self.parts: list[str] = []
@@ -119,7 +137,7 @@ class Page:
             if name == "br":
                 self._text(" ")
             elif name not in VOID:
-                probe = Element(name, self.at, said) if said else None
+                probe = Element(name, self.at, said, self.named) if said else None
                 self.inline.append((name, name in LEFT_OUT or bool(probe and probe.out)))
                 self.links += name == "a"
             return
@@ -134,7 +152,7 @@ class Page:
                     self.at = up.parent
         if name in ("html", "hr") or (name == "body" and self.at.within("body")):
             return
-        self.at = Element(name, self.at, said)
+        self.at = Element(name, self.at, said, self.named)
         self.elements.append(self.at)
 
     def _close(self, name: str) -> None:
@@ -180,7 +198,7 @@ class Page:
 
     def score(self) -> None:
         for element, text in self.blocks:
-            if len(text) < 25 or element.name in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            if len(text) < 25 or element.name in HEADINGS:
                 continue
             points = 1 + text.count(",") + text.count("，") + text.count("、") + min(len(text) / 100, 3)
             # Text right inside a container is a paragraph of it; else its element is one, and the parent contains it.
@@ -215,6 +233,14 @@ class Page:
                     keep.add(id(e))
                 elif e.name == "p" and (e.characters > 80 and e.density() < 0.25 or e.characters and not e.linked and any(b is e and re.search(r"\.(\s|$)", t) for b, t in self.blocks)):
                     keep.add(id(e))
+        # The headline may stand before the container: headings beside it or beside what it stands in.
+        above, at = set(), top
+        while at:
+            above.add(id(at))
+            at = at.parent
+        before = self.elements[: self.elements.index(top)]
+        host = lambda e: e.parent.parent if e.parent.name in ("header", "hgroup") and e.parent.parent else e.parent
+        keep |= {id(e) for e in before if e.name in HEADINGS and not e.out and e.parent and id(host(e)) in above and (e.name == "h1" or host(e) is top.parent)}
         chosen = []
         for element, text in self.blocks:
             up: Element | None = element
@@ -230,8 +256,8 @@ class Page:
 
 
 def main_text(source: str) -> str:
-    """The kept blocks in page order, joined by line breaks."""
-    return "\n".join(Page(source).kept())
+    """The kept blocks in page order, joined by line breaks. If names leave out all there is, they don't count."""
+    return "\n".join(Page(source).kept() or Page(source, named=False).kept())
 
 
 def extract(pages: DataFrame) -> DataFrame:

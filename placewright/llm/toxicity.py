@@ -9,13 +9,14 @@ unseen endings), and else on 0. Every token also pays ``drift``, so that a clean
 Scan. Every occurrence of a token scores, wherever else the same token stands. Within a text, the linear-time algorithm
 for all maximal scoring segments finds every passage that stands out (Ruzzo and Tompa); runs of tokens that only go downhill are one step. Score statistics of segments are extreme
 values: in background text a score reaches S with expectation ``K m exp(-lambda S)``, where lambda solves
-``sum p(w) exp(lambda w) = 1`` over the background's token frequencies. A passage's evidence is minus the logarithm
+``sum p(w) exp(lambda w) = 1`` over the background's token frequencies, and K is the maximum-likelihood value for the best
+segments of the clean training texts, ``n / sum m exp(-lambda S)``. A passage's evidence is minus the logarithm
 of the chance that ``m`` background tokens hold one so high; a document's evidence is the sum over its significant
 passages, and a logistic curve of its logarithm fitted on the training fold turns it into a score from 0 to 1.
 
 Bounds. Labelled rows for the fit are all there are, up to ``most_rows`` (chosen by hash, a documented bound on
-fitting a classifier); counting is a Spark aggregation, and the driver sees the ``most_tokens`` weightiest tokens and
-aggregates only. Labels of documents whose crc32 is divisible by 5 are held out. The scan covers every whole text.
+fitting a classifier); counting is a Spark aggregation, and the driver sees the tokens that weigh and aggregates
+only. A token needs several training documents to differ from 0 by ``least_z``, so the bound on rows bounds them too. Labels of documents whose crc32 is divisible by 5 are held out. The scan covers every whole text.
 
 Defined results: null and empty texts have no passage and get the score of no evidence; labels, language, source and
 id are no input of a score; with no labelled rows of both kinds every score is 0.
@@ -86,6 +87,11 @@ class Model:
                 out.append((first, end, -math.log(-math.expm1(-max(expected, 1e-300)))))
         return out
 
+    def best(self, tokens: list[str]) -> float:
+        """The score of the best segment; 0 if none rises."""
+        sums = np.concatenate([[0.0], np.cumsum(self.weigh(tokens) - self.drift)])
+        return float((sums - np.minimum.accumulate(sums)).max())
+
     def read(self, text: str) -> list[tuple[int, int, float]]:
         """The significant passages of a whole text."""
         tokens = TOKEN.findall(text.lower())
@@ -110,7 +116,7 @@ def solve_rate(weights: np.ndarray, shares: np.ndarray) -> float:
     return high
 
 
-def fit(docs: DataFrame, labels: DataFrame, prior: float = 2000.0, least_z: float = 2.5, most_tokens: int = 50_000, most_rows: int = 200_000) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, prior: float = 2000.0, least_z: float = 2.5, most_rows: int = 200_000) -> Model | None:
     """A model from labelled rows outside the held-out fold; None if one kind is missing."""
     # One label a document: toxic if any of its rows says so. Ids without a text have nothing to learn from.
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
@@ -129,14 +135,15 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float = 2000.0, least_z: floa
     bad, good = F.col("bad") + share, F.col("good") + share
     odds = F.log(bad / (bad_all + prior - bad)) - F.log(good / (good_all + prior - good))
     weighed = counts.withColumns({"weight": odds, "z": odds / F.sqrt(1 / bad + 1 / good)})
-    kept = weighed.where(F.abs("z") >= least_z).orderBy(F.desc(F.abs("z")), "token").limit(most_tokens).select("token", "weight", "good").collect()  # bounded by most_tokens
+    kept = weighed.where(F.abs("z") >= least_z).select("token", "weight", "good").collect()  # bounded by the training rows
     weights = {r["token"]: float(r["weight"]) for r in kept}
     of_good = np.array([r["good"] for r in kept] + [good_all - sum(r["good"] for r in kept)], dtype=float)
     values = np.array([*weights.values(), 0.0])
     p = of_good / of_good.sum()
     drift = max(0.25, float(p @ values) + 0.25)
     rate = solve_rate(values - drift, p)
-    raw = Model(weights, drift, rate, 0.1, 1.0, 0.0)
+    raw = Model(weights, drift, rate, 1.0, 1.0, 0.0)
+    raw = Model(weights, drift, rate, background_scale(told.where("toxic = 0"), raw), 1.0, 0.0)
     # The evidence of the training rows, as counts in bins: the logistic curve is fitted on at most a few hundred numbers.
     seen = evidence(told.select("doc_id", "text", "toxic"), raw, keep=("toxic",))
     bins = seen.groupBy(F.least(F.round(F.log1p("evidence") * 40), F.lit(400.0)).alias("bin"), "toxic").count().collect()
@@ -145,6 +152,24 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float = 2000.0, least_z: floa
     return Model(weights, drift, rate, raw.scale, slope, offset)
 
 
+def background_scale(clean: DataFrame, model: Model) -> float:
+    """K from the best segments of clean texts: a sum over them, made by Spark."""
+    shared = clean.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        own = shared.value
+        for batch in batches:
+            n, total = 0, 0.0
+            for text in utf8(batch.column("text")):
+                tokens = TOKEN.findall(text.decode("utf-8").lower())
+                if tokens:
+                    n, total = n + 1, total + len(tokens) * math.exp(-own.rate * own.best(tokens))
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total])], ["n", "total"])
+
+    n, total = clean.select("text").mapInArrow(run, "n long, total double").agg(F.sum("n"), F.sum("total")).first()
+    return min(1.0, max(1e-6, n / total)) if n and total else 0.1
+
+
 def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
     """Weighted logistic regression of one variable by Newton's method, with a small penalty on the slope."""
     a = np.stack([x, np.ones_like(x)])
@@ -164,7 +189,7 @@ def evidence(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), spans: b
     """``doc_id, evidence`` of every text (and ``keep``); with ``spans``, also its passages by first token, end and evidence."""
     kinds = {f.name: f.dataType for f in docs.schema.fields}
     out = ", ".join(["doc_id long", *(f"{k} {kinds[k].simpleString()}" for k in keep), "evidence double", *(["passages array<struct<first:int,end:int,evidence:double>>"] if spans else [])])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most ``most_tokens`` weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # as many weights as the training rows bear
 
     def run(batches):
         own = shared.value

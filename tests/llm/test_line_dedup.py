@@ -24,7 +24,7 @@ def brute(rows, near_from=20):
     places = sorted((d, i, line) for d, t in rows for i, line in enumerate((t or "").split("\n")) if line.strip())
     gone = set()
     for k, (d, i, line) in enumerate(places):
-        if any(a == line or (len(a) >= near_from and len(line) >= near_from and within_one(a, line)) for *_, a in places[:k]):
+        if any(a == line or (len(line) >= near_from and within_one(a, line)) for *_, a in places[:k]):
             gone.add((d, i))
     return {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in rows}
 

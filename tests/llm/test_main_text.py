@@ -1,5 +1,6 @@
 """Extraction on pages whose article is known."""
 
+from placewright.llm import main_text as M
 from placewright.llm.main_text import extract, main_text
 
 P1 = "The first paragraph, which is long enough, tells of a house, a road and a bridge that was built in 1890."
@@ -40,3 +41,51 @@ def test_rows(spark):
     got = sorted((r["page_id"], r["url"], r["text"], r["n_chars"]) for r in extract(docs).collect() if r["page_id"] != 2)
     assert got[0] == (1, "u", "", 0) and got[1] == got[2] == (3, "u", P1, len(P1)) and got[3][3] == 5000 * (len(P1) + 1) - 1
     assert extract(docs.limit(0)).count() == 0
+
+
+def labelled_pages(n, seed=3):
+    """Pages with the text that should be left, made of parts that sites put around and into articles."""
+    import random
+
+    rng = random.Random(seed)
+    word = lambda: rng.choice("the river was seen by many people who came from old towns and then they spoke, at length, of what had been".split()).strip()
+    sentence = lambda k: (" ".join(word() for _ in range(k)).capitalize() + ".").replace(",.", ".")
+    inside = ["post-comments", "entry-comments", "article-sidebar", "main-nav", "content-ads", "story-promo", "post-footer", "sidebar-content", "related-posts", "share-buttons", "newsletter-box"]
+    kept = ["notice-board", "social-history", "entry-content", "post-body", "text"]
+    for _ in range(n):
+        title, blocks = sentence(5)[:-1], [sentence(rng.randint(20, 60)) for _ in range(rng.randint(3, 8))]
+        noise = lambda: f'<div class="{rng.choice(inside)}"><p>{sentence(rng.randint(12, 40))}</p></div>'
+        body = "".join(f"<p>{b}</p>" + (noise() if rng.random() < 0.3 else "") for b in blocks)
+        shape = rng.randrange(3)
+        if shape == 0:
+            article = f'<article><header class="entry-header"><h1>{title}</h1></header><div class="{rng.choice(kept)}">{body}</div></article>'
+        elif shape == 1:
+            article = f'<div id="content"><h1>{title}</h1><div class="{rng.choice(kept)}">{body}</div></div>'
+        else:
+            article = f'<main><h1>{title}</h1>{body}</main>'
+        links = "".join(f'<li><a href="/{i}">{word()} {word()}</a></li>' for i in range(6))
+        page = f'<html><head><title>{title}</title><style>p{{}}</style></head><body><header id="site-header"><a href="/">Home</a></header><nav><ul>{links}</ul></nav>{noise() if rng.random() < 0.5 else ""}{article}<aside><p>{sentence(30)}</p></aside><footer><p>{sentence(25)}</p></footer></body></html>'
+        yield page, "\n".join([title, *blocks])
+
+
+def test_labelled_pages():
+    pages = list(labelled_pages(240))
+    right = [M.main_text(page) == want for page, want in pages]
+    assert sum(right) >= 0.98 * len(pages)
+
+
+def test_names_tell_by_their_last_part():
+    for name in ("post-comments", "entry-comments", "article-sidebar", "main-nav", "content-ads", "story-promo", "post-footer", "sidebar-content", "adBox", "cookie-banner", "nav-links"):
+        assert M.boilerplate(name), name
+    for name in ("notice-board", "social-history", "entry-header", "article-body", "post-content", "uploads", "header-image", ""):
+        assert not M.boilerplate(name), name
+
+
+def test_a_page_that_names_would_leave_empty():
+    assert M.main_text('<body><div class="notice"><p>The whole page is one notice, and nothing else is there to be read.</p></div></body>').startswith("The whole page")
+
+
+def test_extra_columns_and_repeated_rows(spark):
+    rows = [(1, "u", "<p>Some text that is long enough to be scored here.</p>", "x", 9)] * 2 + [(None, None, None, None, None)]
+    got = M.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")).collect()
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == [(0, 0), (1, 48), (1, 48)]

@@ -1,5 +1,6 @@
 """Segments against brute force, and held-out accuracy."""
 
+import math
 import random
 import zlib
 
@@ -106,3 +107,32 @@ def test_passage_of_words_that_stood_scattered_before():
     dense = ["grobian", "lumpkin"] * 4
     tokens = ["grobian", *["plain"] * 500, "lumpkin", *["plain"] * 500, *dense, *["plain"] * 500, *dense]
     assert [(a, b) for a, b, _ in model.passages(tokens)] == [(1002, 1010), (1510, 1518)]
+
+
+def test_tokens_are_the_same_in_fit_and_scan(spark):
+    """Letters and digits of any script, and marks, which part tokens in both."""
+    text = "".join(chr(c) for c in [*range(0x20, 0x2FF), *range(0x300, 0x36F), *range(0x370, 0x52F), *range(0x5D0, 0x64F), *range(0x900, 0x97F), *range(0xE01, 0xE5B), *range(0x3041, 0x30FF), *range(0x4E00, 0x4E50), 0xB2, 0xBD, 0x2160, 0xFF21, 0xFF11])
+    text = " ".join("x" + c + "y" for c in text)
+    java = [t for t in spark.createDataFrame([(text,)], "t string").selectExpr(f"split(lower(t), r'{T.SEPARATORS}')").first()[0] if t]
+    assert java == T.TOKEN.findall(text.lower())
+
+
+def test_scale_follows_the_background(spark):
+    """With K from random texts about as many of them have a segment of chance 1/m as should."""
+    rng = random.Random(6)
+    weights = {f"w{i}": rng.uniform(-1, 1.2) for i in range(200)}
+    shares = np.full(200, 1 / 200)
+    drift = 0.6
+    rate = T.solve_rate(np.array([*weights.values()]) - drift, shares)
+    texts = [(" ".join(rng.choice(list(weights)) for _ in range(400)),) for _ in range(1500)]
+    raw = T.Model(weights, drift, rate, 1.0, 1.0, 0.0)
+    scale = T.background_scale(spark.createDataFrame(texts[:1000], "text string"), raw)
+    told = T.Model(weights, drift, rate, scale, 1.0, 0.0)
+    chances = [math.exp(-max((e for *_, e in told.read(t)), default=0.0)) for (t,) in texts[1000:]]
+    assert 0.02 < np.mean([c <= 0.1 for c in chances]) < 0.25
+
+
+def test_every_passage_of_a_repeated_one(spark):
+    model = T.Model({"bad": 3.0, "worse": 3.0}, 0.5, 1.0, 0.1, 1.0, 0.0)
+    tokens = ["bad", "worse", "bad"] + ["calm"] * 60 + ["bad", "worse", "bad"]
+    assert [(a, b) for a, b, _ in model.passages(tokens)] == [(0, 3), (63, 66)]
