@@ -32,7 +32,7 @@ from placewright.llm.bpe import utf8
 from placewright.llm.staging import block_counts, block_join, staged
 
 #: Bytes of segments in one shard.
-SHARD = 500_000
+SHARD = 1_000_000
 #: Places from which on an anchor is split, if it also holds one in HOT_KEYS of all places (so no more are).
 HOT, HOT_KEYS = 20_000, 10_000
 SECOND = np.uint64(0x8EBC6AF09C88C6E3)
