@@ -4,14 +4,15 @@
 polynomial or by a linear predictor from its autocorrelation, whichever needs fewest bits, residuals go out as Rice
 codes in one partition, and a frame that would grow is stored verbatim. ``decode`` reads any such stream: it finds the
 frames, checks the header's CRC-8 and the frame's CRC-16, decodes Rice residuals, runs the predictors and compares the
-MD5 of the samples with the stream's. ``pcm_blocks`` gives each frame's samples with their offset, so that a reader can
-seek to a sample without decoding what is before it.
+MD5 of the samples with the stream's. Streams of more than SEEK frames hold a table of seek points: ``samples_at`` decodes
+a stretch of samples from the last point before it on, and long streams are read back in pieces cut at these points, so a
+task's memory doesn't grow with a text. ``pcm_blocks`` gives each frame's samples with their offset.
 
 All frames of a batch are worked on side by side: a Rice code's place depends on the one before, but frames don't
 depend on each other, so each step of the loop takes one sample of every frame.
 
 Defined results: a null text counts as empty; payloads are padded by zero bytes to a positive multiple of 64; equal
-texts give equal rows; a stream whose checksums fail raises an error. Other columns play no part.
+texts give equal rows; a stream whose checksums fail, or whose seek points miss its frames, raises an error. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
+from itertools import accumulate, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,8 @@ BLOCK = 1024
 SAMPLE_RATE = 8000
 #: Order and precision of the linear predictor that is tried.
 LPC_ORDER, LPC_BITS = 4, 10
+#: Frames from one seek point to the next. A stream with no more has no table, as its only point is the first frame.
+SEEK = 32
 #: Payload bytes worked on at once.
 GROUP = 1_500_000
 
@@ -164,7 +169,8 @@ def encode_all(payloads: list[bytes]) -> list[bytes]:
         for f in range(-(-len(p) // BLOCK)):
             where.setdefault(min(BLOCK, len(p) - f * BLOCK), []).append((i, f))
     frames: list[list[bytes]] = [[b""] * -(-len(p) // BLOCK) for p in payloads]
-    for n, own in where.items():
+    rows = GROUP // BLOCK
+    for n, own in [(n, every[i : i + rows]) for n, every in where.items() for i in range(0, len(every), rows)]:
         x = np.frombuffer(b"".join(payloads[i][f * BLOCK : f * BLOCK + n] for i, f in own), dtype=np.uint8).reshape(-1, n).astype(np.int64) - 128
         for (i, f), made in zip(own, encode_frames(x, [f for _, f in own]), strict=True):
             frames[i][f] = made
@@ -180,10 +186,61 @@ def encode_all(payloads: list[bytes]) -> list[bytes]:
         least = BLOCK if len(p) >= BLOCK else max(16, len(p))
         info = struct.pack(">HH", least, max(least, BLOCK)) + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big")
         info += ((SAMPLE_RATE << 44) | (0 << 41) | (7 << 36) | len(p)).to_bytes(8, "big") + hashlib.md5(samples).digest()
-        out.append(b"fLaC" + bytes([0x80]) + len(info).to_bytes(3, "big") + info + b"".join(body))
+        table = seek_table(sizes, len(p)) if len(sizes) > SEEK else b""
+        out.append(b"fLaC" + bytes([0x00 if table else 0x80]) + len(info).to_bytes(3, "big") + info + table + b"".join(body))
     return out
 
 
+def seek_table(sizes: list[int], total: int) -> bytes:
+    """The last metadata block: first sample, byte offset and number of samples of every SEEK-th frame."""
+    offsets = [0, *accumulate(sizes)]
+    points = b"".join(struct.pack(">QQH", f * BLOCK, offsets[f], min(BLOCK, total - f * BLOCK)) for f in range(0, len(sizes), SEEK))
+    return bytes([0x83]) + len(points).to_bytes(3, "big") + points
+
+
+def metadata(stream: bytes) -> tuple[dict[int, bytes], int]:
+    """The metadata blocks by kind, and where the first frame starts."""
+    if stream[:4] != b"fLaC":
+        raise ValueError("not a FLAC stream")
+    found, at, last = {}, 4, False
+    while not last:
+        if len(stream) < at + 4:
+            raise ValueError("no frame where the first one should be")
+        last, kind, size = bool(stream[at] & 0x80), stream[at] & 0x7F, int.from_bytes(stream[at + 1 : at + 4], "big")
+        found[kind] = stream[at + 4 : at + 4 + size]
+        at += 4 + size
+    if len(found.get(0, b"")) != 34:
+        raise ValueError("no stream information")
+    return found, at
+
+
+def pieces(stream: bytes, most: int) -> list[tuple[int, bytes]]:
+    """The stream cut at seek points into streams of about ``most`` bytes, each with its first sample."""
+    meta, start = metadata(stream)
+    kept = [(0, 0)]
+    for sample, offset, _ in struct.iter_unpack(">QQH", meta.get(3, b"")):
+        if sample == (1 << 64) - 1:  # an empty place of the table
+            continue
+        head = Frames.header(stream[start + offset : start + offset + 24], 0)
+        if head is None or head[0] * BLOCK != sample:
+            raise ValueError("a seek point is not at its frame")
+        if offset - kept[-1][1] >= most:
+            kept.append((sample, offset))
+    ends = [offset for _, offset in kept[1:]] + [len(stream) - start]
+    head = b"fLaC\x80" + len(meta[0]).to_bytes(3, "big") + meta[0]
+    return [(sample, head + stream[start + offset : start + end]) for (sample, offset), end in zip(kept, ends, strict=True)]
+
+
+def samples_at(stream: bytes, first: int, count: int) -> bytes:
+    """Payload bytes from ``first`` on, ``count`` of them or up to the end, decoded from the last seek point before them."""
+    cut = pieces(stream, 1)
+    starts = [sample for sample, _ in cut]
+    low = max(bisect_right(starts, first) - 1, 0)
+    frames = Frames([piece for _, piece in cut[low : max(bisect_left(starts, first + count), low + 1)]])
+    own = np.concatenate(frames.samples)[first - starts[low] :][:count]
+    return (own.astype(np.int8).view(np.uint8) ^ 0x80).tobytes()
+
+
 class Frames:
     """All frames of some streams, decoded side by side."""
 
@@ -193,15 +250,9 @@ class Frames:
         self.totals, self.md5 = [], []
         starts, ends, base = [], [], 0
         for i, s in enumerate(streams):
-            if s[:4] != b"fLaC":
-                raise ValueError("not a FLAC stream")
-            at, last = 4, False
-            while not last:
-                last, kind, size = bool(s[at] & 0x80), s[at] & 0x7F, int.from_bytes(s[at + 1 : at + 4], "big")
-                if kind == 0:
-                    self.totals.append(int.from_bytes(s[at + 14 : at + 22], "big") & ((1 << 36) - 1))
-                    self.md5.append(s[at + 22 : at + 38])
-                at += 4 + size
+            meta, at = metadata(s)
+            self.totals.append(int.from_bytes(meta[0][10:18], "big") & ((1 << 36) - 1))
+            self.md5.append(meta[0][18:34])
             own = [base + x for x in (self.split(s, at, careful=True) if i in careful else self.split(s, at))]
             starts += own[:-1]
             ends += own[1:]
@@ -251,10 +302,11 @@ class Frames:
         head = self.header(s, at)
         if head is None:
             raise ValueError("no frame where the first one should be")
+        first = head[0]  # pieces of a stream start at later frames
         at += head[2]
         while (at := s.find(b"\xff\xf8", at)) >= 0:
             head = self.header(s, at)
-            if head and head[0] == len(own) and not (careful and self.crc16(s[own[-1] : at])):
+            if head and head[0] == first + len(own) and not (careful and self.crc16(s[own[-1] : at])):
                 own.append(at)
                 at += head[2]
             else:
@@ -379,19 +431,28 @@ def padded(text: bytes) -> bytes:
     return text + bytes(-len(text) % 64 if text else 64)
 
 
-def grouped(texts):
-    """Lists of payloads of about GROUP bytes."""
-    held, size = [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t)
-        if size > GROUP:
+def grouped(items, size=len):
+    """Lists of items of about GROUP bytes."""
+    held, total = [], 0
+    for item in items:
+        held.append(item)
+        total += size(item)
+        if total > GROUP:
             yield held
-            held, size = [], 0
+            held, total = [], 0
     if held:
         yield held
 
 
+def decoded(streams: list[bytes]):
+    """``(row, samples of its next frames)``: all streams in order, long ones in several steps."""
+    cut = ((row, piece) for row, stream in enumerate(streams) for _, piece in pieces(stream, GROUP))
+    for group in grouped(cut, lambda item: len(item[1])):
+        frames = Frames([piece for _, piece in group])
+        for i, own in groupby(zip(frames.stream, frames.samples, strict=True), lambda pair: pair[0]):
+            yield group[i][0], [samples for _, samples in own]
+
+
 def store(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, media``: every whole text as a FLAC stream."""
 
@@ -411,27 +472,48 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            at = 0
-            for streams in grouped(batch.column("media").to_pylist()):
-                ids = batch.column("doc_id").slice(at, len(streams)).to_pylist()
-                at += len(streams)
-                frames = Frames(streams)
-                rows, last, block, offset = [], None, 0, 0
-                for i, samples in zip(frames.stream, frames.samples, strict=True):
-                    block, offset = (0, 0) if i != last else (block + 1, offset)
-                    rows.append((ids[i], block, offset, len(samples), samples.astype(np.int8).tobytes()))
-                    last, offset = i, offset + len(samples)
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "block", "sample_offset", "n_samples", "pcm"])
+            ids = batch.column("doc_id").to_pylist()
+            last, block, offset = None, 0, 0
+            for row, own in decoded(batch.column("media").to_pylist()):
+                block, offset = (block, offset) if row == last else (0, 0)
+                sizes = [len(x) for x in own]
+                offsets = list(accumulate(sizes, initial=offset))
+                columns = ([ids[row]] * len(own), range(block, block + len(own)), offsets[:-1], sizes, [x.astype(np.int8).tobytes() for x in own])
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "block", "sample_offset", "n_samples", "pcm"])
+                last, block, offset = row, block + len(own), offsets[-1]
 
     return media.select("doc_id", "media").mapInArrow(run, "doc_id long, block int, sample_offset long, n_samples int, pcm binary")
 
 
-def feature(samples: bytes, frames: int) -> str:
-    """Energy, zero crossings and peak of the samples, and the number of frames."""
-    x = np.frombuffer(samples, dtype=np.uint8).astype(np.int64) - 128
-    crossings = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
-    return f"frames={frames};energy={int((x * x).sum())};crossings={crossings};peak={int(np.abs(x).max())}"
+class Digest:
+    """What is told of one stream, from its samples in order: energy, zero crossings and peak among it, and the number of frames."""
+
+    def __init__(self) -> None:
+        self.sha, self.md5, self.tail, self.below = hashlib.sha256(), hashlib.md5(), b"", None
+        self.size = self.frames = self.energy = self.crossings = self.peak = 0
+
+    def add(self, own: list[np.ndarray]) -> None:
+        x = np.concatenate(own)
+        signed = x.astype(np.int8)
+        payload = (signed.view(np.uint8) ^ 0x80).tobytes()
+        self.sha.update(payload)
+        self.md5.update(signed.tobytes())
+        self.tail = (self.tail + payload[-64:])[-64:]
+        below = x < 0
+        self.crossings += int((below[1:] != below[:-1]).sum()) + int(self.below is not None and self.below != below[0])
+        self.below = below[-1]
+        self.energy += int((x * x).sum())
+        self.peak = max(self.peak, int(np.abs(x).max()))
+        self.size += len(x)
+        self.frames += len(own)
+
+    def row(self, stream: bytes) -> tuple:
+        info = metadata(stream)[0][0]
+        if self.size != int.from_bytes(info[10:18], "big") & ((1 << 36) - 1) or self.md5.digest() != info[18:34]:
+            raise ValueError("the samples are not the stream's")
+        feature = f"frames={self.frames};energy={self.energy};crossings={self.crossings};peak={self.peak}"
+        return self.size, self.sha.hexdigest(), zlib.crc32(self.tail), len(stream), hashlib.sha256(stream).hexdigest(), feature
 
 
 def read_back(media: DataFrame) -> DataFrame:
@@ -440,17 +522,13 @@ def read_back(media: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            at = 0
-            for streams in grouped(batch.column("media").to_pylist()):
-                frames = Frames(streams)
-                counts = np.bincount(frames.stream, minlength=len(streams))
-                rows = [
-                    (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(s), hashlib.sha256(s).hexdigest(), feature(p, int(n)))
-                    for p, s, n in zip(frames.payloads(), streams, counts, strict=True)
-                ]
-                columns = list(zip(*rows, strict=True))
+            streams = batch.column("media").to_pylist()
+            digests = [Digest() for _ in streams]
+            for row, own in decoded(streams):
+                digests[row].add(own)
+            if streams:
+                columns = list(zip(*(d.row(s) for d, s in zip(digests, streams, strict=True)), strict=True))
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(streams)), batch.column("n_bytes").slice(at, len(streams)), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
-                at += len(streams)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
 
     return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

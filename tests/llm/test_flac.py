@@ -46,6 +46,38 @@ def test_damage_is_noticed(at):
         flac.Frames([bytes(media)]).payloads()
 
 
+def long_payload():
+    rng = random.Random(3)
+    return flac.padded(bytes(rng.choice(b"etaoin shrdlu") for _ in range(150_000)) + bytes(rng.randrange(256) for _ in range(50_000)))
+
+
+def test_seek_points():
+    payload = long_payload()
+    media = flac.encode_all([payload, b"x" * 64])
+    assert [flac.samples_at(media[0], at, n) for at, n in ((0, 10), (32767, 2), (32768, 1), (100_001, 70_000), (len(payload) - 3, 99))] == [payload[0:10], payload[32767:32769], payload[32768:32769], payload[100_001:170_001], payload[-3:]]
+    assert flac.samples_at(media[1], 60, 4) == b"xxxx"
+    cut = flac.pieces(media[0], 1)
+    assert [sample for sample, _ in cut] == list(range(0, len(payload), flac.SEEK * flac.BLOCK))
+    broken = bytearray(media[0])
+    broken[46 + 18 + 15] ^= 1  # the second point's offset
+    with pytest.raises(ValueError):
+        flac.pieces(bytes(broken), 1)
+
+
+def test_long_streams_are_read_in_pieces(monkeypatch):
+    payload = long_payload()
+    media = flac.encode_all([payload])
+    whole, parts = flac.Digest(), flac.Digest()
+    whole.add(flac.Frames(media).samples)
+    monkeypatch.setattr(flac, "GROUP", 40_000)
+    assert flac.encode_all([payload]) == media  # the same stream, however many frames are worked on at once
+    steps = list(flac.decoded(media))
+    assert len(steps) > 2
+    for _, own in steps:
+        parts.add(own)
+    assert parts.row(media[0]) == whole.row(media[0])
+
+
 def test_query_columns(spark):
     texts = ["", None, "Hello wörld", "x" * 64, "漢字 " * 3000, "same", "same"]
     docs = spark.createDataFrame([(t, i, "m", 0) for i, t in enumerate(texts)], SCHEMA)
