@@ -217,8 +217,10 @@ def metadata(stream: bytes) -> tuple[dict[int, bytes], int]:
 def pieces(stream: bytes, most: int) -> list[tuple[int, bytes]]:
     """The stream cut at seek points into streams of about ``most`` bytes, each with its first sample."""
     meta, start = metadata(stream)
+    if 3 not in meta:
+        return [(0, stream)]
     kept = [(0, 0)]
-    for sample, offset, _ in struct.iter_unpack(">QQH", meta.get(3, b"")):
+    for sample, offset, _ in struct.iter_unpack(">QQH", meta[3]):
         if sample == (1 << 64) - 1:  # an empty place of the table
             continue
         head = Frames.header(stream[start + offset : start + offset + 24], 0)
