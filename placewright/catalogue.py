@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from placewright.plans import checks, names, places, relations, reviews  # noqa: F401
+from placewright.plans import checks, landmarks, names, places, relations, reviews  # noqa: F401
 from placewright.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -120,7 +120,7 @@ def to_wgs84(x: Column, y: Column) -> tuple[Column, Column]:
 
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: float = MEAN_RADIUS) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return F.when(a.isNotNull(), 2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt(a))))  # least() passes over nulls
 
 
 def equirectangular(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: float = ROUND_RADIUS) -> Column:

@@ -13,6 +13,13 @@ TRADITIONAL = "復興園醫學國鐵車門廣場東橋碼頭聖寧灣總會"
 SIMPLIFIED = "复兴园医学国铁车门广场东桥码头圣宁湾总会"
 # Names that say what a place is, but not which one.
 GENERIC_NAMES = ("building", "buildings", "house", "school", "temple", "church", "hospital", "factory", "bank", "shop", "cemetery", "residence", "garden", "hotel")
+# What a place key leaves out at its start and end, and keys that name a kind of place or a numbered house only.
+PLACE_START, PLACE_END = "^上海市?", "(?:旧址|旧居|原址|遗址|历史建筑|优秀历史建筑)$"
+KINDS_OF_PLACE = (
+    "vanished|none|null|unknown|yes|no|名称未载|住宅|花园住宅|民宅|民居|住宅楼|居民住宅|公寓|里弄|公寓楼|花园|公园|楼|建筑|建筑群|花园洋房|办公|办公楼|办公用房|办公室|综合办公楼|商业|商店|商铺|商场|学校|校舍|中学|大学|医院|厂房|仓库|码头|银行|教堂|寺庙"
+    "|多户住宅|多单位使用|多户居住|其他|居住|宿舍|house|residence|residentialbuilding|hospital|school|building|villa|garden|park|factory|church|bank|office|temple"
+)
+NUMBERED_HOUSE = r"第?[一二三四五六七八九十0-9]+[号栋楼幢座]|\d+号住宅"
 # Placeholders that stand where a name should.
 PLACEHOLDERS = ("VANISHED", "NONE", "NO", "YES", "NULL")
 # Small words and numerals of title case.
@@ -139,3 +146,24 @@ def url_key(url: Column) -> Column:
     host = F.regexp_replace(F.lower(F.parse_url(url, F.lit("HOST"))), r"^www\.", "")
     query = F.parse_url(url, F.lit("QUERY"))
     return F.lower(F.concat(host, F.coalesce(F.parse_url(url, F.lit("PATH")), F.lit("")), F.when(query.isNotNull(), F.concat(F.lit("?"), query)).otherwise("")))
+
+
+def place_key(c: Column) -> Column:
+    """What place names are compared by: one width, simplified, lower case, without marks and blanks, city and old-site endings."""
+    wide = "".join(chr(0xFEE0 + i) for i in range(0x21, 0x7F))
+    own = F.lower(F.translate(F.translate(clean(c), wide, "".join(map(chr, range(0x21, 0x7F)))), TRADITIONAL, SIMPLIFIED))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(own, r"[\p{P}\p{Z}\s]", ""), PLACE_START, ""), PLACE_END, "")
+
+
+def place_variants(c: Column) -> Column:
+    """The spellings that one field holds: itself, its parts between marks, what stands in brackets, and the rest without them."""
+    own = F.coalesce(c, F.lit(""))
+    inside = F.regexp_extract_all(own, F.lit("[（(]([^）)]+)[）)]"), F.lit(1))
+    every = F.concat(F.array(own), F.split(own, "[\n；;、/／]"), inside, F.array(F.regexp_replace(own, "[（(][^）)]*[）)]", "")))
+    return F.array_distinct(F.filter(F.transform(every, F.trim), lambda v: v != ""))
+
+
+def names_a_place(key: Column) -> Column:
+    """Whether a place key says which place: long enough for its script, and neither a kind of place nor a numbered house."""
+    least = F.when(key.rlike("[\u3400-\u9fff]"), 3).otherwise(5)
+    return (F.length(key) >= least) & ~key.rlike(f"^(?:{KINDS_OF_PLACE})$") & ~key.rlike(f"^(?:{NUMBERED_HOUSE})$")

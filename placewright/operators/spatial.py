@@ -27,6 +27,26 @@ def within(left: DataFrame, right: DataFrame, reach: float, cell: float, metric:
     return pairs.withColumn("distance", metric(F.col("x"), F.col("y"), F.col("ox"), F.col("oy"))).where(F.col("distance") <= reach)
 
 
+def cube(lon: Column, lat: Column, width: float, step: Column | None = None) -> Column:
+    """The cube of a grid of ``width`` metres that a place on the globe lies in, or one beside it: cells of one size at any latitude."""
+    of = lambda c, n: F.floor(geo.MEAN_RADIUS * c / width) + (step[n] if step is not None else 0)
+    x, y = F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon))
+    return F.struct(of(x, "i").alias("i"), of(y, "j").alias("j"), of(F.sin(F.radians(lat)), "k").alias("k"))
+
+
+def cubes_around(lon: Column, lat: Column, width: float) -> Column:
+    """The 27 cubes around a place: all that is at most ``width`` metres away lies in one of them."""
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
+    return F.transform(steps, lambda s: cube(lon, lat, width, s))
+
+
+def within_metres(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
+    """Pairs of ``left`` (id, lon, lat) and ``right`` (other, olon, olat) whose great-circle distance is at most ``reach``, with ``distance``."""
+    own = left.withColumn("_c", F.explode(cubes_around(F.col("lon"), F.col("lat"), reach)))
+    met = own.join(right.withColumn("_c", cube(F.col("olon"), F.col("olat"), reach)), "_c").drop("_c")
+    return met.withColumn("distance", geo.haversine(F.col("lon"), F.col("lat"), F.col("olon"), F.col("olat"))).where(F.col("distance") <= reach)
+
+
 def nearest_within(left: DataFrame, right: DataFrame, reach: float, cell: float, k: int, metric: Metric = euclid) -> DataFrame:
     """The ``k`` nearest of each left row, with ``rank``; equal distances go by ``other``."""
     return ranked(within(left, right, reach, cell, metric), k)
