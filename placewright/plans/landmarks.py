@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placewright.operators import candidates
+from placewright.operators import candidates, folding
 from placewright.plans.registry import query, table
 
 ROADS = ("南京东路", "延安路", "福州路", "江西路")
@@ -80,3 +80,35 @@ def landmark_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     conflicts = own.where(k % 47 == 0).select(k.alias("member"), k.alias("listing"))
     found = candidates.candidates(own.drop("n", "p_name"), other, names, listed, current, old, other.select("listing", "address"), urls, pages, conflicts)
     return found.select("landmark", "listing", "class", "distance", F.array_join("hazards", "|").alias("hazards"), F.col("n_names").cast("long").alias("n_names"), "n_addresses", "n_sources")
+
+
+FOLD = """
+WITH RECURSIVE f AS (SELECT p_partkey // 10 AS g, list(p_partkey ORDER BY p_partkey) AS ids FROM part GROUP BY 1),
+k AS (SELECT g, s, g * 10 + c AS canonical, list_transform([c] || m, lambda x: g * 10 + x) AS ids, list_transform(w, lambda x: g * 10 + x) AS want FROM f, (VALUES (0, 0, [1, 2], [0, 1, 2], [0, 1, 2], [0, 1, 2], [0, 1, 2]), (1, 0, [3], [0, 3], [0, 1, 2, 3], [0, 3], [0, 1, 2, 3]), (2, 4, [3], [3, 4], [3, 4], [3, 4], [3, 4]), (3, 1, [5], [1, 5], [1, 5], [1, 5], [1, 5]),
+ (4, 5, [6, 4], [4, 5, 6], [4, 5, 6], [3, 4, 5, 6], [3, 4, 5, 6]), (5, 0, [9, 1], [0, 1, 9], [0, 1, 9], [0, 1, 9], [0, 1, 9]), (6, 7, [8], [7, 8], [7, 8], [7, 8], [7, 8]), (7, 8, [7], [7, 8], [7, 8], [7, 8], [7, 8])) t(s, c, m, w00, w10, w01, w11), LATERAL (SELECT CASE WHEN g % 3 = 0 THEN CASE WHEN g % 2 = 0 THEN w00 ELSE w01 END ELSE CASE WHEN g % 2 = 0 THEN w10 ELSE w11 END END AS w)),
+st AS (SELECT g, 0 AS s, list_transform(ids, lambda i: struct_pack(id := i, b := [i])) AS st FROM f UNION ALL
+ SELECT g, s + 1, CASE WHEN ok THEN list_transform(list_filter(st, lambda x: x.id = canonical OR NOT list_contains(ids, x.id)), lambda x: CASE WHEN x.id = canonical THEN struct_pack(id := x.id, b := have) ELSE x END) ELSE st END
+ FROM (SELECT *, list_contains(list_transform(present, lambda x: x.id), canonical) AND (len(present) = len(ids) OR len(present) = 1) AND have = list_sort(want) AS ok FROM (SELECT st.g, st.s, st, canonical, ids, want, list_filter(st, lambda x: list_contains(ids, x.id)) AS present, list_sort(flatten(list_transform(list_filter(st, lambda x: list_contains(ids, x.id)), lambda x: x.b))) AS have FROM st JOIN k ON k.g = st.g AND k.s = st.s)))
+SELECT x.id AS id, array_to_string(list_sort(x.b), ',') AS buildings FROM (SELECT unnest(st) AS x FROM st WHERE s = 8)"""
+
+
+@query(FOLD)
+def folded_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as features and eight links for every ten of them; later links see what earlier ones have left."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("k"), F.col("p_name").alias("name"))
+    texts = lambda v: F.array(*[x.cast("string") for x in v]).cast("array<string>")
+    empty = {"parks": "array<bigint>", "name_zh": "string", "chinese": "string", "aliases": "array<string>", "legacy": "array<string>", "sources": "array<string>", "urls": "map<string,string>", "current": "map<string,string>", "records": "array<string>"}
+    k = F.col("k")
+    features = p.select(k.cast("string").alias("id"), F.lit("landmark").alias("kind"), F.array("k").alias("buildings"), "name", k.cast("string").alias("grp"), *[F.lit(None).cast(t).alias(c) for c, t in empty.items()])
+    g = F.floor(k / 10)
+    split, even = g % 3 == 0, g % 2 == 0
+    shapes = [(0, [1, 2], None), (0, [3], F.when(split, F.array(F.lit(0), F.lit(3))).otherwise(F.array(*map(F.lit, range(4))))), (4, [3], None), (1, [5], None), (5, [6, 4], F.when(even, F.array(*map(F.lit, (4, 5, 6)))).otherwise(F.array(*map(F.lit, (3, 4, 5, 6))))), (0, [9, 1], None), (7, [8], None), (8, [7], None)]
+    links = None
+    for seq, (canonical, members, want) in enumerate(shapes):
+        wanted = want if want is not None else F.array(*map(F.lit, [canonical, *members]))
+        own = p.where(k % 10 == 0).select(
+            F.concat_ws("-", k, F.lit(seq)).alias("link"), F.lit(seq).alias("seq"), (k + canonical).cast("string").alias("canonical"), texts([k + m for m in members]).alias("members"), F.transform(wanted, lambda x: k + x).alias("buildings"), F.lit(None).cast("array<bigint>").alias("parks"),
+            *[F.lit(None).cast("string").alias(c) for c in ("current_from", "name", "name_zh")], F.lit(None).cast("array<string>").alias("aliases"))
+        links = own if links is None else links.unionByName(own)
+    after, _ = folding.fold_links(features, links)
+    return after.select(F.col("id").cast("long").alias("id"), F.array_join(F.transform(F.sort_array("buildings"), lambda x: x.cast("string")), ",").alias("buildings"))
