@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placewright.operators import candidates, folding
+from placewright.operators import candidates, folding, measure
 from placewright.plans.registry import query, table
 
 ROADS = ("南京东路", "延安路", "福州路", "江西路")
@@ -112,3 +112,70 @@ def folded_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
         links = own if links is None else links.unionByName(own)
     after, _ = folding.fold_links(features, links)
     return after.select(F.col("id").cast("long").alias("id"), F.array_join(F.transform(F.sort_array("buildings"), lambda x: x.cast("string")), ",").alias("buildings"))
+
+
+LAYERS = (("heritage", 60.0), ("metro", 80.0), ("park", 10.0), ("road", 40.0), ("landmark", 120.0))
+SHAPE_SQL = """
+c AS (SELECT *, 121.47 + ((s * 37) % 100 - 50) * 0.0005 AS x, 31.23 + ((s * 53) % 100 - 50) * 0.0005 AS y, 0.001 + (s % 5) * 0.002 AS r FROM (SELECT s_suppkey AS s FROM supplier)),
+e AS (SELECT s, s % 3 = 0 AS area, CASE s % 3 WHEN 0 THEN 'park' WHEN 1 THEN 'road' ELSE CASE s % 9 WHEN 2 THEN 'heritage' WHEN 5 THEN 'metro' ELSE 'landmark' END END AS layer, unnest(CASE s % 3
+ WHEN 0 THEN [[x - r, y - r, x + r, y - r / 2], [x + r, y - r / 2, x + r / 2, y + r], [x + r / 2, y + r, x - r, y - r]] WHEN 1 THEN [[x - 3 * r, y - 2 * r, x, y], [x, y, x + r, y + 3 * r]] ELSE [[x, y, x, y]] END) AS v FROM c),
+p AS (SELECT vec_id AS id, 121.47 + embedding[1]::DOUBLE / 10 AS lon, 31.23 + embedding[2]::DOUBLE / 10 AS lat FROM embeddings),
+q AS (SELECT p.id, s, area, layer, lon, lat, 111195 * cos(radians(lat)) AS k, v FROM p, e),
+a AS (SELECT *, (v[1] - lon) * k AS ax, (v[2] - lat) * 111195 AS ay, (v[3] - v[1]) * k AS dx, (v[4] - v[2]) * 111195 AS dy FROM q),
+t AS (SELECT *, CASE WHEN dx * dx + dy * dy = 0 THEN 0 ELSE greatest(0.0, least(1.0, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) END AS t FROM a),
+m AS (SELECT id, s, area, layer, min(sqrt(pow(ax + t * dx, 2) + pow(ay + t * dy, 2))) AS d, area AND count(*) FILTER ((v[2] > lat) <> (v[4] > lat) AND lon < (v[3] - v[1]) * (lat - v[2]) / nullif(v[4] - v[2], 0) + v[1]) % 2 = 1 AS held FROM t GROUP BY id, s, area, layer)"""
+
+
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as areas, lines and points of a few hundred metres."""
+    s = F.col("s")
+    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s")).withColumns({"x": 121.47 + ((s * 37) % 100 - 50) * 0.0005, "y": 31.23 + ((s * 53) % 100 - 50) * 0.0005, "r": 0.001 + (s % 5) * 0.002})
+    x, y, r = F.col("x"), F.col("y"), F.col("r")
+    ring = F.array(at(x - r, y - r), at(x + r, y - r / 2), at(x + r / 2, y + r), at(x - r, y - r))
+    line = F.array(at(x - 3 * r, y - 2 * r), at(x, y), at(x + r, y + 3 * r))
+    node = F.when(s % 9 == 2, "heritage").when(s % 9 == 5, "metro").otherwise("landmark")
+    return own.select(s.alias("geometry"), (s % 3 == 0).alias("area"), F.when(s % 3 == 0, "park").when(s % 3 == 1, "road").otherwise(node).alias("layer"), F.when(s % 3 == 0, ring).when(s % 3 == 1, line).otherwise(F.array(at(x, y))).alias("path"))
+
+
+def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (121.47 + F.col("embedding")[0].cast("double") / 10).alias("lon"), (31.23 + F.col("embedding")[1].cast("double") / 10).alias("lat"))
+
+
+@query(f"WITH {SHAPE_SQL} SELECT id, s AS geometry, CASE WHEN NOT area THEN 'not-checked' WHEN held THEN 'inside' ELSE 'outside' END AS containment, CASE WHEN held THEN 0.0 ELSE round(d, 2) END AS distance, round(d, 2) AS boundary FROM m WHERE held OR round(d, 2) <= 160")
+def measured_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas, lines and points around each place, with containment and distances."""
+    return measure.measured(clicks(spark, sf_dir), shapes(spark, sf_dir), reach=160.0)
+
+
+@query(f"WITH {SHAPE_SQL} SELECT id, arg_min(s, (d, s)) AS geometry, round(min(d), 3) AS distance FROM m GROUP BY id")
+def nearest_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest geometry of each place, however far it is."""
+    edges = measure.edges_of(shapes(spark, sf_dir))
+    return measure.nearest_edges(clicks(spark, sf_dir), edges, 100.0).select("id", "geometry", F.round("distance", 3).alias("distance"))
+
+
+@query(f"""WITH {SHAPE_SQL}, l(layer, pri, radius) AS (VALUES {", ".join(f"('{n}', {i}, {r})" for i, (n, r) in enumerate(LAYERS) if n != "metro")}), h AS (SELECT id, layer, s, pri, CASE WHEN held THEN 0.0 ELSE d END AS d FROM m JOIN l USING (layer) WHERE held OR d <= radius)
+SELECT id, arg_min(layer, (pri, d, s)) AS layer, arg_min(s, (pri, d, s)) AS geometry, round(arg_min(d, (pri, d, s)), 3) AS distance FROM h GROUP BY id""")
+def layered_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a click selects where one layer is hidden."""
+    shown = [x for x in LAYERS if x[0] != "metro"]
+    return measure.layered(clicks(spark, sf_dir), shapes(spark, sf_dir), shown).select("id", "layer", "geometry", F.round("distance", 3).alias("distance"))
+
+
+@query("""WITH c AS (SELECT *, 121.47 + ((s * 37) % 100 - 50) * 0.0005 AS x, 31.23 + ((s * 53) % 100 - 50) * 0.0005 AS y, 0.001 + (s % 5) * 0.002 AS r FROM (SELECT s_suppkey AS s FROM supplier)),
+v AS (SELECT s, unnest(CASE s % 3 WHEN 0 THEN [[x - r, y - r], [x + r, y - r / 2], [x + r / 2, y + r], [x - r, y - r]] WHEN 1 THEN [[x - 3 * r, y - 2 * r], [x, y], [x + r, y + 3 * r]] ELSE [[x, y]] END) AS v FROM c)
+SELECT s AS geometry, round(avg(v[1]), 7) AS mean_x, round(avg(v[2]), 7) AS mean_y, round((min(v[1]) + max(v[1])) / 2, 7) AS centre_x, round((min(v[2]) + max(v[2])) / 2, 7) AS centre_y FROM v GROUP BY s""")
+def representative_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = measure.representative(shapes(spark, sf_dir))
+    return own.select("geometry", *[F.round(c, 7).alias(c) for c in own.columns[1:]])
+
+
+@query("""WITH p AS (SELECT round(embedding[1]::DOUBLE * 40, 4) AS x, CASE WHEN vec_id % 9 <> 0 THEN round(embedding[2]::DOUBLE * 40, 4) END AS y, round(embedding[1]::DOUBLE * 40, 4) + CASE WHEN vec_id % 5 = 0 THEN 3 ELSE 0 END AS sx, CASE WHEN vec_id % 7 <> 0 THEN round(embedding[2]::DOUBLE * 40, 4) END AS sy FROM embeddings),
+o AS (SELECT *, sqrt(pow(x - sx, 2) + pow(y - sy, 2)) AS gap FROM p), e AS (SELECT count(*) AS n, coalesce(sum(c), 0) AS r, max(c) AS m FROM (SELECT count(*) AS c FROM p WHERE y IS NOT NULL GROUP BY round(x, 4), round(y, 4) HAVING count(*) > 1)), f AS (SELECT count(*) AS n, coalesce(sum(c), 0) AS r, max(c) AS m FROM (SELECT count(*) AS c FROM p WHERE y IS NOT NULL GROUP BY round(x), round(y) HAVING count(*) > 1))
+SELECT count(*) FILTER (y IS NOT NULL) AS both_present, count(*) FILTER (y IS NULL) AS missing_either, min(x) FILTER (y IS NOT NULL) AS min_x, max(x) FILTER (y IS NOT NULL) AS max_x, min(y) AS min_y, max(y) AS max_y, count(*) FILTER (sy IS NOT NULL) AS points, count(*) FILTER (sy IS NULL) AS missing_points, count(gap) AS compared,
+ count(*) FILTER (gap > 0.001) AS mismatches, round(max(gap), 6) AS largest_gap, any_value(e.n) AS exact_places, any_value(e.r)::BIGINT AS exact_rows, any_value(e.m) AS exact_most, any_value(f.n) AS metre_places, any_value(f.r)::BIGINT AS metre_rows, any_value(f.m) AS metre_most FROM o, e, f""")
+def coordinate_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, e = F.col("vec_id"), lambda i: F.round(F.col("embedding")[i].cast("double") * 40, 4)
+    own = table(spark, sf_dir, "embeddings").select(e(0).alias("x"), F.when(v % 9 != 0, e(1)).alias("y"), (e(0) + F.when(v % 5 == 0, 3).otherwise(0)).alias("sx"), F.when(v % 7 != 0, e(1)).alias("sy"))
+    return measure.coordinate_profile(own, "x", "y", "sx", "sy").withColumn("largest_gap", F.round("largest_gap", 6))
