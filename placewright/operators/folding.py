@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placewright.functions import text
-from placewright.operators.checkpoints import written
+from placewright.operators.checkpoints import discard, written
 
 LANDMARK = "landmark"
 FEATURE = "id string, kind string, buildings array<bigint>, parks array<bigint>, name string, name_zh string, chinese string, aliases array<string>, grp string, legacy array<string>, sources array<string>, urls map<string,string>, current map<string,string>, records array<string>"
@@ -84,7 +84,10 @@ def fold_links(features: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFr
         met = asked.join(left, "link").withColumn("present", F.transform("_p", lambda p: p["_f"])).withColumn("outcome", outcome())
         done = written(met.select("link", "ids", "outcome", F.when(F.col("outcome") == "applied", F.struct(*[c.alias(n) for n, c in merged().items()])).alias("_m")), "round")
         gone = done.where("outcome = 'applied'").select(F.explode("ids").alias("id"))
+        before = state, left
         state = written(state.join(gone, "id", "left_anti").unionByName(done.where("outcome = 'applied'").select("_m.*")), "state")
         told = done.select("link", "outcome") if told is None else told.unionByName(done.select("link", "outcome"))
         left = written(left.join(done.select("link"), "link", "left_anti"), "links")
+        for table in before:
+            discard(table)
     return untouched.unionByName(state), told if told is not None else left.select("link", F.lit("").alias("outcome"))

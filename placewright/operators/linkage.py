@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placewright.functions import address, text
-from placewright.operators.checkpoints import written
+from placewright.operators.checkpoints import discard, written
 from placewright.operators.spatial import euclid
 
 # The linkage rules, in order of priority, with their radius in metres.
@@ -58,7 +58,7 @@ def candidate_pairs(records: DataFrame, vetoes: DataFrame | None = None) -> Data
     names = close_names(F.col("l_compact_name"), F.col("r_compact_name")) | close_names(F.col("l_compact_zh"), F.col("r_compact_zh"))
     near = _near(l, r, [], F.lit(RADIUS[SEMANTIC])).where((F.col("distance") <= RADIUS[SEMANTIC]) & names).withColumn("code", F.lit(SEMANTIC))
     columns = [F.col("l_sid").alias("left"), F.col("r_sid").alias("right"), "code", "distance"]
-    pairs = same.select(*columns).unionByName(near.select(*columns)).groupBy("left", "right").agg(F.min_by("code", _rank()).alias("code"), F.first("distance").alias("distance"))
+    pairs = same.select(*columns).unionByName(near.select(*columns)).groupBy("left", "right").agg(F.min_by("code", _rank()).alias("code"), F.min("distance").alias("distance"))
     if vetoes is not None:
         a, b = stable_id(F.col("a")), stable_id(F.col("b"))
         pairs = pairs.join(vetoes.select(F.least(a, b).alias("left"), F.greatest(a, b).alias("right")), ["left", "right"], "left_anti")
@@ -70,18 +70,21 @@ def _rank() -> Column:
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """``sid, component``: the least id reachable over pairs. Labels are written each round; rounds go on until nothing moves."""
-    both = written(pairs.select("left", "right").unionByName(pairs.select(F.col("right").alias("left"), F.col("left").alias("right"))).distinct(), "both")
-    labels = written(both.groupBy("left").agg(F.least(F.first("left"), F.min("right")).alias("component")).withColumnRenamed("left", "sid"), "labels")
+    """``sid, component``: the least id reachable over pairs, by alternating stars: each id hangs its larger neighbours on the least one around it, then
+    its smaller ones. Chains shrink by a factor each round, so rounds grow with the logarithm of a chain; one round's edges are written, the last round's deleted."""
+    smaller = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    edges, seen = written(smaller(pairs.select(F.col("left").alias("a"), F.col("right").alias("b"))), "edges"), None
     while True:
-        near = both.join(labels.withColumnRenamed("sid", "right"), "right").groupBy(F.col("left").alias("sid")).agg(F.min("component").alias("near"))
-        better = labels.join(near, "sid").select("sid", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        # A label's own label: chains shorten by half each round.
-        jump = labels.select(F.col("sid").alias("component"), F.col("component").alias("jumped"))
-        after = written(better.join(jump, "component").select("sid", "was", F.least("component", "jumped").alias("component")), "labels")
-        if not after.where("was <> component").limit(1).count():
-            return labels
-        labels = after.select("sid", "component")
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("m"))
+        hung = smaller(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        least = hung.groupBy("a").agg(F.min("b").alias("m"))
+        after = written(smaller(hung.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.withColumnRenamed("m", "b"))), "edges")
+        discard(edges)
+        edges, was = after, seen
+        seen = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if seen == was:
+            return edges.select(F.col("a").alias("sid"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("sid"), F.col("b").alias("component")).distinct())
 
 
 def _complete_link(group: pd.DataFrame) -> pd.DataFrame:

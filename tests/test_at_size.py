@@ -86,3 +86,14 @@ def test_feature_collections(spark):
     rows = spark.createDataFrame([(i, 1.0 * i, 2.0, "n" if i % 2 else None) for i in range(5)], "id int, x double, y double, name string")
     got = {r["chunk"]: r["value"] for r in sinks.feature_collections(rows, F.col("x"), F.col("y"), ["id", "name"], ["id"], 3).collect()}
     assert len(got) == 2 and got[2] == '{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"id":3,"name":"n"},"geometry":{"type":"Point","coordinates":[3.0,2.0]}},{"type":"Feature","properties":{"id":4},"geometry":{"type":"Point","coordinates":[4.0,2.0]}}]}'
+
+
+def test_components_of_chains_stars_and_circles(spark):
+    rng = random.Random(4)
+    order = list(range(100, 160))
+    rng.shuffle(order)
+    pairs = list(itertools.pairwise(order)) + [(500, i) for i in range(501, 530)] + [(700, 701), (701, 702), (702, 700), (701, 700), (900, 900)]
+    df = spark.createDataFrame([(str(a), str(b)) for a, b in pairs], "left string, right string")
+    got = {int(r["sid"]): int(r["component"]) for r in linkage.components(df).collect()}
+    assert got == {**{i: 100 for i in order}, 500: 500, **{i: 500 for i in range(501, 530)}, 700: 700, 701: 700, 702: 700}
+    assert linkage.components(df.limit(0)).count() == 0
