@@ -62,12 +62,15 @@ def match_library(targets: DataFrame, library: DataFrame, overrides: DataFrame,
     ``targets``: id, official, listed (another list's address), uses, address_class, siblings (listings at one address).
     ``library``: uri, name, address, lon, lat (BD-09). ``overrides``: id, uri. ``holds``: uri, reason.
     Reviewed places come first, then the whole official address, then the other list's where a name or a door range
-    corroborates it: three equi-joins, of which each target keeps the first that finds anything. Several places at one
+    corroborates it (an override that names no place, or several, is ``invalid-override``): three equi-joins, of which each target keeps the first that finds anything. Several places at one
     address are told apart by name; if they all have one point, that is taken for the whole site."""
     own = targets.withColumns({"official_key": F.nullif(address.chinese_key(F.col("official")), F.lit("")), "listed_key": F.nullif(address.chinese_key(F.col("listed")), F.lit(""))})
     places = library.withColumn("place_key", F.nullif(address.chinese_key(F.col("address")), F.lit("")))
     way = lambda keys, on, rank, method: keys.join(places, on).withColumns({"rank": F.lit(rank), "method": F.lit(method)})
     reviewed = way(own.join(overrides.withColumnRenamed("uri", "reviewed_uri"), "id"), F.col("reviewed_uri") == F.col("uri"), 0, "reviewed-name-and-address").drop("reviewed_uri")
+    # A reviewed place is the only one asked, and there must be exactly one; anything else is told and gets no point.
+    invalid = overrides.select("id").distinct().join(reviewed.groupBy("id").agg(F.count("*").alias("_n")), "id", "left").where(F.coalesce("_n", F.lit(0)) != 1).select("id", F.lit(True).alias("_invalid"))
+    own = own.join(overrides.select("id").distinct(), "id", "left_anti")
     official = way(own, F.col("official_key") == F.col("place_key"), 1, "official-full-address")
     listed = way(own, F.col("listed_key") == F.col("place_key"), 2, "wikipedia-full-address-with-corroboration")
     met = reviewed.unionByName(official).unionByName(listed)
@@ -87,7 +90,8 @@ def match_library(targets: DataFrame, library: DataFrame, overrides: DataFrame,
     found = one.select(
         "id", "method", F.when(review, "needs-review").otherwise("accepted-reference-point").alias("status"), F.when(~review, F.col("uri")).alias("uri"),
         F.when(~review, lon).alias("lon"), F.when(~review, lat).alias("lat"), F.when(~review, F.when(site, "building-complex-reference-point").otherwise("address-reference-point")).alias("scope"))
-    return targets.select("id").join(found, "id", "left").withColumns({"status": F.coalesce("status", F.lit("unmatched"))})
+    told = targets.select("id").join(found.join(invalid, "id", "left_anti"), "id", "left").join(invalid, "id", "left")
+    return told.withColumn("status", F.when(F.col("_invalid"), "invalid-override").otherwise(F.coalesce("status", F.lit("unmatched")))).drop("_invalid")
 
 
 def address_plan(listings: DataFrame) -> DataFrame:

@@ -79,9 +79,9 @@ def _at(c: Column, scale: float, width: float | Column) -> Column:
     return F.floor(c * scale / width)
 
 
-def rastered(edges: DataFrame, width: float, narrow: float) -> DataFrame:
-    """``edges`` with ``_cx, _cy``: a row for each cell that an edge touches."""
-    x1, y1, x2, y2 = F.col("x1") * narrow, F.col("y1") * DEGREE, F.col("x2") * narrow, F.col("y2") * DEGREE
+def rastered(edges: DataFrame, width: float, narrow: float, tall: float = DEGREE) -> DataFrame:
+    """``edges`` with ``_cx, _cy``: a row for each cell that an edge touches; ``narrow`` and ``tall`` are the scales of x and y."""
+    x1, y1, x2, y2 = F.col("x1") * narrow, F.col("y1") * tall, F.col("x2") * narrow, F.col("y2") * tall
     low, high, slack = F.least(x1, x2), F.greatest(x1, x2), 1e-6 * width
     y = lambda x: y1 + (y2 - y1) * (x - x1) / F.nullif(x2 - x1, F.lit(0.0))
 

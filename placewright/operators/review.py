@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from placewright.functions import text
 from placewright.operators.linkage import close_names
-from placewright.operators.relational import first_per_group
+from placewright.operators.relational import dealt_join, first_per_group
 
 
 def name_index(features: DataFrame, key: str, fields: Sequence[str], between: str = r"\s+/\s+") -> DataFrame:
@@ -30,17 +30,20 @@ def by_alias(probes: DataFrame, probe: str, index: DataFrame, key: str, manual:
     met = asked.join(exact, "alias", "left")
     if manual is None:
         return met.withColumns({key: F.col("_exact"), "how": F.when(F.col("_exact").isNotNull(), "exact").otherwise("none")}).drop("_exact", "alias")
-    told = manual.select(text.words(F.col("alias")).alias("alias"), F.col(key).alias("_manual"))
-    met = met.join(told, "alias", "left")
-    how = F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_manual").isNotNull(), "manual").otherwise("none")
-    return met.withColumns({key: F.coalesce("_exact", "_manual"), "how": how}).drop("_exact", "_manual", "alias")
+    hits = met.where(F.col("_exact").isNotNull()).withColumns({key: F.col("_exact"), "how": F.lit("exact")}).drop("_exact", "alias")
+    told = manual.select(text.words(F.col("alias")).alias("alias"), F.col(key).alias("_manual")).distinct()
+    rest = met.where(F.col("_exact").isNull()).drop("_exact").join(told, "alias", "left")
+    rest = rest.withColumns({key: F.col("_manual"), "how": F.when(F.col("_manual").isNotNull(), "manual").otherwise("none")}).drop("_manual", "alias")
+    return hits.unionByName(rest)
 
 
-def translated(c: Column, terms: dict[str, str], vetoes: Sequence[str] = ()) -> Column:
-    """Terms of a dictionary replaced wherever they stand, longest first; texts that hold a veto stay as they are."""
-    out = reduce(lambda own, term: F.replace(own, F.lit(term), F.lit(terms[term])), sorted(terms, key=lambda t: (-len(t), t)), c)
-    held = reduce(lambda a, b: a | b, [F.contains(c, F.lit(v)) for v in vetoes], F.lit(False))
-    return F.when(held, c).otherwise(out)
+def translated(c: Column, terms: dict[str, str], vetoes: dict[str, str] | None = None) -> Column:
+    """Terms of a dictionary replaced wherever they stand, longest first. A term is passed over, and only that term, while the text as it stands by
+    then holds the term's veto (a longer name that the term is part of)."""
+    held = vetoes or {}
+    step = lambda own, term: F.replace(own, F.lit(term), F.lit(terms[term]))
+    each = lambda own, term: F.when(F.contains(own, F.lit(held[term])), own).otherwise(step(own, term)) if term in held else step(own, term)
+    return reduce(each, sorted(terms, key=lambda t: (-len(t), t)), c)
 
 
 def denormalised(facts: DataFrame, key: str, ids: str, dimension: DataFrame, dimension_key: str, name: str) -> DataFrame:
@@ -66,7 +69,7 @@ def substring_pairs(left: DataFrame, right: DataFrame, least: int = 4, ratio: fl
     often = held.groupBy("gram").agg(F.count("*").alias("often"))
     own = left.where(long_enough).select("id", "name", F.explode(grams(F.col("name"))).alias("gram")).join(often, "gram", "left")
     probe = own.groupBy("id", "name").agg(F.min_by("gram", F.struct(F.coalesce("often", F.lit(0)), "gram")).alias("gram"))
-    met = probe.join(held, "gram").where(F.contains("other_name", "name") & (F.length("name") >= ratio * F.length("other_name")))
+    met = dealt_join(held, probe, ["gram"], "other").where(F.contains("other_name", "name") & (F.length("name") >= ratio * F.length("other_name")))
     return met.select("id", "other").distinct()
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placewright.functions import geo
+from placewright.operators.measure import rastered
 from placewright.operators.relational import islands
 
 Metric = Callable[[Column, Column, Column, Column], Column]
@@ -87,14 +88,16 @@ def winding(points: DataFrame, edges: DataFrame, band: float) -> DataFrame:
 
 def aligned_lines(vertices: DataFrame, segments: DataFrame, key: str, limit: float, cell: float) -> DataFrame:
     """``line, part, segment_group, n``: runs of neighbouring vertices (line, pos, x, y) that are nearest to one group of modern segments (segment,
-    group, x1, y1, x2, y2) with the same ``key``, at most ``limit`` away. Segments are dealt to cells of width ``cell`` (``limit`` at least)."""
+    group, x1, y1, x2, y2) with the same ``key``, at most ``limit`` away. Segments are dealt to the cells of width ``cell`` (``limit`` at least) along
+    their line. A line without any such vertex stays as it was: one row with a null part and group and all of its vertices."""
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     own = vertices.withColumns({"_cx": F.floor(F.col("x") / cell), "_cy": F.floor(F.col("y") / cell)})
-    span = lambda a, b: F.sequence(F.floor(F.least(a, b) / cell), F.floor(F.greatest(a, b) / cell))
-    dealt = segments.withColumn("_x", F.explode(span("x1", "x2"))).withColumn("_y", F.explode(span("y1", "y2"))).withColumn("_o", F.explode(steps))
-    dealt = dealt.withColumns({"_cx": F.col("_x") + F.col("_o.i"), "_cy": F.col("_y") + F.col("_o.j")}).drop("_x", "_y", "_o").distinct()
+    dealt = rastered(segments, cell, 1.0, 1.0).withColumn("_o", F.explode(steps))
+    dealt = dealt.withColumns({"_cx": F.col("_cx") + F.col("_o.i"), "_cy": F.col("_cy") + F.col("_o.j")}).drop("_o").distinct()
     d2 = geo.segment_distance2(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")])
     near = own.join(dealt, [key, "_cx", "_cy"]).withColumn("_d2", d2).where(F.col("_d2") <= limit * limit)
     best = near.groupBy("line", "pos").agg(F.min_by("group", F.struct("_d2", "segment")).alias("group"))
     runs = islands(vertices.select("line", "pos").join(best, ["line", "pos"], "left"), "group", ["line"], ["pos"], "part")
-    return runs.groupBy("line", "part").agg(F.first("group").alias("segment_group"), F.count("*").alias("n"))
+    made = runs.groupBy("line", "part").agg(F.first("group").alias("segment_group"), F.count("*").alias("n"))
+    kept = vertices.join(best.select("line").distinct(), "line", "left_anti").groupBy("line").agg(F.count("*").alias("n"))
+    return made.unionByName(kept, allowMissingColumns=True)

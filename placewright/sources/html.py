@@ -42,11 +42,13 @@ def plain(html: Column) -> Column:
 
 
 def detail_map(html: Column) -> Column:
-    """Key and value cells of a detail page as a map; of equal keys the last holds."""
-    key = F.regexp_extract_all(html, F.lit(r"(?is)<t[hd][^>]*>([^<]*)</t[hd]>\s*<td[^>]*>[^<]*</td>"), F.lit(1))
-    value = F.regexp_extract_all(html, F.lit(r"(?is)<t[hd][^>]*>[^<]*</t[hd]>\s*<td[^>]*>([^<]*)</td>"), F.lit(1))
-    clean = lambda a: F.transform(a, lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
-    return F.map_from_arrays(clean(key), clean(value))
+    """Key and value cells of a detail page as a map, markup inside cells as their text; of equal keys the last holds."""
+    cell = r"([^<]*+(?:<(?!/?t[hdr]\b)[^<]*+)*+)"  # anything but another cell or row
+    pairs = rf"(?i)<t[hd]\b[^>]*>{cell}</t[hd]>\s*<td\b[^>]*>{cell}</td>"
+    clean = lambda i: F.transform(F.regexp_extract_all(html, F.lit(pairs), F.lit(i)), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", " "), r"\s+", " ")))
+    both = F.arrays_zip(clean(1).alias("k"), clean(2).alias("v"))
+    keys = F.array_distinct(clean(1))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(both, lambda p: p["k"] == k), -1)["v"]))
 
 
 class _Cells(HTMLParser):

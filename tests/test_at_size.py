@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from placewright.functions import address
-from placewright.operators import linkage, relational, review
+from placewright.operators import linkage, relational, review, spatial
 from placewright.sources import html, sinks
 
 
@@ -97,3 +97,28 @@ def test_components_of_chains_stars_and_circles(spark):
     got = {int(r["sid"]): int(r["component"]) for r in linkage.components(df).collect()}
     assert got == {**{i: 100 for i in order}, 500: 500, **{i: 500 for i in range(501, 530)}, 700: 700, 701: 700, 702: 700}
     assert linkage.components(df.limit(0)).count() == 0
+
+
+def test_lookups_that_are_exact_need_no_manual_table(spark):
+    index = review.name_index(spark.createDataFrame([(1, "Red Hall")], "k int, name string"), "k", ["name"])
+    manual = spark.createDataFrame([("red hall", 7), ("RED HALL", 8), ("Old", 9), ("old", 9)], "alias string, k int")
+    got = sorted((r["asked"], r["k"] or 0, r["how"]) for r in review.by_alias(spark.createDataFrame([("Red  hall",), ("OLD",), ("x",), (None,)], "asked string"), "asked", index, "k", manual).na.fill("-").collect())
+    assert got == [("-", 0, "none"), ("OLD", 9, "manual"), ("Red  hall", 1, "exact"), ("x", 0, "none")]
+
+
+def test_a_veto_holds_back_one_term(spark):
+    terms, vetoes = {"SZECHUEN ROAD": "四川路", "NORTH SZECHUEN ROAD": "四川北路", "BUND": "外滩"}, {"SZECHUEN ROAD": "NORTH SZECHUEN"}
+    rows = spark.createDataFrame([("1 NORTH SZECHUEN ROAD, 2 SZECHUEN ROAD",), ("NORTH SZECHUEN LANE BUND SZECHUEN ROAD",), (None,)], "t string")
+    assert [r[0] for r in rows.select(review.translated(F.col("t"), terms, vetoes)).collect()] == ["1 四川北路, 2 四川路", "NORTH SZECHUEN LANE 外滩 SZECHUEN ROAD", None]
+
+
+def test_detail_pages_with_markup_and_repeats(spark):
+    page = "<table><tr><th>Name</th><td><b>Old</b> hall</td></tr><tr><td>Year</td><td>1</td></tr><tr><td>Year</td>\n<td>1898<br>?</td></tr><tr><td>alone</td></tr></table>"
+    assert spark.createDataFrame([(page,), (None,)], "t string").select(html.detail_map(F.col("t")).alias("m")).collect()[0]["m"] == {"Name": "Old hall", "Year": "1898 ?"}
+
+
+def test_lines_without_a_modern_road_stay(spark):
+    vertices = spark.createDataFrame([("a", "k", i, i * 1.0, 0.0) for i in range(3)] + [("b", "k", i, 50.0 + i, 90.0) for i in range(4)], "line string, key string, pos int, x double, y double")
+    roads = spark.createDataFrame([(1, "k", 5, -100.0, -99.0, 100.0, 101.0)], "segment int, key string, group int, x1 double, y1 double, x2 double, y2 double")
+    got = sorted((r["line"], r["part"] or 0, r["segment_group"] or 0, r["n"]) for r in spatial.aligned_lines(vertices, roads, "key", 1.5, 2.0).collect())
+    assert got == [("a", 1, 5, 2), ("b", 0, 0, 4)]

@@ -35,6 +35,9 @@ def test_library_matches(spark):
     assert got == {"a": ("accepted-reference-point", "u1", door), "b": ("accepted-reference-point", "u2", site), "c": review, "d": ("accepted-reference-point", "u4", site), "e": review, "f": ("accepted-reference-point", "u8", site), "g": review, "h": ("unmatched", None, None)}
     chosen = {r["id"]: r["uri"] for r in enrich.match_library(targets, library, spark.createDataFrame([("c", "u11")], "id string, uri string"), holds).collect()}
     assert chosen["c"] == "u11"
+    wrong = spark.createDataFrame([("a", "nowhere"), ("b", "u1"), ("b", "u2")], "id string, uri string")
+    told = {r["id"]: (r["status"], r["uri"], r["lon"]) for r in enrich.match_library(targets, library, wrong, holds).collect()}
+    assert told["a"] == told["b"] == ("invalid-override", None, None) and told["d"][1] == "u4" and len(told) == 8
 
 
 def test_plan_and_road_audit(spark):
