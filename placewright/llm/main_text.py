@@ -7,6 +7,9 @@ An element's points are discounted by its link density. The best container is ke
 score at least a fifth of it or are plain paragraphs of text, and with the headings before it. Within what is kept, menus, headers, footers, sidebars,
 notices, adverts, forms and reader comments are left out, told by tag, role, class and id, and so are lists of links.
 
+Where all that has left out half of a page's text or more, the page is looked at again without names and with its forms: a form with little text for
+each of its fields stays out, one that wraps a page doesn't; and a form or block with half of the text and a headline or ``main`` in it is not left out for its name.
+
 Defined results: null and empty pages give an empty text; broken markup is read as browsers do where it matters
 (unclosed paragraphs and list items end at the next one, stray end tags are ignored, an unfinished tag or comment
 runs to the end); text of any length is kept whole; equal pages give equal texts. Other columns play no part.
@@ -28,7 +31,7 @@ ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?![\w-])\s*(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul video audio canvas object svg math".split())
-LEFT_OUT = frozenset("head nav footer aside form button select datalist dialog menu search fieldset label svg math canvas object audio video script style textarea title noscript template iframe noembed noframes".split())
+LEFT_OUT = frozenset("head nav footer aside button select datalist dialog menu search fieldset label svg math canvas object audio video script style textarea title noscript template iframe noembed noframes".split())
 CLOSED_BY = {"p": BLOCK - {"body", "html", "head", "option", "optgroup"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}, "head": {"body"}}
 #: What an implied end doesn't reach beyond.
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "p": {"td", "th", "table", "button", "object", "body", "div", "article", "section", "main", "li", "blockquote"}, "option": {"select"}}
@@ -40,11 +43,15 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 BOILERPLATE = frozenset(
     "ad ads adsense adslot adunit banner banners sponsor sponsored promo promos promotion comment comments commentlist disqus respond replies reply sidebar rail widget widgets nav navbar navigation menu menus "
     "breadcrumb breadcrumbs pager pagination footer masthead header topbar toolbar cookie cookies cookiebar consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login "
-    "social share sharing sharebar related recommended recommendations outbrain taboola paywall advert adverts advertisement advertisements advertising".split()
+    "responses feedback social share sharing sharebar related recommended recommendations outbrain taboola paywall advert adverts advertisement advertisements advertising".split()
 )
 WRAPPERS = frozenset("content contents wrapper wrap container inner outer box area section block blocks list item items row col column body bar panel holder group form links link button buttons widget title top bottom left right main js posts articles stories news".split())
-#: Parts that make a header one of an article.
+#: Parts that make a header one of an article, and first parts of names that speak of a layout.
 ARTICLE = frozenset("article post entry content story".split())
+LAYOUT = frozenset("with without has no not is".split())
+FIELDS = frozenset("input select textarea button".split())
+#: Characters that a form's text has for each of its fields if it wraps an article.
+FORM_TEXT = 200
 PART = re.compile(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])|[a-z]")
 
 
@@ -52,23 +59,26 @@ def boilerplate(names: str) -> bool:
     """Whether one of the names of a block says that it is no part of an article."""
     for name in names.split():
         parts = [x.lower() for x in PART.findall(name)]
+        if parts and parts[0] in LAYOUT:
+            continue
         while len(parts) > 1 and parts[-1] in WRAPPERS and parts[-1] not in BOILERPLATE:
             parts.pop()
         if parts and parts[-1] in BOILERPLATE and not (parts[-1] == "header" and ARTICLE & set(parts)):
             return True
-        if any(x in ("sidebar", "advert", "advertisement", "comments", "cookie", "disqus") for x in parts):
+        if parts and parts[-1] not in ARTICLE and any(x in ("sidebar", "advert", "advertisement", "comment", "comments", "cookie", "disqus") for x in parts):
             return True
     return False
 
 
 class Element:
-    __slots__ = ("blocks", "characters", "commas", "depth", "linked", "links", "name", "named", "out", "parent", "points", "said")
+    __slots__ = ("characters", "depth", "fields", "headed", "linked", "links", "name", "named", "out", "parent", "points", "said")
 
     def __init__(self, name: str, parent: Element | None, said: dict[str, str], named: bool = True):
         self.name, self.parent, self.said, self.named = name, parent, said, named
         self.depth = parent.depth + 1 if parent else 0
         self.points: float | None = None
-        self.characters = self.linked = self.links = 0
+        self.characters = self.linked = self.links = self.fields = 0
+        self.headed = False
         self.out = bool(parent and parent.out) or self._left_out()
 
     def _left_out(self) -> bool:
@@ -76,7 +86,7 @@ class Element:
             return True
         if self.name in ("html", "body", "article", "main"):
             return False
-        if self.name == "header" and not self.within("article"):
+        if self.name == "header" and not self.within("article") and not self.within("main") and not self._article_header():
             return True
         if not self.said:
             return False
@@ -84,6 +94,9 @@ class Element:
         hidden = "hidden" in self.said or self.said.get("aria-hidden") == "true" or "display:none" in self.said.get("style", "").replace(" ", "").lower()
         return hidden or self.said.get("role", "").lower() in ROLES or (self.named and (self.name in BLOCK or self.name in ("span", "a")) and boilerplate(names))
 
+    def _article_header(self) -> bool:
+        return any(ARTICLE & {x.lower() for x in PART.findall(name)} for name in f"{self.said.get('class', '')} {self.said.get('id', '')}".split())
+
     def within(self, name: str) -> bool:
         up = self.parent
         while up and up.name != name:
@@ -95,10 +108,11 @@ class Element:
 
 
 class Page:
-    """The elements and blocks of a page; blocks come in page order as (element, text)."""
+    """The elements and blocks of a page; blocks come in page order as (element, text). Elements have the same numbers in every reading; ``spared``
+    ones are not left out for their names, ``forms`` are those that stay (null: none)."""
 
-    def __init__(self, source: str, named: bool = True):
-        self.named = named
+    def __init__(self, source: str, named: bool = True, spared: frozenset[int] = frozenset(), forms: frozenset[int] | None = frozenset()):
+        self.named, self.spared, self.forms, self.lost = named, spared, forms, 0
         self.blocks: list[tuple[Element, str]] = []
         self.elements: list[Element] = []
         self.parts: list[str] = []
@@ -110,7 +124,9 @@ class Page:
         self._read(source)
 
     def _text(self, piece: str) -> None:
-        if piece and not self.at.out and not any(out for _, out in self.inline):
+        if self.at.out:
+            self.lost += len(piece)
+        elif piece and not any(out for _, out in self.inline):
             self.parts.append(piece)
             if any(name == "a" for name, _ in self.inline):
                 self.anchor_parts.append(piece)
@@ -152,8 +168,19 @@ class Page:
                     self.at = up.parent
         if name in ("html", "hr") or (name == "body" and self.at.within("body")):
             return
-        self.at = Element(name, self.at, said, self.named)
+        number = len(self.elements)
+        self.at = Element(name, self.at, said, self.named and number not in self.spared)
+        if name == "form" and self.forms is not None and number not in self.forms:
+            self.at.out = True
         self.elements.append(self.at)
+        if name in ("h1", "main"):
+            self._mark("headed", True)
+
+    def _mark(self, what: str, value: bool | int) -> None:
+        up: Element | None = self.at
+        while up:
+            setattr(up, what, value if what == "headed" else getattr(up, what) + value)
+            up = up.parent
 
     def _close(self, name: str) -> None:
         if name not in BLOCK:
@@ -185,12 +212,16 @@ class Page:
                 if m["end"] or own.startswith("/"):
                     self._close(name)
                 elif name in RAW:
+                    if name in FIELDS:
+                        self._mark("fields", 1)
                     lower = lower or source.lower()
                     end = lower.find("</" + name, at) if len(lower) == len(source) else source.find("</" + name, at)
                     stop = source.find(">", end) if end >= 0 else -1
                     at = len(source) if stop < 0 else stop + 1
                 else:
                     self._open(name, m["more"] or own)
+                    if name in FIELDS and not re.search(r"type\s*=\s*[\"']?hidden", m["more"] or own, re.IGNORECASE):
+                        self._mark("fields", 1)
         rest = source[at:]
         broken = re.search(r"<(?:[a-zA-Z/!?])", rest)
         self._text(rest[: broken.start()] if broken else rest)
@@ -255,9 +286,21 @@ class Page:
         return chosen
 
 
+def again(source: str) -> Page:
+    """A page read once more where names and forms have left out half of its text or more."""
+    plain = Page(source, named=False, forms=None)
+    numbered = list(enumerate(plain.elements))
+    spared = frozenset(i for i, e in numbered if e.headed and not e.out and 2 * e.characters >= plain.root.characters)
+    forms = frozenset(i for i, e in numbered if e.name == "form" and (i in spared or e.characters >= FORM_TEXT * e.fields))
+    return Page(source, True, spared, forms)
+
+
 def main_text(source: str) -> str:
     """The kept blocks in page order, joined by line breaks. If names leave out all there is, they don't count."""
-    return "\n".join(Page(source).kept() or Page(source, named=False).kept())
+    page = Page(source)
+    if page.lost and page.lost >= page.root.characters:
+        page = again(source)
+    return "\n".join(page.kept() or Page(source, named=False).kept())
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -89,3 +89,28 @@ def test_extra_columns_and_repeated_rows(spark):
     rows = [(1, "u", "<p>Some text that is long enough to be scored here.</p>", "x", 9)] * 2 + [(None, None, None, None, None)]
     got = M.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")).collect()
     assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == [(0, 0), (1, 48), (1, 48)]
+
+
+def test_an_article_in_a_form_stays():
+    form = f'<form id="aspnetForm"><input type="hidden" value="x"><div><h1>Title</h1><p>{P1}</p><p>{P1}</p><p>{P1}</p></div><input name="q"></form>'
+    assert main_text(page(form)) == f"Title\n{P1}\n{P1}\n{P1}"
+    assert main_text(page(f'<div><h1>Title</h1><p>{P1}</p></div><form><p>Write to us, with your name, and what you think of it all.</p><input><textarea></textarea><select></select></form>')) == f"Title\n{P1}"
+    assert main_text(page(f'<form><nav><a href="/">{P1}</a></nav><main><h1>Title</h1><p>{P1}</p></main><p>Not, ever, a, short, aside.</p><input></form>')).startswith(f"Title\n{P1}")
+
+
+def test_names_never_cost_the_article():
+    comment = "<div class='comments'>" + "".join(f"<p>I think, as reader {i}, that this is great, really, really great and long.</p>" for i in range(3)) + "</div>"
+    for name in ("with-sidebar content", "comments-policy-article", "has-sidebar", "no-comments main", "widget", "ad"):
+        assert main_text(page(f'<div class="{name}"><h1>Title</h1><p>{P1}</p><p>{P1}</p><p>{P1}</p></div>{comment}')) == f"Title\n{P1}\n{P1}\n{P1}", name
+    # Readers may have said more than the article.
+    assert main_text(page(f"<div><h1>Title</h1><p>{P1}</p></div>" + comment * 9)) == f"Title\n{P1}"
+
+
+def test_headlines_in_headers_stay():
+    assert main_text(page(f"<header><h1>Site</h1></header><main><header><h1>Title</h1></header><div><p>{P1}</p><p>{P1}</p></div></main>")) == f"Title\n{P1}\n{P1}"
+    assert main_text(page(f'<div id="post"><header class="entry-header"><h1>Title</h1></header><div><p>{P1}</p><p>{P1}</p></div></div>')) == f"Title\n{P1}\n{P1}"
+
+
+def test_comments_by_other_names_go():
+    for name in ("comment-thread", "responses", "reader-feedback", "comment-area"):
+        assert main_text(page(f'<article><h1>Title</h1><p>{P1}</p></article><div class="{name}"><p>{P1}</p><p>{P1}</p></div>')) == f"Title\n{P1}", name
