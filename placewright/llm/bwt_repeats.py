@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placewright.llm.bpe import utf8
+from placewright.llm.staging import unused
 from placewright.llm.repeats import Segment, bodies, merged, repeated_ranges, runs
 from placewright.llm.succinct import FMIndex
 
@@ -95,20 +96,21 @@ def cut_text(text: bytes, ranges: list[dict] | None) -> tuple[list[tuple[int, in
     return gone, b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def with_ranges(docs: DataFrame, length: int) -> DataFrame:
-    """``docs`` with ``_ranges`` of bytes to remove (null: none)."""
+def with_ranges(docs: DataFrame, length: int, name: str = "_ranges") -> DataFrame:
+    """``docs`` with ``name``: ranges of bytes to remove (null: none)."""
+    of, text_hash = unused(docs, "_of"), unused(docs, "_body")
     own = bodies(docs)
     found = repeated_ranges(own, length, ANCHOR, False, True, lambda shard: search(shard, length))
-    found = found.select(F.col("doc_id").alias("_of"), F.col("body").alias("_body"), F.col("ranges").alias("_ranges"))
+    found = found.select(F.col("doc_id").alias(of), F.col("body").alias(text_hash), F.col("ranges").alias(name))
     body = F.hash(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    return docs.join(found, (docs["doc_id"].cast("long") == F.col("_of")) & (body == F.col("_body")), "left").drop("_of", "_body")
+    return docs.join(found, (docs["doc_id"].cast("long") == F.col(of)) & (body == F.col(text_hash)), "left").drop(of, text_hash)
 
 
 def drop_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """``docs`` with the repeats taken out of ``text``; characters that a range covers in part stay, so texts stay
     texts. ``n_chars``, if there, is the new length. Null texts stay null."""
-    names, counted = docs.columns, "n_chars" in docs.columns
-    joined = with_ranges(docs.withColumn("text", F.col("text").cast("string")), length)
+    names, counted, ranges = docs.columns, "n_chars" in docs.columns, unused(docs, "_ranges")
+    joined = with_ranges(docs.withColumn("text", F.col("text").cast("string")), length, ranges)
 
     def whole(text: bytes, first: int, end: int) -> tuple[int, int]:
         while first < end and text[first] & 0xC0 == 0x80:
@@ -120,7 +122,7 @@ def drop_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts, sizes = batch.column("text").to_pylist(), batch.column("n_chars").to_pylist() if counted else []
-            for i, own in enumerate(batch.column("_ranges").to_pylist()):
+            for i, own in enumerate(batch.column(ranges).to_pylist()):
                 if own and texts[i] is not None:
                     raw = texts[i].encode()
                     gone = [whole(raw, a, b) for a, b in merged([(r["first"], r["end"]) for r in own])]

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placewright.llm.staging import staged
+from placewright.llm.staging import staged, unused
 
 #: After these characters a line is cut into pieces.
 AFTER = r"(?<=[\s\d.,;:!?/=&_+-])"
@@ -133,15 +133,16 @@ def staying(lines: Column, gone: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the repeated lines taken out of ``text``; ``n_chars``, if there, is the new length."""
-    gone = repeated_lines(docs, **options).groupBy("doc_id").agg(F.collect_set("pos").alias("_gone"))  # no more than a document has lines
-    joined = docs.join(gone.withColumnRenamed("doc_id", "_of"), F.col("doc_id").cast("long") == F.col("_of"), "left")
-    kept = F.array_join(staying(F.split("text", "\n"), F.col("_gone")), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
+    """``docs`` with the repeated lines taken out of ``text``; ``n_chars``, if there, is the new length. Other columns, whatever their names, are kept."""
+    gone, of = unused(docs, "_gone"), unused(docs, "_of")
+    found = repeated_lines(docs, **options).groupBy("doc_id").agg(F.collect_set("pos").alias(gone))  # no more than a document has lines
+    joined = docs.join(found.withColumnRenamed("doc_id", of), F.col("doc_id").cast("long") == F.col(of), "left")
+    kept = F.array_join(staying(F.split("text", "\n"), F.col(gone)), "\n")
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.drop(gone, of)
 
 
 def report(docs: DataFrame, **options) -> DataFrame:

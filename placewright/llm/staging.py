@@ -40,6 +40,14 @@ def whole_text(df: DataFrame) -> Column:
     return F.coalesce(df["text"].cast("string"), F.lit(""))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until ``df`` has no such column (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def block_counts(counts: DataFrame, key: str, total: int, per: int = 2000, keys: int = 10_000) -> DataFrame:
     """``key, _blocks`` of the keys that hold at least ``per`` of ``total`` rows, and at least one in ``keys`` of them: no more than
     ``keys`` rows, which are broadcast. ``counts`` has the rows of each key as ``n``; the other keys are one block."""

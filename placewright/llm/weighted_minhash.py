@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from placewright.llm.bpe import utf8
 from placewright.llm.repeats import Rolling, mix
-from placewright.llm.staging import block_counts, block_join, staged
+from placewright.llm.staging import block_counts, block_join, staged, unused
 
 #: Words remembered by a task; only speed depends on it.
 REMEMBERED = 200_000
@@ -415,5 +415,6 @@ def apart_pairs(members: DataFrame, known: DataFrame, sizes: DataFrame, total: i
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the least of its class."""
-    told = near_duplicates(docs, **options).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(told, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = unused(docs, "_gone")
+    told = near_duplicates(docs, **options).where("doc_id <> class_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(told, F.col("doc_id").cast("long") == F.col(gone), "left_anti")

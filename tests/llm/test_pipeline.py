@@ -27,5 +27,22 @@ def test_stages(spark, sf_dir):
 
 
 def test_registry():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_stages_keep_columns_of_any_name(spark, sf_dir):
+    """Every name that a stage gives a column of its own, nulls, repeated rows, and no rows at all."""
+    names = "_gone _of _body _ranges _blocks _block ranges body keys key n at h1 h2 class_id id all wanted times".split()
+    text = "one line of words that is long enough to be told from all others\nand a second line with other words in it, for good measure\n"
+    rows = [(1, text, 2), (1, text, 2), (2, text + "more words than before stand here", 3), (None, text, 4), (3, None, None), (4, "", 0), (5, "x" * 500, 500), (6, "x" * 500 + " y", 502)]
+    docs = spark.createDataFrame([(*r, *names) for r in rows], "doc_id long, text string, n_chars int, " + ", ".join(f"{n} string" for n in names))
+    for own in (docs, docs.limit(0)):
+        count = own.count()
+        for name, stage in corpus_pipeline.STAGES[1:-1]:
+            after = stage(spark, own, sf_dir)
+            assert after.columns == docs.columns
+            got = after.collect()
+            assert len(got) <= count and all(r[n] == n for r in got for n in names)
+            if name != "near_dedup":
+                assert len(got) == count
