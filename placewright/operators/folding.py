@@ -72,7 +72,7 @@ def fold_links(features: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFr
     fields = [f.split()[0] for f in FEATURE.split(", ")]
     ids = F.array_distinct(F.concat(F.array("canonical"), F.coalesce("members", F.array().cast("array<string>"))))
     left = written(links.select("link", "seq", ids.alias("ids"), F.col("buildings").alias("want_buildings"), F.col("parks").alias("want_parks"), "current_from", F.col("name").alias("link_name"), F.col("name_zh").alias("link_name_zh"), F.col("aliases").alias("link_aliases")), "links")
-    named = left.select(F.explode("ids").alias("id")).distinct()
+    named = written(left.select(F.explode("ids").alias("id")).distinct(), "named")
     own = features.select(*fields)
     state, untouched = written(own.join(named, "id", "left_semi"), "state"), own.join(named, "id", "left_anti")
     told = None
