@@ -52,25 +52,32 @@ def detail_map(html: Column) -> Column:
 
 
 class _Cells(HTMLParser):
-    """Cells of a page's tables with their spans."""
+    """Cells of a page's tables with their spans, links and images, and the number of rows of each table."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.table, self.row, self.cells, self.open = -1, -1, [], None
+        self.table, self.row, self.cells, self.rows, self.open = -1, -1, [], [], None
 
     def handle_starttag(self, tag, attrs):
         said = dict(attrs)
         if tag == "table":
             self.table, self.row = self.table + 1, -1
+            self.rows.append(0)
         elif tag == "tr":
             self.row += 1
+            if self.table >= 0:
+                self.rows[self.table] = self.row + 1
             self.open = None
         elif tag in ("td", "th") and self.row >= 0:
             span = lambda k: max(1, min(1000, int(v) if (v := (said.get(k) or "1").strip()).isdigit() else 1))
-            self.open = [self.table, self.row, tag == "th", span("rowspan"), span("colspan"), []]
+            self.open = [self.table, self.row, tag == "th", span("rowspan"), span("colspan"), [], [], []]
             self.cells.append(self.open)
         elif tag == "br" and self.open:
             self.open[5].append("\n")
+        elif tag == "a" and self.open and said.get("href"):
+            self.open[6].append(said["href"])
+        elif tag == "img" and self.open and said.get("src"):
+            self.open[7].append(said["src"])
 
     def handle_endtag(self, tag):
         if tag in ("td", "th", "table"):
@@ -83,33 +90,38 @@ class _Cells(HTMLParser):
             self.open[5].append(data)
 
 
-def grid(html: str) -> list[tuple[int, int, int, bool, bool, str]]:
-    """(table, row, column, is header, is the cell's own place, text) of every place that a cell covers."""
+def grid(html: str) -> list[tuple]:
+    """(table, row, column, is header, is the cell's own place, text, first row, rows of the table, a place is taken twice, links, images) of
+    every place that a cell covers."""
     parser = _Cells()
     parser.feed(html or "")
     taken: set[tuple[int, int, int]] = set()
     out = []
-    for table, row, header, down, across, parts in parser.cells:
+    for table, row, header, down, across, parts, links, images in parser.cells:
         text = "\n".join(line for part in "".join(parts).split("\n") if (line := " ".join(part.split())))
         column = 0
         while (table, row, column) in taken:
             column += 1
-        for r in range(row, row + down):
-            for c in range(column, column + across):
-                if (table, r, c) not in taken:
-                    taken.add((table, r, c))
-                    out.append((table, r, c, header, (r, c) == (row, column), text))
+        places = [(r, c) for r in range(row, row + down) for c in range(column, column + across)]
+        clash = any((table, r, c) in taken for r, c in places)
+        for r, c in places:
+            if (table, r, c) not in taken:
+                taken.add((table, r, c))
+                out.append((table, r, c, header, (r, c) == (row, column), text, row, parser.rows[table] if table >= 0 else 0, clash, links, images))
     return out
 
 
+CELL = {"table": "int", "row": "int", "col": "int", "header": "boolean", "origin": "boolean", "text": "string", "from_row": "int", "rows": "int", "clash": "boolean", "links": "array<string>", "images": "array<string>"}
+
+
 def table_cells(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """``key, table, row, col, header, origin, text``: tables with spans written out. Sections and continued rows are joins and
-    windows over these rows."""
+    """``key`` and the columns of ``CELL``: tables with spans written out. Sections, continued rows and contracts are joins and windows over
+    these rows. A span that reaches beyond the last row gives places there (``row`` >= ``rows``)."""
     kind = dict(pages.dtypes)[key]
 
     def run(batches):
         for batch in batches:
             rows = [(k, *cell) for k, page in zip(batch[key], batch[html], strict=True) for cell in grid(page)]
-            yield pd.DataFrame(rows, columns=[key, "table", "row", "col", "header", "origin", "text"])
+            yield pd.DataFrame(rows, columns=[key, *CELL])
 
-    return pages.select(key, html).mapInPandas(run, f"{key} {kind}, table int, row int, col int, header boolean, origin boolean, text string")
+    return pages.select(key, html).mapInPandas(run, ", ".join(f"{c} {t}" for c, t in {key: kind, **CELL}.items()))
