@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from placewright.operators.checkpoints import written
+
 Contracts = dict[str, Sequence[tuple[str, str]]]
 
 
@@ -27,20 +29,21 @@ def contract_rows(cells: DataFrame, key: str, batches: DataFrame, contracts: Con
     row, a row without cells. Faults of a row: cells missing or too many, no identifier. Of several the first in this order is told. A table without a
     header row has other headers; an unknown batch has no contract; null keys belong to no batch.
 
-    All of a table is in one task, once by its headers and once by its rows: a table is at most a page."""
+    Cells are written once, as headers and rows both read them. All of a table is in one task: a table is at most a page."""
+    cells = written(cells, "cells")
     expected = _literal({b: "|".join(h for h, _ in c) for b, c in contracts.items()})
     named = _literal({f"{b}\n{h}": f for b, c in contracts.items() for h, f in c})
     tight = F.regexp_replace("text", r"\s+", "")
-    head = F.array_sort(F.collect_list(F.when((F.col("row") == 0), F.struct("col", "origin", tight.alias("h")))))
+    head = F.sort_array(F.collect_list(F.when((F.col("row") == 0), F.struct("col", "origin", tight.alias("h")))))
     broken = F.when(F.max("clash"), "overlapping-cells").when(F.max("row") >= F.max("rows"), "span-beyond-table").when(F.count_distinct("row") < F.max("rows"), "row-without-cells")
     tables = cells.groupBy(key, "table").agg(head.alias("_head"), F.bool_or((F.col("from_row") == 0) & (F.col("row") > 0)).alias("_spans"), broken.alias("_broken")).join(batches, [key, "table"], "left")
     headers = F.array_join(F.transform(F.filter("_head", lambda c: c["origin"]), lambda c: c["h"]), "|")
-    wanted = F.get(F.map_values(F.map_filter(expected, lambda b, _: b == F.col("batch"))), 0)
+    wanted = F.try_element_at(expected, F.col("batch"))
     fault = F.when(wanted.isNull(), "no-contract").when(headers != wanted, "unexpected-headers").when(F.col("_spans"), "spanning-header").otherwise(F.col("_broken"))
     known = tables.select(key, "table", "batch", fault.alias("_fault"), F.size("_head").alias("_width"), F.map_from_entries(F.transform("_head", lambda c: F.struct(c["col"], c["h"]))).alias("_heads"))
 
-    field = F.coalesce(F.get(F.map_values(F.map_filter(named, lambda n, _: n == F.concat_ws("\n", "batch", F.get(F.map_values(F.map_filter("_heads", lambda c, _: c == F.col("col"))), 0)))), 0), F.lit("?"))
-    held = F.array_sort(F.collect_list(F.struct("col", field.alias("field"), "text", "from_row", "links", "images")))
+    field = F.coalesce(F.try_element_at(named, F.concat_ws("\n", "batch", F.try_element_at("_heads", F.col("col")))), F.lit("?"))
+    held = F.sort_array(F.collect_list(F.struct("col", field.alias("field"), "text", "from_row", "links", "images")))
     own = F.col("_cells")
     names = F.array_distinct(F.transform(own, lambda c: c["field"]))
     texts = lambda f: F.array_join(F.array_distinct(F.filter(F.transform(F.filter(own, lambda c: c["field"] == f), lambda c: c["text"]), lambda t: t != "")), " ")
@@ -72,7 +75,7 @@ def records(rows: DataFrame, key: str) -> DataFrame:
     """A record for each identified row of the tables without a fault: ``key, table, row, batch, id, fields, components, rows, links, images,
     notes``. Rows that continue it are ``components`` in page order; its links and images are those of all its rows, each once."""
     sound = rows.where("table_fault IS NULL")
-    ordered = F.array_sort(F.collect_list(F.struct("row", "batch", "id", "fields_", "links", "images", "note")))
+    ordered = F.sort_array(F.collect_list(F.struct("row", "batch", "id", "fields_", "links", "images", "note")))
     own = lambda name: F.transform("_rows", lambda r: r[name])
     entries = sound.withColumn("fields_", F.map_entries("fields"))  # maps have no order to sort by
     made = entries.groupBy(key, "table", "from_row").agg(ordered.alias("_rows"))
