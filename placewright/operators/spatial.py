@@ -66,24 +66,30 @@ def nearest_segment(points: DataFrame, segments: DataFrame, key: str, limit: flo
     return met.groupBy("id").agg(F.min_by("segment", F.struct("d2", "segment")).alias("segment"), F.min("d2").alias("d2"))
 
 
+def _meeting(points: DataFrame, edges: DataFrame, band: float) -> DataFrame:
+    """Points (id, x, y) with the edges that a ray to their right may cross. Edges are dealt to squares of width ``band``: at their heights, from the
+    left end of their polygon to their own right end (and one more, for rounding). So a point meets no polygon that lies beside it, and
+    the number of squares grows with the area of a polygon: take bands of a tenth of a usual polygon."""
+    cell = lambda c: F.floor(c / band)
+    left = edges.groupBy("polygon").agg(F.min(F.least("x1", "x2")).alias("_left"))
+    flat = edges.where("y1 <> y2").join(left, "polygon")
+    flat = flat.withColumn("_b", F.explode(F.sequence(cell(F.least("y1", "y2")), cell(F.greatest("y1", "y2"))))).withColumn("_a", F.explode(F.sequence(cell(F.col("_left")), cell(F.greatest("x1", "x2")) + 1)))
+    return points.withColumns({"_a": cell(F.col("x")), "_b": cell(F.col("y"))}).join(flat, ["_a", "_b"])
+
+
 def in_polygons(points: DataFrame, edges: DataFrame, band: float) -> DataFrame:
     """``id, polygon`` of the points (id, x, y) inside each polygon of a table of edges (polygon, x1, y1, x2, y2), by the even-odd rule, so
-    holes are outside. Edges are dealt to bands of y of width ``band``, so a point meets only the edges at its height."""
-    cell = lambda c: F.floor(c / band)
-    flat = edges.where("y1 <> y2").withColumn("_b", F.explode(F.sequence(cell(F.least("y1", "y2")), cell(F.greatest("y1", "y2")))))
-    met = points.withColumn("_b", cell(F.col("y"))).join(flat, "_b").where(geo.crosses(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")]))
+    holes are outside."""
+    met = _meeting(points, edges, band).where(geo.crosses(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")]))
     return met.groupBy("id", "polygon").agg(F.count("*").alias("n")).where("n % 2 = 1").select("id", "polygon")
 
 
 def winding(points: DataFrame, edges: DataFrame, band: float) -> DataFrame:
     """``id, polygon, turns``: how often a polygon's edges, in their direction, go around each point (0 is left out): a check of the even-odd
     rule by another way."""
-    cell = lambda c: F.floor(c / band)
-    flat = edges.where("y1 <> y2").withColumn("_b", F.explode(F.sequence(cell(F.least("y1", "y2")), cell(F.greatest("y1", "y2")))))
     side = (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) - (F.col("x") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     turn = F.when((F.col("y1") <= F.col("y")) & (F.col("y2") > F.col("y")) & (side > 0), 1).when((F.col("y1") > F.col("y")) & (F.col("y2") <= F.col("y")) & (side < 0), -1).otherwise(0)
-    met = points.withColumn("_b", cell(F.col("y"))).join(flat, "_b")
-    return met.groupBy("id", "polygon").agg(F.sum(turn).alias("turns")).where("turns <> 0")
+    return _meeting(points, edges, band).groupBy("id", "polygon").agg(F.sum(turn).alias("turns")).where("turns <> 0")
 
 
 def aligned_lines(vertices: DataFrame, segments: DataFrame, key: str, limit: float, cell: float) -> DataFrame:
