@@ -15,7 +15,9 @@ Equal windows meet in one shard, so shards need nothing from each other. All cou
 combine before they shuffle, a segment that a third of all documents share reaches its shard once, and its places are joined
 in blocks. Shards close at a fixed size. An anchor with very many places (a phrase of a licence in all sorts of
 surroundings) would make a large shard: such anchors, at most ``HOT_KEYS`` of them, are split. Their windows get a second anchor,
-the least of their strings of nine tenths of a window, which differs where the surroundings do.
+the least of their strings of nine tenths of a window, which differs where the surroundings do. Where an anchor's distinct segments still hold
+more than a shard (a phrase of nine tenths of a window and more), they are cut to their windows, each dealt by its own hash: equal windows
+are one entry, and one that stands alone isn't sent. So no anchor holds more than a shard.
 """
 
 from __future__ import annotations
@@ -175,8 +177,8 @@ def places(docs: DataFrame, window: int, k: int, by_word: bool, within_one: bool
 
 
 def repeated_places(docs: DataFrame, window: int, k: int, by_word: bool, within_one: bool):
-    """The rows of ``places`` whose anchor stands in another document too (``within_one``: or again anywhere), how they are dealt
-    to blocks by anchor, and the anchors that were split (broadcast)."""
+    """The rows of ``places`` whose anchor stands in another document too (``within_one``: or again anywhere), and how they are dealt
+    to blocks by anchor."""
     share = docs.sparkSession.sparkContext.broadcast
     many = F.min("doc_id") < F.max("doc_id")
 
@@ -193,26 +195,75 @@ def repeated_places(docs: DataFrame, window: int, k: int, by_word: bool, within_
         hot = share(np.sort(np.array(crowded, dtype=np.int64).view(np.uint64)))
         rows, counts = counted(hot)
     blocks = block_counts(counts, "anchor", total)
-    return block_join(rows, counts.select("anchor"), "anchor", "doc_id", blocks), blocks, hot
+    return block_join(rows, counts.select("anchor"), "anchor", "doc_id", blocks), blocks
 
 
 def distinct_segments(found: DataFrame) -> DataFrame:
-    """``anchor, key, at, times``: each distinct segment with its first place and how often it stands."""
-    return found.groupBy("anchor", "key").agg(F.min(F.struct("doc_id", "body", "start")).alias("at"), F.count("*").alias("times"))
+    """``anchor, key, at, times, size``: each distinct segment with its first place, how often it stands, and its units."""
+    return found.groupBy("anchor", "key").agg(F.min(F.struct("doc_id", "body", "start")).alias("at"), F.count("*").alias("times"), F.min("size").alias("size"))
 
 
-def segment_texts(docs: DataFrame, distinct: DataFrame, window: int, k: int, by_word: bool, hot) -> DataFrame:
+def wide_anchors(distinct: DataFrame, by_word: bool) -> DataFrame:
+    """Anchors whose distinct segments hold more than a shard (a word is taken as six bytes)."""
+    return distinct.groupBy("anchor").agg(F.sum("size").alias("held")).where(F.col("held") * (6 if by_word else 1) > SHARD).select("anchor")
+
+
+def windows_of(docs: DataFrame, segments: DataFrame, window: int, by_word: bool) -> DataFrame:
+    """``anchor, key, times, doc_id, body, start, shift, cell``: every window of the segments, ``shift`` units from the start, with its hash."""
+    wanted = segments.groupBy("at.doc_id", "at.body").agg(F.collect_list(F.struct("anchor", "key", "times", "at.start", "size")).alias("wanted"))
+    names = ["anchor", "key", "times", "doc_id", "body", "start", "shift", "cell"]
+
+    def run(batches):
+        for batch in batches:
+            for i, text in enumerate(utf8(batch.column("text"))):
+                rolling, want = Rolling(codes(text, by_word)), batch.column("wanted").slice(i, 1).flatten()
+                start, size = (want.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "size"))
+                n = size - window + 1
+                owner = np.repeat(np.arange(len(n)), n)
+                shift = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+                first = start[owner] + shift
+                cell = rolling.stretch(first, first + window).view(np.int64)
+                same = [want.field(c).take(pa.array(owner)) for c in ("anchor", "key", "times")]
+                here = [pa.array(np.full(len(owner), batch.column(c)[i].as_py()), t) for c, t in (("doc_id", pa.int64()), ("body", pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*same, *here, pa.array(first.astype(np.int32)), pa.array(shift.astype(np.int32)), pa.array(cell)], names)
+
+    rows = docs.join(wanted, ["doc_id", "body"]).select("doc_id", "body", "text", "wanted")
+    return rows.mapInArrow(run, "anchor long, key long, times long, doc_id long, body int, start int, shift int, cell long")
+
+
+def narrowed(docs: DataFrame, distinct: DataFrame, window: int, by_word: bool) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """What is dealt to shards, in the form of ``distinct``, and, where anchors are wide, their windows and those of them that stand more
+    than once (``cell, at, times, n``): these are dealt with ``cell`` as anchor and key."""
+    wide = staged(wide_anchors(distinct, by_word), "wide")
+    if wide.isEmpty():
+        return distinct, None, None
+    windows = staged(windows_of(docs, distinct.join(wide, "anchor", "left_semi"), window, by_word), "windows")
+    cells = windows.groupBy("cell").agg(F.min(F.struct("doc_id", "body", "start")).alias("at"), F.sum("times").alias("times"), F.count("*").alias("n")).where("times > 1")
+    cells = staged(cells, "cells")
+    cut = cells.select(F.col("cell").alias("anchor"), F.col("cell").alias("key"), "at", "times", F.lit(window).alias("size"))
+    return distinct.join(wide, "anchor", "left_anti").unionByName(cut), windows, cells
+
+
+def widened(said: DataFrame, windows: DataFrame, cells: DataFrame) -> DataFrame:
+    """What shards say of windows, as ranges of the segments they were cut from."""
+    total = cells.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    blocks = block_counts(cells.select("cell", "n"), "cell", total)
+    own = said.where("anchor = key").select(F.col("anchor").alias("cell"), "first", "end", "least")
+    met = block_join(windows.select("cell", "anchor", "key", "shift"), own, "cell", "key", blocks)
+    return met.select("anchor", "key", (F.col("first") + F.col("shift")).alias("first"), (F.col("end") + F.col("shift")).alias("end"), "least")
+
+
+def segment_texts(docs: DataFrame, distinct: DataFrame, by_word: bool) -> DataFrame:
     """``anchor, key, times, least, segment``: the segments with their texts. Words are joined by one space."""
-    wanted = distinct.groupBy("at.doc_id", "at.body").agg(F.collect_list(F.struct("anchor", "key", "at.start", "times")).alias("wanted"))  # of one text: no more than it has
+    wanted = distinct.groupBy("at.doc_id", "at.body").agg(F.collect_list(F.struct("anchor", "key", "at.start", "times", "size")).alias("wanted"))  # of one text: no more than it has
 
     def run(batches):
         for batch in batches:
             ids, lists = batch.column("doc_id").to_pylist(), batch.column("wanted")
             for i, text in enumerate(utf8(batch.column("text"))):
-                own, want = Segments(codes(text, by_word), window, k, hot.value), lists.slice(i, 1).flatten()
-                starts = want.field("start").to_numpy(zero_copy_only=False)
-                at = np.searchsorted(own.first, starts)
-                first, end = own.first[at], own.end[at]
+                want = lists.slice(i, 1).flatten()
+                first, size = (want.field(c).to_numpy(zero_copy_only=False) for c in ("start", "size"))
+                end = first + size
                 if by_word:
                     opens, closes = words(text)
                     first, end = opens[first], closes[end - 1]
@@ -256,7 +307,7 @@ Search = Callable[[list[Segment]], Iterator[tuple[Segment, int, int, int]]]
 def repeated_ranges(docs: DataFrame, window: int, k: int, by_word: bool, within_one: bool, search: Search) -> DataFrame:
     """``doc_id, body, ranges``: ranges of units to remove, for each of ``docs`` (see ``bodies``) that has any. With ``within_one``
     all places of a repeat are removed, else those in documents with more than the least doc_id."""
-    rows, blocks, hot = repeated_places(docs, window, k, by_word, within_one)
+    rows, blocks = repeated_places(docs, window, k, by_word, within_one)
     found = staged(rows, "places")
 
     def run(batches):
@@ -267,8 +318,12 @@ def repeated_ranges(docs: DataFrame, window: int, k: int, by_word: bool, within_
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = staged(distinct_segments(found), "segments")
-    dealt = segment_texts(docs, distinct, window, k, by_word, hot).repartition(n, "anchor").sortWithinPartitions("anchor", "key")
+    asked, windows, cells = narrowed(docs, distinct, window, by_word)
+    dealt = segment_texts(docs, asked, by_word).repartition(n, "anchor").sortWithinPartitions("anchor", "key")
     said = dealt.mapInArrow(run, "anchor long, key long, first long, end long, least long")
+    if windows is not None:
+        said = staged(said, "said")
+        said = said.where("anchor <> key").unionByName(widened(said, windows, cells))
     back = block_join(found, said, ["anchor", "key"], "doc_id", blocks)
     if not within_one:
         back = back.where("least < doc_id")

@@ -104,6 +104,30 @@ def test_anchors_in_many_surroundings_are_split(spark, monkeypatch):
     assert got == by_bytes(rows, 200)
 
 
+@pytest.mark.parametrize("long", [46, 60, 120])
+def test_long_phrases_leave_no_large_anchor(spark, monkeypatch, long):
+    """A phrase beyond nine tenths of a window in many surroundings, some of them shared: no anchor of what is dealt holds more than a shard."""
+    monkeypatch.setattr(repeats, "HOT", 5)
+    monkeypatch.setattr(repeats, "SHARD", 6000)
+    rng = random.Random(long)
+    phrase = [f"p{i}" for i in range(long)]
+    rows = []
+    for i in range(150):
+        before, after = ([f"x{i % 50 if i % 5 == 0 else i}_{j}" for j in range(30)] for _ in "ab")
+        rows.append((" ".join([*before, *phrase, *after, *[rng.choice("abc") for _ in range(5)]]), i, "k", 1))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for by_word, window, within_one in ((True, 50, False), (False, 200, True)):
+        found = repeats.repeated_places(repeats.bodies(docs), window, 8 if by_word else 24, by_word, within_one)[0]
+        distinct = repeats.distinct_segments(found)
+        before = repeats.wide_anchors(distinct, by_word).count()
+        dealt = repeats.narrowed(repeats.bodies(docs), distinct, window, by_word)[0]
+        assert before > 0 and repeats.wide_anchors(dealt, by_word).count() == 0
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in fm_repeats.digests(docs).collect()}
+    assert got == by_words(rows, 50)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in bwt_repeats.digests(docs).collect()}
+    assert got == by_bytes(rows, 200)
+
+
 def test_rows_that_share_an_id(spark):
     """Several texts with one id: each is judged by its own text."""
     a, b = " ".join(f"w{i}" for i in range(90)), " ".join(f"v{i}" for i in range(70))
