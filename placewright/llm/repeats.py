@@ -177,8 +177,7 @@ def places(docs: DataFrame, window: int, k: int, by_word: bool, within_one: bool
 
 
 def repeated_places(docs: DataFrame, window: int, k: int, by_word: bool, within_one: bool):
-    """The rows of ``places`` whose anchor stands in another document too (``within_one``: or again anywhere), and how they are dealt
-    to blocks by anchor."""
+    """The rows of ``places`` whose anchor stands in another document too (``within_one``: or again anywhere)."""
     share = docs.sparkSession.sparkContext.broadcast
     many = F.min("doc_id") < F.max("doc_id")
 
@@ -195,7 +194,7 @@ def repeated_places(docs: DataFrame, window: int, k: int, by_word: bool, within_
         hot = share(np.sort(np.array(crowded, dtype=np.int64).view(np.uint64)))
         rows, counts = counted(hot)
     blocks = block_counts(counts, "anchor", total)
-    return block_join(rows, counts.select("anchor"), "anchor", "doc_id", blocks), blocks
+    return block_join(rows, counts.select("anchor"), "anchor", "doc_id", blocks)
 
 
 def distinct_segments(found: DataFrame) -> DataFrame:
@@ -203,9 +202,10 @@ def distinct_segments(found: DataFrame) -> DataFrame:
     return found.groupBy("anchor", "key").agg(F.min(F.struct("doc_id", "body", "start")).alias("at"), F.count("*").alias("times"), F.min("size").alias("size"))
 
 
-def wide_anchors(distinct: DataFrame, by_word: bool) -> DataFrame:
-    """Anchors whose distinct segments hold more than a shard (a word is taken as six bytes)."""
-    return distinct.groupBy("anchor").agg(F.sum("size").alias("held")).where(F.col("held") * (6 if by_word else 1) > SHARD).select("anchor")
+def wide_anchors(distinct: DataFrame, window: int, by_word: bool) -> DataFrame:
+    """Anchors whose distinct segments hold more than a shard (a word is taken as six bytes). Those of a segment of more than four windows, which
+    only texts that repeat within themselves have, are left whole."""
+    return distinct.groupBy("anchor").agg(F.sum("size").alias("held"), F.max("size").alias("longest")).where((F.col("held") * (6 if by_word else 1) > SHARD) & (F.col("longest") <= 4 * window)).select("anchor")
 
 
 def windows_of(docs: DataFrame, segments: DataFrame, window: int, by_word: bool) -> DataFrame:
@@ -234,7 +234,7 @@ def windows_of(docs: DataFrame, segments: DataFrame, window: int, by_word: bool)
 def narrowed(docs: DataFrame, distinct: DataFrame, window: int, by_word: bool) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """What is dealt to shards, in the form of ``distinct``, and, where anchors are wide, their windows and those of them that stand more
     than once (``cell, at, times, n``): these are dealt with ``cell`` as anchor and key."""
-    wide = staged(wide_anchors(distinct, by_word), "wide")
+    wide = staged(wide_anchors(distinct, window, by_word), "wide")
     if wide.isEmpty():
         return distinct, None, None
     windows = staged(windows_of(docs, distinct.join(wide, "anchor", "left_semi"), window, by_word), "windows")
@@ -244,13 +244,22 @@ def narrowed(docs: DataFrame, distinct: DataFrame, window: int, by_word: bool) -
     return distinct.join(wide, "anchor", "left_anti").unionByName(cut), windows, cells
 
 
-def widened(said: DataFrame, windows: DataFrame, cells: DataFrame) -> DataFrame:
-    """What shards say of windows, as ranges of the segments they were cut from."""
+def widened(said: DataFrame, windows: DataFrame, cells: DataFrame, window: int) -> DataFrame:
+    """What shards say of windows, as ranges of the segments they were cut from; windows that overlap are one range."""
     total = cells.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     blocks = block_counts(cells.select("cell", "n"), "cell", total)
-    own = said.where("anchor = key").select(F.col("anchor").alias("cell"), "first", "end", "least")
+    own = said.where("anchor = key").select(F.col("anchor").alias("cell"), "least").distinct()
     met = block_join(windows.select("cell", "anchor", "key", "shift"), own, "cell", "key", blocks)
-    return met.select("anchor", "key", (F.col("first") + F.col("shift")).alias("first"), (F.col("end") + F.col("shift")).alias("end"), "least")
+
+    def joined(seen, x):
+        last = F.try_element_at(seen, F.lit(-1))
+        grown = F.concat(F.slice(seen, F.lit(1), F.size(seen) - 1), F.array(F.struct(last["first"].alias("first"), (x + window).alias("end"))))
+        return F.when((F.size(seen) > 0) & (x <= last["end"]), grown).otherwise(F.array_append(seen, F.struct(x.alias("first"), (x + window).alias("end"))))
+
+    shifts = F.sort_array(F.collect_list("shift"))  # of one segment: three windows' worth at most
+    ranges = F.aggregate(shifts, F.array().cast("array<struct<first:int,end:int>>"), joined)
+    out = met.groupBy("anchor", "key", "least").agg(ranges.alias("ranges")).select("anchor", "key", F.explode("ranges").alias("range"), "least")
+    return out.select("anchor", "key", F.col("range.first").cast("long").alias("first"), F.col("range.end").cast("long").alias("end"), "least")
 
 
 def segment_texts(docs: DataFrame, distinct: DataFrame, by_word: bool) -> DataFrame:
@@ -307,8 +316,7 @@ Search = Callable[[list[Segment]], Iterator[tuple[Segment, int, int, int]]]
 def repeated_ranges(docs: DataFrame, window: int, k: int, by_word: bool, within_one: bool, search: Search) -> DataFrame:
     """``doc_id, body, ranges``: ranges of units to remove, for each of ``docs`` (see ``bodies``) that has any. With ``within_one``
     all places of a repeat are removed, else those in documents with more than the least doc_id."""
-    rows, blocks = repeated_places(docs, window, k, by_word, within_one)
-    found = staged(rows, "places")
+    found = staged(repeated_places(docs, window, k, by_word, within_one), "places")
 
     def run(batches):
         for shard in shards(batches):
@@ -323,8 +331,9 @@ def repeated_ranges(docs: DataFrame, window: int, k: int, by_word: bool, within_
     said = dealt.mapInArrow(run, "anchor long, key long, first long, end long, least long")
     if windows is not None:
         said = staged(said, "said")
-        said = said.where("anchor <> key").unionByName(widened(said, windows, cells))
-    back = block_join(found, said, ["anchor", "key"], "doc_id", blocks)
+        said = said.where("anchor <> key").unionByName(widened(said, windows, cells, window))
+    blocks = block_counts(distinct.select("key", F.col("times").alias("n")), "key", distinct.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0])
+    back = block_join(found, said, ["key", "anchor"], "doc_id", blocks)
     if not within_one:
         back = back.where("least < doc_id")
     return back.select("doc_id", "body", F.struct((F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("end")).alias("end")).alias("range")).groupBy("doc_id", "body").agg(F.collect_set("range").alias("ranges"))

@@ -117,11 +117,11 @@ def test_long_phrases_leave_no_large_anchor(spark, monkeypatch, long):
         rows.append((" ".join([*before, *phrase, *after, *[rng.choice("abc") for _ in range(5)]]), i, "k", 1))
     docs = spark.createDataFrame(rows, SCHEMA)
     for by_word, window, within_one in ((True, 50, False), (False, 200, True)):
-        found = repeats.repeated_places(repeats.bodies(docs), window, 8 if by_word else 24, by_word, within_one)[0]
+        found = repeats.repeated_places(repeats.bodies(docs), window, 8 if by_word else 24, by_word, within_one)
         distinct = repeats.distinct_segments(found)
-        before = repeats.wide_anchors(distinct, by_word).count()
+        before = repeats.wide_anchors(distinct, window, by_word).count()
         dealt = repeats.narrowed(repeats.bodies(docs), distinct, window, by_word)[0]
-        assert before > 0 and repeats.wide_anchors(dealt, by_word).count() == 0
+        assert before > 0 and repeats.wide_anchors(dealt, window, by_word).count() == 0
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in fm_repeats.digests(docs).collect()}
     assert got == by_words(rows, 50)
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in bwt_repeats.digests(docs).collect()}
