@@ -8,6 +8,9 @@ point's latitude; cells use the narrowest scale of all points, on which nothing
 Which areas can hold a point is asked on grids that double in width: every area lies on the one that fits its extent, in at most four cells.
 The nearest edge without a fixed reach is found in rounds over cells that widen fourfold; a point leaves with the first round whose cells are as
 wide as its distance.
+
+Geometries of one shape (equal kind and equal parts) are measured once, by the least of them. Where one geometry is chosen, that one is the choice;
+where all are told, the result is repeated for each at the end.
 """
 
 from __future__ import annotations
@@ -15,12 +18,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from placewright.functions import geo
 from placewright.operators.checkpoints import written
-from placewright.operators.relational import dealt_join
+from placewright.operators.relational import dealt_join, spread
 
 # Metres of a degree, and tags that make a closed way an area.
 DEGREE = 111195.0
@@ -69,6 +74,14 @@ def edges_of(geometries: DataFrame) -> DataFrame:
     return each.select("geometry", "area", *[F.col(f"_e.{v}.{c}").alias(f"{c}{i}") for i, v in ((1, "a"), (2, "b")) for c in ("x", "y")])
 
 
+def alike(geometries: DataFrame, keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The geometries (geometry, area, path, and keys) that are the least of their shape, and ``geometry, member`` for all that have it."""
+    whole = geometries.where(F.col("geometry").isNotNull()).groupBy("geometry", *keys).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("area", F.lit(False)).alias("area"), "path"))).alias("_shape"))
+    shapes = whole.groupBy("_shape", *keys).agg(F.min("geometry").alias("_least"))
+    members = whole.join(shapes, ["_shape", *keys]).select(F.col("_least").alias("geometry"), F.col("geometry").alias("member"))
+    return shapes.select(F.col("_least").alias("geometry"), *keys, F.inline("_shape")), members
+
+
 def narrowest(points: DataFrame) -> float:
     """Metres of a degree of longitude where they are fewest."""
     most = points.agg(F.max(F.abs("lat"))).first()[0] or 0.0
@@ -101,11 +114,23 @@ def around(points: DataFrame, width: float, narrow: float) -> DataFrame:
     return points.withColumn("_o", F.explode(steps)).withColumns({"_cx": _at(F.col("lon"), narrow, width) + F.col("_o.i"), "_cy": _at(F.col("lat"), DEGREE, width) + F.col("_o.j")}).drop("_o")
 
 
-def edge_distance() -> Column:
-    """Metres from the point (lon, lat) to the edge (x1, y1, x2, y2)."""
-    k = DEGREE * F.cos(F.radians("lat"))
-    zero = F.lit(0.0)
-    return F.sqrt(geo.segment_distance2(zero, zero, (F.col("x1") - F.col("lon")) * k, (F.col("y1") - F.col("lat")) * DEGREE, (F.col("x2") - F.col("lon")) * k, (F.col("y2") - F.col("lat")) * DEGREE))
+@F.pandas_udf(DoubleType())
+def exact_scale(lat: pd.Series) -> pd.Series:
+    """Metres of a degree of longitude by the C library's cosine: the JVM's differs from it in the last bit for one latitude in some 700."""
+    return pd.Series([DEGREE * math.cos(math.radians(v)) for v in lat], dtype="float64")
+
+
+def edge_distance(scale: Column | None = None) -> Column:
+    """Metres from the point (lon, lat) to the edge (x1, y1, x2, y2). Edges that meet in a vertex are equally far from much of the plane, up to the last
+    bit; so that the same one of them is chosen everywhere, the order of operations is the one of the queries' SQL. ``scale``: metres of
+    a degree of longitude at the point."""
+    k = DEGREE * F.cos(F.radians("lat")) if scale is None else scale
+    ax, ay = (F.col("x1") - F.col("lon")) * k, (F.col("y1") - F.col("lat")) * DEGREE
+    dx, dy = (F.col("x2") - F.col("x1")) * k, (F.col("y2") - F.col("y1")) * DEGREE
+    long2 = dx * dx + dy * dy
+    t = F.when(long2 == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / F.nullif(long2, F.lit(0.0)))))
+    x, y = ax + t * dx, ay + t * dy
+    return F.sqrt(x * x + y * y)
 
 
 def nearest_edges(points: DataFrame, edges: DataFrame, width: float, keys: Sequence[str] = (), grow: int = 4) -> DataFrame:
@@ -113,7 +138,9 @@ def nearest_edges(points: DataFrame, edges: DataFrame, width: float, keys: Seque
     distances go by geometry. Points without any edge to compare have no row."""
     keys = list(keys)
     narrow = narrowest(points)
-    left = written(points.select("id", "lon", "lat", *keys).where("lon IS NOT NULL AND lat IS NOT NULL"), "points")
+    left = written(spread(points.select("id", "lon", "lat", *keys).where("lon IS NOT NULL AND lat IS NOT NULL"), "id").withColumn("_k", exact_scale("lat")), "points")
+    ends = ["x1", "y1", "x2", "y2"]
+    edges = written(edges.select("geometry", *[k for k in keys if k != "geometry"], *ends).distinct() if "geometry" in keys else edges.groupBy(*keys, *ends).agg(F.min("geometry").alias("geometry")), "edges")
     spans = edges.agg(F.min(F.least("x1", "x2")), F.max(F.greatest("x1", "x2")), F.min(F.least("y1", "y2")), F.max(F.greatest("y1", "y2"))).first()
     own = left.agg(F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).first()
     found = None
@@ -121,7 +148,7 @@ def nearest_edges(points: DataFrame, edges: DataFrame, width: float, keys: Seque
         extent = max((max(spans[1], own[1]) - min(spans[0], own[0])) * narrow, (max(spans[3], own[3]) - min(spans[2], own[2])) * DEGREE)
         while True:
             last = width > extent
-            met = around(left, width, narrow).join(rastered(edges, width, narrow), [*keys, "_cx", "_cy"]).withColumn("_d", edge_distance())
+            met = around(left, width, narrow).join(rastered(edges, width, narrow), [*keys, "_cx", "_cy"]).withColumn("_d", edge_distance(F.col("_k")))
             best = met.groupBy("id", *keys).agg(F.min(F.struct(F.col("_d").alias("d"), (F.col(keys[0]) if "geometry" in keys else F.col("geometry")).alias("g"))).alias("_b"))
             best = best.select("id", *keys, *([] if "geometry" in keys else [F.col("_b.g").alias("geometry")]), F.col("_b.d").alias("distance"))
             done = written(best if last else best.where(F.col("distance") <= width), "nearest")
@@ -161,18 +188,19 @@ def measured(points: DataFrame, geometries: DataFrame, reach: float = 160.0) ->
     """``id, geometry, containment, distance, boundary`` of every geometry that holds a point (id, lon, lat) or is at most ``reach`` metres away.
     ``containment`` is ``not-checked`` for what is no area; ``distance`` is 0 inside; ``boundary`` is the distance to the nearest edge. Both are rounded to
     centimetres. Points without coordinates have no rows; ids are taken to be unique."""
-    own = points.select("id", "lon", "lat").where("lon IS NOT NULL AND lat IS NOT NULL")
+    own = written(spread(points.select("id", "lon", "lat").where("lon IS NOT NULL AND lat IS NOT NULL"), "id"), "points")
     narrow = narrowest(own)
-    edges = written(edges_of(geometries), "edges")
+    shapes, members = alike(geometries)
+    edges = written(edges_of(shapes), "edges")
     near = around(own, reach, narrow).join(rastered(edges, reach, narrow), ["_cx", "_cy"]).withColumn("_d", edge_distance()).where(F.col("_d") <= reach + 0.005)
     near = near.groupBy("id", "geometry").agg(F.min("_d").alias("boundary"), F.bool_or("area").alias("area"))
     near = written(near.where(F.round("boundary", 2) <= reach), "near")
     held = written(inside(own, edges, reach, narrow), "inside")
     deep = held.join(near.select("id", "geometry"), ["id", "geometry"], "left_anti").join(own, "id")
     far = nearest_edges(deep, edges, reach * 4, ["geometry"]).select("id", "geometry", F.col("distance").alias("boundary"), F.lit(True).alias("area"))
-    both = near.unionByName(far).join(held.withColumn("_in", F.lit(True)), ["id", "geometry"], "left")
+    both = written(near.unionByName(far).join(held.withColumn("_in", F.lit(True)), ["id", "geometry"], "left"), "measured")
     held_by = F.coalesce("_in", F.lit(False))
-    return both.select("id", "geometry", F.when(~F.col("area"), "not-checked").when(held_by, "inside").otherwise("outside").alias("containment"), F.when(held_by, 0.0).otherwise(F.round("boundary", 2)).alias("distance"), F.round("boundary", 2).alias("boundary"))
+    return dealt_join(spread(both, "id"), written(members, "members"), ["geometry"], "id").select("id", F.col("member").alias("geometry"), F.when(~F.col("area"), "not-checked").when(held_by, "inside").otherwise("outside").alias("containment"), F.when(held_by, 0.0).otherwise(F.round("boundary", 2)).alias("distance"), F.round("boundary", 2).alias("boundary"))
 
 
 def layered(points: DataFrame, geometries: DataFrame, layers: Sequence[tuple[str, float]]) -> DataFrame:
@@ -181,9 +209,9 @@ def layered(points: DataFrame, geometries: DataFrame, layers: Sequence[tuple[str
     geometry. Layers that are not listed are hidden; points that hit nothing have no row. All layers are asked in one join, on cells as wide as the largest radius."""
     reach = {n: float(r) for n, r in layers}
     order = F.array_position(F.array(*[F.lit(n) for n in reach]), F.col("layer")).cast("int")
-    own = points.select("id", "lon", "lat").where("lon IS NOT NULL AND lat IS NOT NULL")
-    shown = geometries.where(F.col("layer").isin(*reach)).withColumn("geometry", F.struct(order.alias("at"), "layer", "geometry"))
-    edges, width, narrow = written(edges_of(shown.where(F.col("geometry.geometry").isNotNull())), "edges"), max(*reach.values(), 1.0), narrowest(own)
+    own = written(spread(points.select("id", "lon", "lat").where("lon IS NOT NULL AND lat IS NOT NULL"), "id"), "points")
+    shown, _ = alike(geometries.where(F.col("layer").isin(*reach)), ["layer"])
+    edges, width, narrow = written(edges_of(shown.withColumn("geometry", F.struct(order.alias("at"), "layer", "geometry"))), "edges"), max(*reach.values(), 1.0), narrowest(own)
     radius = F.element_at(F.array(*[F.lit(r) for r in reach.values()]), F.col("geometry.at"))
     near = around(own, width, narrow).join(rastered(edges, width, narrow), ["_cx", "_cy"]).withColumn("_d", edge_distance()).where(F.col("_d") <= radius)
     hits = near.select("id", "geometry", "_d").unionByName(inside(own, edges, width, narrow).withColumn("_d", F.lit(0.0)))

@@ -184,3 +184,9 @@ def dealt_join(left: DataFrame, right: DataFrame, keys: Sequence[str], by: str,
     own = left.join(hot, list(keys), "left").withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_parts")
     other = right.join(hot, list(keys), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
     return own.join(other, [*keys, "_part"], how).drop("_part")
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt to as many tasks as there are cores or shuffle partitions, by the hash of ``by``: for small files whose rows make much work."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)

@@ -103,3 +103,35 @@ def test_layers_in_order(spark):
     assert run([("mark", 50), ("road", 50), ("park", 0)]) == {1: ("mark", "a"), 2: ("road", "r"), 5: ("park", "p")}
     assert run([("park", 0), ("mark", 50)]) == {1: ("park", "p"), 2: ("park", "p"), 5: ("park", "p")}
     assert run([("road", 50)]) == {2: ("road", "r")}
+
+
+def test_equal_shapes_are_measured_once(spark, places):
+    points, shapes = places
+    copies = [(f"{g}-{i}", area, part) for i in range(40) for g, (area, parts) in shapes.items() for part in parts]
+    own, many = spark.createDataFrame(points, "id int, lon double, lat double"), spark.createDataFrame(copies, SHAPE)
+    least, members = measure.alike(many)
+    assert least.select("geometry").distinct().count() == len(shapes) and members.count() == 40 * len(shapes)
+    once = measure.measured(own, frames(spark, places)[1], reach=300.0).collect()
+    got = sorted(tuple(r) for r in measure.measured(own, many, reach=300.0).collect())
+    assert got == sorted((r["id"], f"{r['geometry']}-{i}", *tuple(r)[2:]) for r in once for i in range(40))
+
+
+def test_ties_at_a_shared_vertex_go_as_in_sql(spark):
+    """A line and a point that share a vertex are equally far from most points: which is less in its last bit must be what SQL says."""
+    rng = random.Random(11)
+    points = [(i, 121.47 + rng.uniform(-0.02, 0.02), 31.23 + rng.uniform(-0.02, 0.02)) for i in range(3000)]
+    shapes = [("a", False, [(121.46, 31.22), (121.4703, 31.2301), (121.475, 31.25)]), ("b", False, [(121.4703, 31.2301)]), ("c", True, [(121.4703, 31.2301), (121.4803, 31.2351), (121.4753, 31.2401)])]
+    want = {}
+    for i, lon, lat in points:
+        k, best = 111195 * math.cos(math.radians(lat)), []
+        for g, area, path in shapes:
+            ring = [*path, path[0]] if area else path
+            for (px, py), (qx, qy) in zip(ring, ring[1:] if len(ring) > 1 else ring, strict=False):
+                ax, ay, dx, dy = (px - lon) * k, (py - lat) * 111195, (qx - px) * k, (qy - py) * 111195
+                long2 = dx * dx + dy * dy
+                t = max(0.0, min(1.0, -(ax * dx + ay * dy) / long2)) if long2 else 0.0
+                x, y = ax + t * dx, ay + t * dy
+                best.append((math.sqrt(x * x + y * y), g))
+        want[i] = min(best)[::-1]
+    got = measure.nearest_edges(spark.createDataFrame(points, "id int, lon double, lat double"), measure.edges_of(spark.createDataFrame(shapes, SHAPE)), 100.0)
+    assert {r["id"]: (r["geometry"], r["distance"]) for r in got.collect()} == want
