@@ -5,6 +5,8 @@ The stand-in tables have no places: parts are landmarks and customers are listin
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,10 +131,12 @@ m AS (SELECT id, s, area, layer, min(sqrt(pow(ax + t * dx, 2) + pow(ay + t * dy,
 def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as areas, lines and points of a few hundred metres."""
     s = F.col("s")
-    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s")).withColumns({"x": 121.47 + ((s * 37) % 100 - 50) * 0.0005, "y": 31.23 + ((s * 53) % 100 - 50) * 0.0005, "r": 0.001 + (s % 5) * 0.002})
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    exact = lambda v: F.lit(Decimal(v))  # noqa: E731  the SQL's literals are decimals, and vertices that two shapes share must be equal to the last bit
+    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s")).withColumns({"x": exact("121.47") + ((s * 37) % 100 - 50) * exact("0.0005"), "y": exact("31.23") + ((s * 53) % 100 - 50) * exact("0.0005"), "r": exact("0.001") + (s % 5) * exact("0.002")})
     x, y, r = F.col("x"), F.col("y"), F.col("r")
-    ring = F.array(at(x - r, y - r), at(x + r, y - r / 2), at(x + r / 2, y + r), at(x - r, y - r))
+    half = r.cast("double") / 2
+    ring = F.array(at(x - r, y - r), at(x + r, y.cast("double") - half), at(x.cast("double") + half, y + r), at(x - r, y - r))
     line = F.array(at(x - 3 * r, y - 2 * r), at(x, y), at(x + r, y + 3 * r))
     node = F.when(s % 9 == 2, "heritage").when(s % 9 == 5, "metro").otherwise("landmark")
     return own.select(s.alias("geometry"), (s % 3 == 0).alias("area"), F.when(s % 3 == 0, "park").when(s % 3 == 1, "road").otherwise(node).alias("layer"), F.when(s % 3 == 0, ring).when(s % 3 == 1, line).otherwise(F.array(at(x, y))).alias("path"))
