@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placewright.functions import address, text
-from placewright.operators.linkage import close_names
+from placewright.operators.linkage import spelling_pairs
 from placewright.operators.search import search, search_records
 from placewright.plans.registry import query, table
 from placewright.sources.html import cell_text, links
@@ -76,9 +76,7 @@ WHERE a.c <> '' AND b.c <> '' AND (a.c = b.c OR (least(length(a.c), length(b.c))
 def name_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of spellings of one name within a block (brand and size)."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", text.compact(F.col("p_name")).alias("c"))
-    a, b = p.alias("a"), p.alias("b")
-    met = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
-    return met.where(close_names(F.col("a.c"), F.col("b.c"))).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"))
+    return spelling_pairs(p, ["p_brand", "p_size"], "p_partkey", "c")
 
 
 @query(f"""

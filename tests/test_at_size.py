@@ -122,3 +122,27 @@ def test_lines_without_a_modern_road_stay(spark):
     roads = spark.createDataFrame([(1, "k", 5, -100.0, -99.0, 100.0, 101.0)], "segment int, key string, group int, x1 double, y1 double, x2 double, y2 double")
     got = sorted((r["line"], r["part"] or 0, r["segment_group"] or 0, r["n"]) for r in spatial.aligned_lines(vertices, roads, "key", 1.5, 2.0).collect())
     assert got == [("a", 1, 5, 2), ("b", 0, 0, 4)]
+
+
+def test_rows_alike_merge_as_the_plain_rule_does(spark):
+    """Copies, shared addresses and near names at few places, against the rule over all pairs of rows."""
+    rng = random.Random(21)
+    spots = [(0.0, 0.0), (0.0, 0.0), (5.0, 0.0), (12.0, 3.0), (25.0, 0.0), (180.0, 0.0), (260.0, 4.0)]
+    names = ["Large Hall", "Large Hal", "Lrge Hal", "Small House", "Small Houses", ""]
+    places = [(i, rng.choice(names), rng.choice(["", "", "大楼"]), rng.choice(["Rue du Sud", "No. 5 Rte. Nord", "No. 6 Rte. Nord", "", ""]), *rng.choice(spots), 1900, 1) for i in rng.sample(range(5000), 160)]
+    records = spark.createDataFrame(places, "id int, name string, name_zh string, address string, x double, y double, start_year int, n_types int")
+    for vetoes in (None, spark.createDataFrame([(a[0], b[0]) for a, b in zip(places[:20], places[20:40], strict=True)], "a int, b int")):
+        pairs = linkage.candidate_pairs(records, vetoes).withColumn("rank", linkage._rank()).toPandas().sort_values(["rank", "distance", "left", "right"])
+        plain = linkage._complete_link(pairs)
+        want = {str(p[0]).zfill(12): str(p[0]).zfill(12) for p in places} | dict(zip(plain["sid"], plain["site"], strict=True))
+        assert {r["sid"]: r["site"] for r in linkage.sites(records, vetoes).collect()} == want
+    assert linkage.node_pairs(linkage.nodes(linkage.prepared(records))).count() < len(pairs) / 5
+
+
+def test_spellings_are_compared_once(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice("xy"), rng.choice(["LARGERING", "LARGERIN", "HOTBOLT", "HOT", "HOTS", "", None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, g string, c string")
+    near = lambda a, b: a == b or {a, b} == {"LARGERING", "LARGERIN"}
+    want = sorted((a[0], b[0]) for a, b in itertools.combinations(rows, 2) if a[1] == b[1] and a[2] and b[2] and near(a[2], b[2]))
+    assert sorted(map(tuple, linkage.spelling_pairs(df, ["g"], "k", "c").collect())) == want
