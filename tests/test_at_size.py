@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from placewright import catalogue
 from placewright.functions import address
 from placewright.operators import linkage, relational, review, spatial
 from placewright.sources import html, sinks
@@ -146,3 +147,8 @@ def test_spellings_are_compared_once(spark):
     near = lambda a, b: a == b or {a, b} == {"LARGERING", "LARGERIN"}
     want = sorted((a[0], b[0]) for a, b in itertools.combinations(rows, 2) if a[1] == b[1] and a[2] and b[2] and near(a[2], b[2]))
     assert sorted(map(tuple, linkage.spelling_pairs(df, ["g"], "k", "c").collect())) == want
+
+
+def test_a_small_file_with_many_pairs_is_dealt(spark, sf_dir):
+    made = catalogue.QUERIES["candidate_classification"](spark, sf_dir)
+    assert made.rdd.getNumPartitions() >= 4
