@@ -225,10 +225,9 @@ def reject_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
+    def is_clean(text: str) -> bool:
         own = shared.value
-        for batch in batches:
-            keep = [own.score(math.fsum(e for *_, e in own.read(t.decode("utf-8")))) < 0.5 for t in utf8(batch.column("text"))]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        return own.score(math.fsum(e for *_, e in own.read(text))) < 0.5
 
-    return docs.mapInArrow(run, docs.schema)
+    # Rows stay in the JVM: Python gets texts a hundred at a time and gives back decisions, as whole Arrow batches of texts, there and back, are too large.
+    return docs.where(F.udf(is_clean, "boolean", useArrow=False)(whole_text(docs)))

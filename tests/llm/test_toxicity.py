@@ -136,3 +136,13 @@ def test_every_passage_of_a_repeated_one(spark):
     model = T.Model({"bad": 3.0, "worse": 3.0}, 0.5, 1.0, 0.1, 1.0, 0.0)
     tokens = ["bad", "worse", "bad"] + ["calm"] * 60 + ["bad", "worse", "bad"]
     assert [(a, b) for a, b, _ in model.passages(tokens)] == [(0, 3), (63, 66)]
+
+
+def test_rejection_sends_no_rows_through_arrow(spark):
+    """Texts go to Python a few at a time and rows stay where they are: Arrow batches of whole rows, there and back, took 3 GB of an executor."""
+    model = T.Model({"bad": 5.0}, 0.3, 1.0, 0.1, 4.0, -1.0)
+    df = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "bad bad bad bad", "c"), (4, "a good day", "d")], "doc_id long, text string, source string")
+    kept = T.reject_toxic(df, model)
+    assert kept.schema == df.schema and [tuple(r) for r in kept.orderBy("doc_id").collect()] == [(1, None, "a"), (2, "", "b"), (4, "a good day", "d")]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "InArrow" not in plan
