@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from placewright.functions import address, geo, text
 from placewright.operators.checkpoints import written
-from placewright.operators.relational import dealt_join
+from placewright.operators.relational import dealt_join, spread
 from placewright.operators.spatial import cube, cubes_around, within_metres
 
 # Distances in whole metres.
@@ -38,12 +38,14 @@ NOT_STRONG = (
     "campus-complex-or-component-scope", "landmark-polygon-reference-only", "relocated-institution-modern-information", "official-demolished-flag", "multi-source-landmark-site",
     "persistent-current-use-hold", "reviewed-pair-conflict", "same-site-rebuilt-not-same-building", "existing-research-proves-site-scope-only",
 )
+#: Door numbers in a block: ranges meet by equal blocks.
+DOORS = 8
 EVIDENCE = ["landmark", "listing", "kind", "match", "landmark_value", "listing_value", "landmark_role", "listing_role"]
 
 
 def place_names(names: DataFrame, key: str) -> DataFrame:
     """``key, value, role, norm``: every spelling of every name (key, name, role) that says which place."""
-    each = names.where(F.col(key).isNotNull()).select(key, "role", F.explode(text.place_variants(F.col("name"))).alias("value"))
+    each = spread(names.where(F.col(key).isNotNull()), key).select(key, "role", F.explode(text.place_variants(F.col("name"))).alias("value"))
     return each.withColumn("norm", text.place_key(F.col("value"))).where(text.names_a_place(F.col("norm"))).distinct()
 
 
@@ -75,7 +77,7 @@ def names_in_names(landmark_names: DataFrame, listing_names: DataFrame, landmark
 
     def side(names: DataFrame, points: DataFrame, key: str, more: Column) -> DataFrame:
         own = names.where((F.length("norm") >= size) & more).join(points.select(key, "lon", "lat"), key).where("lon IS NOT NULL AND lat IS NOT NULL")
-        return own.select(key, *[F.col(c).alias(f"{key}_{c}") for c in ("norm", "value", "role", "lon", "lat")])
+        return spread(own, key).select(key, *[F.col(c).alias(f"{key}_{c}") for c in ("norm", "value", "role", "lon", "lat")])
 
     a = side(landmark_names, landmarks, "landmark", F.col("norm").rlike(r"[㐀-鿿]"))
     b = side(listing_names, listings, "listing", F.lit(True))
@@ -91,40 +93,49 @@ def names_in_names(landmark_names: DataFrame, listing_names: DataFrame, landmark
     return found
 
 
-def _door_blocks(df: DataFrame, key: str, asked: Column, shown: Column, block: int = 32) -> DataFrame:
-    """Every door range of an address with the blocks of numbers that it touches."""
-    each = df.where(F.col(key).isNotNull()).select(key, shown.alias(f"{key}_value"), F.explode(address.doors(asked)).alias(f"{key}_door"))
+def _address_key(c: str) -> Column:
+    return F.nullif(address.chinese_key(F.col(c)), F.lit(""))
+
+
+def _door_blocks(df: DataFrame, key: str, asked: Column, block: int = DOORS) -> DataFrame:
+    """Every door range of an address with the blocks of numbers that it touches. Whatever is asked of an address is read here, once for each."""
+    own = df.where(F.col(key).isNotNull()).select(key, "address", asked.alias("_asked")).distinct()
+    each = spread(own, key).select(key, F.col("address").alias(f"{key}_value"), _address_key("address").alias(f"{key}_key"), F.explode(address.doors(F.col("_asked"))).alias(f"{key}_door"))
     d = F.col(f"{key}_door")
-    return each.where(d["road"].isNotNull() & (d["low"] <= d["high"])).withColumns({"road": d["road"], "lane": d["lane"], "_b": F.explode(F.sequence(F.floor(d["low"] / block), F.floor(d["high"] / block)))})
+    return each.where(d["road"].isNotNull() & (d["low"] <= d["high"])).withColumns({"road": d["road"], "lane": d["lane"], "_b": F.explode(F.sequence(F.floor(d["low"] / block), F.floor(d["high"] / block)))}).distinct()
 
 
-def doors_in_common(own: DataFrame, other: DataFrame) -> DataFrame:
-    """``landmark, listing`` and both addresses where door ranges overlap: equal road and block of numbers, then the ranges themselves."""
-    met = dealt_join(own, other, ["road", "lane", "_b"], "landmark").where(address.doors_meet(F.col("landmark_door"), F.col("listing_door")))
-    return met.drop("road", "lane", "_b", "landmark_door", "listing_door").distinct()
+def doors_in_common(own: DataFrame, other: DataFrame, *near: str) -> DataFrame:
+    """``landmark, listing`` and what both sides carry where door ranges overlap: equal road and block of numbers (and ``near``), then the ranges
+    themselves. Two doors meet once, in the block where their overlap starts."""
+    a, b = F.col("landmark_door"), F.col("listing_door")
+    met = dealt_join(own, other, ["road", "lane", "_b", *near], "landmark", per=1000, wide=True).where((F.col("_b") == F.floor(F.greatest(a["low"], b["low"]) / DOORS)) & address.doors_meet(a, b))
+    return met.drop("road", "lane", "_b", "landmark_door", "listing_door", *near)
 
 
 def address_evidence(current: DataFrame, old: DataFrame, listed: DataFrame, landmarks: DataFrame, listings: DataFrame) -> DataFrame:
-    """From ``current`` (landmark, address), ``old`` (landmark, address, number, roads: modern names of its road) and ``listed`` (listing, address)."""
-    key = lambda c: F.nullif(address.chinese_key(c), F.lit(""))
-    mine = current.select("landmark", F.col("address").alias("landmark_value"), key(F.col("address")).alias("_k")).where("landmark IS NOT NULL AND _k IS NOT NULL").distinct()
-    theirs = listed.select("listing", F.col("address").alias("listing_value"), key(F.col("address")).alias("_k")).where("listing IS NOT NULL AND _k IS NOT NULL").distinct()
-    full = _evidence(dealt_join(mine, theirs, ["_k"], "landmark"), "address", "full-normalized-current-address", "landmark_value", "listing_value")
-    blocks = written(_door_blocks(listed, "listing", F.col("address"), F.col("address")), "doors")
-    met = doors_in_common(written(_door_blocks(current, "landmark", F.col("address"), F.col("address")), "doors"), blocks)
-    met = met.where(~key(F.col("landmark_value")).eqNullSafe(key(F.col("listing_value"))))
-    ranges = _evidence(met, "address", "road-door-range-overlap-review", "landmark_value", "listing_value")
+    """From ``current`` (landmark, address), ``old`` (landmark, address, number, roads: modern names of its road) and ``listed`` (listing, address).
+    Nothing is read from an address after the joins; old numbers meet listings in the cubes around them only."""
+    mine = spread(current, "landmark").select("landmark", F.col("address").alias("landmark_value"), _address_key("address").alias("_k")).where("landmark IS NOT NULL AND _k IS NOT NULL").distinct()
+    theirs = spread(listed, "listing").select("listing", F.col("address").alias("listing_value"), _address_key("address").alias("_k")).where("listing IS NOT NULL AND _k IS NOT NULL").distinct()
+    full = _evidence(dealt_join(mine, theirs, ["_k"], "landmark", per=1000, wide=True), "address", "full-normalized-current-address", "landmark_value", "listing_value")
+    blocks = written(_door_blocks(listed, "listing", F.col("address")), "doors")
+    met = doors_in_common(written(_door_blocks(current, "landmark", F.col("address")), "doors"), blocks)
+    ranges = _evidence(met.where(~F.col("landmark_key").eqNullSafe(F.col("listing_key"))), "address", "road-door-range-overlap-review", "landmark_value", "listing_value")
     asked = old.where((F.size("roads") == 1) & F.col("number").rlike(r"(?i)^\d+[a-z]?(-\d+[a-z]?)?$"))
-    hinted = doors_in_common(written(_door_blocks(asked, "landmark", F.concat(F.get("roads", 0), F.col("number"), F.lit("号")), F.col("address")), "doors"), blocks)
-    place = hinted.join(landmarks.select("landmark", "lon", "lat"), "landmark").join(listings.select("listing", F.col("lon").alias("olon"), F.col("lat").alias("olat")), "listing")
-    near = place.where(rounded(*map(F.col, ("lon", "lat", "olon", "olat"))) <= CLOSE)
+    asks = _door_blocks(asked, "landmark", F.concat(F.get("roads", 0), F.col("number"), F.lit("号"))).join(landmarks.where("lon IS NOT NULL AND lat IS NOT NULL").select("landmark", "lon", "lat"), "landmark")
+    here = blocks.join(listings.where("lon IS NOT NULL AND lat IS NOT NULL").select("listing", F.col("lon").alias("olon"), F.col("lat").alias("olat")), "listing")
+    reach = CLOSE + 0.5
+    asks = asks.withColumn("_c", F.explode(cubes_around(F.col("lon"), F.col("lat"), reach)))
+    hinted = doors_in_common(written(asks, "doors"), written(here.withColumn("_c", cube(F.col("olon"), F.col("olat"), reach)), "doors"), "_c")
+    near = hinted.where(rounded(*map(F.col, ("lon", "lat", "olon", "olat"))) <= CLOSE)
     return full.unionByName(ranges).unionByName(_evidence(near, "address", "old-road-name-and-number-coincidence-only", "landmark_value", "listing_value"))
 
 
 def source_evidence(own: DataFrame, other: DataFrame) -> DataFrame:
     """From ``own`` (landmark, url) and ``other`` (listing, url): one page on both, but for pages on everything."""
-    mine = own.select("landmark", F.col("url").alias("landmark_value"), F.regexp_replace(text.url_key(F.col("url")), "/$", "").alias("_k")).where("landmark IS NOT NULL")
-    theirs = other.select("listing", F.regexp_replace(text.url_key(F.col("url")), "/$", "").alias("_k")).where(F.col("listing").isNotNull() & ~F.col("_k").rlike(COMMON_SOURCES)).distinct()
+    mine = spread(own, "landmark").select("landmark", F.col("url").alias("landmark_value"), F.regexp_replace(text.url_key(F.col("url")), "/$", "").alias("_k")).where("landmark IS NOT NULL")
+    theirs = spread(other, "listing").select("listing", F.regexp_replace(text.url_key(F.col("url")), "/$", "").alias("_k")).where(F.col("listing").isNotNull() & ~F.col("_k").rlike(COMMON_SOURCES)).distinct()
     return _evidence(dealt_join(mine, theirs, ["_k"], "landmark"), "source", "shared-source", "landmark_value", "landmark_value")
 
 
@@ -140,18 +151,32 @@ def folded(evidence: DataFrame, neighbours: DataFrame) -> DataFrame:
         "current_only": (F.size(named) > 0) & ~F.exists(named, lambda e: e["landmark_role"] != CURRENT_ROLE)})
 
 
+def landmark_signs(landmarks: DataFrame) -> DataFrame:
+    """``landmark, lon, lat, _signs``: the hazards that a landmark bears whatever it meets."""
+    relation = lambda *names: F.arrays_overlap(F.coalesce("relations", F.array().cast("array<string>")), F.array(*map(F.lit, names)))
+    automatic = F.arrays_overlap(F.coalesce("matches", F.array().cast("array<string>")), F.array(*map(F.lit, AUTOMATIC)))
+    signs = {"method": F.col("method") != "source-point", "relocated": relation(RELOCATED), "redeveloped": relation(REDEVELOPED), "site_only": relation(*SITE_ONLY), "several": F.size("members") > 1, "held": F.col("held"), "automatic": automatic}
+    return landmarks.select("landmark", "lon", "lat", F.struct(*[F.coalesce(c, F.lit(False)).alias(n) for n, c in signs.items()]).alias("_own"))
+
+
+def listing_signs(listings: DataFrame) -> DataFrame:
+    """``listing, olon, olat, _other``: the hazards that a listing bears whatever it meets."""
+    complex_site = (F.col("components") > 1) | F.concat_ws(" ", "title", "address").rlike(COMPLEX) | F.col("title").rlike(INSTITUTION)
+    signs = {"complex": complex_site, "demolished": F.col("demolished")}
+    return spread(listings, "listing").select("listing", F.col("lon").alias("olon"), F.col("lat").alias("olat"), F.struct(*[F.coalesce(c, F.lit(False)).alias(n) for n, c in signs.items()]).alias("_other"))
+
+
 def hazards(conflict: Column) -> Column:
     """What speaks against a pair, in a fixed order."""
-    relation = lambda *names: F.arrays_overlap(F.coalesce("relations", F.array().cast("array<string>")), F.array(*map(F.lit, names)))
+    own, other = F.col("_own"), F.col("_other")
     no_evidence = (F.col("n_names") == 0) & (F.col("n_addresses") == 0) & (F.col("n_sources") == 0)
-    complex_site = (F.col("components") > 1) | F.concat_ws(" ", "title", "address").rlike(COMPLEX) | F.col("title").rlike(INSTITUTION)
     # The names of the hazards.
     rules = [
-        ("heritage-has-no-coordinate", F.col("olon").isNull() | F.col("olat").isNull()), ("landmark-polygon-reference-only", F.col("method") != "source-point"), ("relocated-institution-modern-information", relation(RELOCATED)),
-        ("same-site-rebuilt-not-same-building", relation(REDEVELOPED)), ("existing-research-proves-site-scope-only", relation(*SITE_ONLY)), ("multi-source-landmark-site", F.size("members") > 1),
-        ("campus-complex-or-component-scope", complex_site), ("persistent-current-use-hold", F.col("held")), ("existing-current-name-only-not-identity-proof", F.col("current_only")),
-        ("legacy-automatic-current-use-does-not-prove-identity", F.arrays_overlap(F.coalesce("matches", F.array().cast("array<string>")), F.array(*map(F.lit, AUTOMATIC)))), ("reviewed-pair-conflict", conflict),
-        ("coordinate-separation-over-250m", F.col("distance") > APART), ("official-demolished-flag", F.col("demolished")), ("distance-only-do-not-merge", no_evidence),
+        ("heritage-has-no-coordinate", F.col("olon").isNull() | F.col("olat").isNull()), ("landmark-polygon-reference-only", own["method"]), ("relocated-institution-modern-information", own["relocated"]),
+        ("same-site-rebuilt-not-same-building", own["redeveloped"]), ("existing-research-proves-site-scope-only", own["site_only"]), ("multi-source-landmark-site", own["several"]),
+        ("campus-complex-or-component-scope", other["complex"]), ("persistent-current-use-hold", own["held"]), ("existing-current-name-only-not-identity-proof", F.col("current_only")),
+        ("legacy-automatic-current-use-does-not-prove-identity", own["automatic"]), ("reviewed-pair-conflict", conflict),
+        ("coordinate-separation-over-250m", F.col("distance") > APART), ("official-demolished-flag", other["demolished"]), ("distance-only-do-not-merge", no_evidence),
     ]
     return F.array_compact(F.array(*[F.when(F.coalesce(rule, F.lit(False)), name) for name, rule in rules]))
 
@@ -166,9 +191,9 @@ def candidates(landmarks: DataFrame, listings: DataFrame, landmark_names: DataFr
     found = equal_names(own, other).unionByName(names_in_names(own, other, landmarks, listings))
     found = found.unionByName(address_evidence(current, old, listed, landmarks, listings)).unionByName(source_evidence(landmark_urls, listing_urls))
     points = lambda df, key, to: df.where(F.col(key).isNotNull() & F.col("lon").isNotNull() & F.col("lat").isNotNull()).select(key, F.col("lon").alias(to[0]), F.col("lat").alias(to[1]))
-    near = within_metres(points(landmarks, "landmark", ("lon", "lat")), points(listings, "listing", ("olon", "olat")), NEIGHBOURS + 0.5)
+    near = within_metres(spread(points(landmarks, "landmark", ("lon", "lat")), "landmark"), points(listings, "listing", ("olon", "olat")), NEIGHBOURS + 0.5)
     near = near.where(F.round("distance") <= NEIGHBOURS)
-    pairs = written(folded(found, near), "pairs").join(landmarks, "landmark").join(listings.withColumnsRenamed({"lon": "olon", "lat": "olat"}), "listing")
+    pairs = written(folded(found, near), "pairs").join(landmark_signs(landmarks), "landmark").join(written(listing_signs(listings), "signs"), "listing")
     pairs = pairs.withColumn("distance", rounded(*map(F.col, ("lon", "lat", "olon", "olat"))))
     told = landmarks.select("landmark", F.explode("members").alias("member")).join(conflicts, "member").select("landmark", "listing").distinct().withColumn("_conflict", F.lit(True))
     pairs = pairs.join(told, ["landmark", "listing"], "left").withColumn("hazards", hazards(F.col("_conflict")))

@@ -176,13 +176,15 @@ def collisions(df: DataFrame, key: Column, value: Column) -> DataFrame:
     return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("eligible"), F.count("*").alias("keys"), F.count_if(F.col("n") > 1).alias("shared"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"), F.count_if((F.col("n") > 1) & (F.col("v") > 1)).alias("mixed"))
 
 
-def dealt_join(left: DataFrame, right: DataFrame, keys: Sequence[str], by: str, per: int = 5000, how: str = "inner") -> DataFrame:
+def dealt_join(left: DataFrame, right: DataFrame, keys: Sequence[str], by: str, per: int = 5000, how: str = "inner", wide: bool = False) -> DataFrame:
     """``left`` and ``right`` by ``keys``, where keys with more than ``per`` rows on the left are dealt to several tasks by the hash of ``by`` and
-    their rows on the right repeated for each."""
+    their rows on the right repeated for each. ``wide`` keeps small sides on all cores: for few rows that make many pairs."""
     hot = left.groupBy(*keys).agg(F.ceil(F.count("*") / per).cast("int").alias("_parts")).where("_parts > 1")
     parts = F.coalesce("_parts", F.lit(1))
     own = left.join(hot, list(keys), "left").withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_parts")
     other = right.join(hot, list(keys), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    if wide:
+        own, other = spread(own, *keys, "_part"), spread(other, *keys, "_part")
     return own.join(other, [*keys, "_part"], how).drop("_part")
 
 

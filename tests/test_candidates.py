@@ -80,3 +80,19 @@ def test_hazards_and_rivals(run):
 
 def test_no_rows(run):
     assert run([], []) == {}
+
+
+def test_doors_meet_once_and_on_all_cores(spark):
+    """Addresses are read before the join: a pair over many blocks is one row, brings its keys, and few rows that make many pairs are still dealt."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sides = []
+        for key, numbers in (("landmark", ["3-90", "200", "41-47"]), ("listing", ["1-100", "41-43", "300"])):
+            rows = spark.createDataFrame([(f"{key[:2]}{i}", f"南京东路{n}号") for i, n in enumerate(numbers)] * 2, f"{key} string, address string")
+            sides.append(candidates._door_blocks(rows, key, F.col("address")))
+        met = candidates.doors_in_common(*sides)
+        got = sorted((r["landmark"], r["listing"], r["landmark_key"]) for r in met.collect())
+        assert met.rdd.getNumPartitions() >= 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [("la0", "li0", "南京东路3-90号"), ("la0", "li1", "南京东路3-90号"), ("la2", "li0", "南京东路41-47号"), ("la2", "li1", "南京东路41-47号")]
