@@ -60,7 +60,8 @@ LISTS = {
 def _order_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A page with one table for each order, and rows that may lack their last cell. A code spans the lines with its flag; some tables have
     other headers, codes that are blank or reach too far, or a row cut short."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.sum("l_quantity").cast("long").alias("qty"))
+    dealt = table(spark, sf_dir, "lineitem").repartition("l_orderkey")  # once for both counts and the join
+    lines = dealt.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.sum("l_quantity").cast("long").alias("qty"))
     lists = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("flag", "l_linenumber", "qty"))).alias("lines"))
     held = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").join(lists, "o_orderkey")
     k, n = F.col("o_orderkey"), F.size("lines")
@@ -81,8 +82,8 @@ def _order_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 def _order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, short = _order_pages(spark, sf_dir)
-    batches = pages.select("o_orderkey", F.lit(0).alias("table"), "batch")
-    return contracts.contract_rows(html.table_cells(pages, "o_orderkey", "page"), "o_orderkey", batches, LISTS, short)
+    batches = table(spark, sf_dir, "orders").select("o_orderkey", F.lit(0).alias("table"), F.col("o_orderstatus").alias("batch"))
+    return contracts.contract_tables(html.page_tables(pages, "o_orderkey", "page"), "o_orderkey", batches, LISTS, short)
 
 
 ROWS = """

@@ -6,6 +6,7 @@ from html.entities import name2codepoint
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,3 +126,34 @@ def table_cells(pages: DataFrame, key: str, html: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=[key, *CELL])
 
     return pages.select(key, html).mapInPandas(run, ", ".join(f"{c} {t}" for c, t in {key: kind, **CELL}.items()))
+
+
+PLACE = {"col": pa.int32(), "origin": pa.bool_(), "text": pa.string(), "from_row": pa.int32(), "links": pa.list_(pa.string()), "images": pa.list_(pa.string())}
+GRID = pa.list_(pa.struct([("row", pa.int32()), ("cells", pa.list_(pa.struct(list(PLACE.items()))))]))
+
+
+def page_tables(pages: DataFrame, key: str, html: str, at_once: int = 256) -> DataFrame:
+    """``key, table, n_rows, clash, grid``: each table of a page (one row for a key) as one row that holds the cells of ``table_cells`` by
+    row and column, so what is asked of whole tables needs no shuffle."""
+    kind = dict(pages.dtypes)[key]
+
+    def tables(page: str):
+        out: dict[int, dict] = {}
+        for table, row, col, _, origin, text, from_row, rows, clash, links, images in grid(page):
+            own = out.setdefault(table, {"n_rows": rows, "clash": False, "grid": {}})
+            own["clash"] |= clash
+            own["grid"].setdefault(row, []).append((col, origin, text, from_row, links, images))
+        for table, own in sorted(out.items()):
+            yield table, own["n_rows"], own["clash"], [{"row": r, "cells": [dict(zip(PLACE, c, strict=True)) for c in sorted(cells, key=lambda c: c[0])]} for r, cells in sorted(own["grid"].items())]
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, at_once):
+                part = batch.slice(i, at_once)
+                rows = [(j, *t) for j, page in enumerate(part.column(html).to_pylist()) for t in tables(page)]
+                at, table, n, clash, held = zip(*rows, strict=True) if rows else ([],) * 5
+                kinds = (pa.int32(), pa.int32(), pa.bool_(), GRID)
+                yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(at, pa.int32())), *[pa.array(v, k) for v, k in zip((table, n, clash, held), kinds, strict=True)]], [key, "table", "n_rows", "clash", "grid"])
+
+    cells = "array<struct<col:int,origin:boolean,text:string,from_row:int,links:array<string>,images:array<string>>>"
+    return pages.select(key, html).mapInArrow(run, f"{key} {kind}, table int, n_rows int, clash boolean, grid array<struct<row:int,cells:{cells}>>")
