@@ -162,14 +162,15 @@ def planned_changes(before: DataFrame, after: DataFrame, plans: DataFrame, key:
     plan = plans.select(F.col(key).alias("_k"), F.col("field").alias("_f"), F.col("value").alias("_v")).distinct()
     ids = before.select(key, F.lit(1).alias("b"), F.lit(0).alias("a")).unionByName(after.select(key, F.lit(0).alias("b"), F.lit(1).alias("a"))).groupBy(key).agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
     moved = _told(ids.where("a = 0 OR b = 0"), "key-removed-or-added", key, F.when(F.col("a") == 0, "removed").otherwise("added"))
-    both = ids.where("a > 0 AND b > 0").select(key)
-    own = changed.join(both, key, "left_semi")
+    own = changed.where("change = 'changed'").drop("change")  # only keys that both versions have bear it
     shielded = _told(own.where(F.col("field").isin(*protected)), "protected-field-changed", key, F.col("field"))
     targeted = plan.select(F.col("_k").alias(key)).distinct().withColumn("_t", F.lit(True))
     extra = own.join(plan.select(F.col("_k").alias(key), F.col("_f").alias("field")), [key, "field"], "left_anti").join(targeted, key, "left")
     extra = _told(extra.where(F.col("_t").isNotNull()), "unplanned-change", key, F.col("field")).unionByName(_told(extra.where(F.col("_t").isNull()), "untargeted-record-changed", key, F.col("field")))
-    present = after.select(key, F.inline(F.array(*[F.struct(F.lit(f).alias("_f"), F.col(f).cast("string").alias("_now")) for f in fields])))
-    missed = plan.withColumnRenamed("_k", key).join(present, [key, "_f"], "left").where(~F.col("_now").eqNullSafe(F.col("_v")))
+    # A plan picks its field after the join by key: written out by field, the table would be sorted as many times over.
+    present = after.select(F.col(key).alias("_at"), *[F.col(f).cast("string").alias(f"_now_{i}") for i, f in enumerate(fields)])
+    now = F.coalesce(*[F.when(F.col("_f") == f, F.col(f"_now_{i}")) for i, f in enumerate(fields)])
+    missed = plan.withColumnRenamed("_k", key).join(present, (F.col(key) == F.col("_at")) & F.col("_f").isin(*fields), "left").where(~now.eqNullSafe(F.col("_v")))
     return all_of(moved, shielded, extra, _told(missed, "plan-not-applied", key, F.col("_f")))
 
 

@@ -77,3 +77,13 @@ def test_changes_against_a_plan(spark):
     got = sorted((r["rule"], r["key"], r["detail"]) for r in reviewed.planned_changes(before, after, plans, "id", ["name", "n"], ["n"]).collect())
     assert got == [("key-removed-or-added", "4", "removed"), ("key-removed-or-added", "5", "added"), ("plan-not-applied", "2", "name"), ("protected-field-changed", "2", "n"), ("protected-field-changed", "3", "n"), ("unplanned-change", "2", "n"), ("untargeted-record-changed", "3", "n")]
     assert reviewed.planned_changes(before, before, plans.limit(0), "id", ["name", "n"], ["n"]).count() == 0
+
+
+def test_planned_changes_sort_no_table_twice(spark):
+    """A changed field says by itself that both versions have its key, and a plan picks its field after the join."""
+    before = spark.createDataFrame([(1, "a", 1), (2, "b", 2), (None, "n", 3)], "id int, name string, n int")
+    after = spark.createDataFrame([(1, "c", 1), (3, "d", 2), (None, "m", 3)], "id int, name string, n int")
+    plans = spark.createDataFrame([(1, "name", "c"), (1, "other", "x"), (1, "other", None), (2, "n", "2")], "id int, field string, value string")
+    told = reviewed.planned_changes(before, after, plans, "id", ["name", "n"], ["n"])
+    assert sorted((r["rule"], r["key"] or "", r["detail"]) for r in told.collect()) == [("key-removed-or-added", "2", "removed"), ("key-removed-or-added", "3", "added"), ("plan-not-applied", "1", "other"), ("plan-not-applied", "2", "n")]
+    assert "LeftSemi" not in told._jdf.queryExecution().optimizedPlan().toString()
