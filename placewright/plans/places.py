@@ -138,9 +138,7 @@ m AS (SELECT a.vec_id AS id, b.vec_id AS other, sqrt(pow(a.x - b.x, 2) + pow(a.y
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS rank FROM m WHERE distance <= 0.02) SELECT id, other, rank::INT AS rank, round(distance, 9) AS distance FROM r WHERE rank <= 12""")
 def radius_join_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), part(0).alias("x"), part(1).alias("y"))
-    other = own.select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    met = spatial.within(own, other, 0.02, 0.02).where("id <> other")
-    return spatial.ranked(met, 12).select("id", "other", "rank", F.round("distance", 9).alias("distance"))
+    return spatial.nearest_others(own, 0.02, 0.02, 12).select("id", "other", "rank", F.round("distance", 9).alias("distance"))
 
 
 @query(f"""

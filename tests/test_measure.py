@@ -135,3 +135,20 @@ def test_ties_at_a_shared_vertex_go_as_in_sql(spark):
         want[i] = min(best)[::-1]
     got = measure.nearest_edges(spark.createDataFrame(points, "id int, lon double, lat double"), measure.edges_of(spark.createDataFrame(shapes, SHAPE)), 100.0)
     assert {r["id"]: (r["geometry"], r["distance"]) for r in got.collect()} == want
+
+
+def test_nearest_others_compare_a_place_once(spark):
+    """Copies of a point are one place until the nearest are known; results are those of all pairs."""
+    import math
+    import random
+
+    from placewright.operators import spatial
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice([0.0, 0.005, 0.01, 0.5]), rng.choice([0.0, -0.0, 0.012])) for i in range(120)] + [(200, None, 0.0), (201, 0.3, 0.3)]
+    got = sorted((r["id"], r["other"], r["rank"], r["distance"]) for r in spatial.nearest_others(spark.createDataFrame(rows, "id int, x double, y double"), 0.02, 0.02, 3).collect())
+    want = []
+    for i, x, y in rows:
+        near = sorted((math.sqrt((x - a) ** 2 + (y - b) ** 2), j) for j, a, b in rows if j != i and None not in (x, a) and math.sqrt((x - a) ** 2 + (y - b) ** 2) <= 0.02) if x is not None else []
+        want += [(i, j, n + 1, d) for n, (d, j) in enumerate(near[:3])]
+    assert [g[:3] for g in got] == [w[:3] for w in sorted(want)] and all(abs(g[3] - w[3]) < 1e-12 for g, w in zip(got, sorted(want), strict=True))
