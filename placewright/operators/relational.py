@@ -180,6 +180,7 @@ def dealt_join(left: DataFrame, right: DataFrame, keys: Sequence[str], by: str,
     """``left`` and ``right`` by ``keys``, where keys with more than ``per`` rows on the left are dealt to several tasks by the hash of ``by`` and
     their rows on the right repeated for each. ``wide`` keeps small sides on all cores: for few rows that make many pairs."""
     hot = left.groupBy(*keys).agg(F.ceil(F.count("*") / per).cast("int").alias("_parts")).where("_parts > 1")
+    hot = F.broadcast(hot)  # one row for each ``per`` rows at most; else this join would bring a hot key to one task
     parts = F.coalesce("_parts", F.lit(1))
     own = left.join(hot, list(keys), "left").withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_parts")
     other = right.join(hot, list(keys), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")

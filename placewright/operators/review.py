@@ -62,15 +62,17 @@ def approval(groups: DataFrame, group: str, member: str, approved: DataFrame) ->
 
 def substring_pairs(left: DataFrame, right: DataFrame, least: int = 4, ratio: float = 0.48) -> DataFrame:
     """``id, other`` of ``left`` (id, name) whose name stands in one of ``right`` (other, name), from ``least`` characters and that ratio of
-    lengths on. Names meet by grams: the shorter one's rarest gram must stand in the longer one, so common grams make few pairs."""
+    lengths on. Names meet by grams: the shorter one's rarest gram must stand in the longer one, so common grams make few pairs. Equal names of
+    ``right`` are one until the pairs are known, and their rows come in dealt."""
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - least + 1), lambda i: F.substring(c, i, F.lit(least))))
     long_enough = F.length("name") >= least
-    held = right.where(long_enough).select("other", F.col("name").alias("other_name"), F.explode(grams(F.col("name"))).alias("gram"))
+    named = right.where(long_enough).select("other", F.col("name").alias("other_name"))
+    held = named.select("other_name").distinct().withColumn("gram", F.explode(grams(F.col("other_name"))))
     often = held.groupBy("gram").agg(F.count("*").alias("often"))
     own = left.where(long_enough).select("id", "name", F.explode(grams(F.col("name"))).alias("gram")).join(often, "gram", "left")
     probe = own.groupBy("id", "name").agg(F.min_by("gram", F.struct(F.coalesce("often", F.lit(0)), "gram")).alias("gram"))
-    met = dealt_join(held, probe, ["gram"], "other").where(F.contains("other_name", "name") & (F.length("name") >= ratio * F.length("other_name")))
-    return met.select("id", "other").distinct()
+    met = dealt_join(held, probe, ["gram"], "other_name").where(F.contains("other_name", "name") & (F.length("name") >= ratio * F.length("other_name")))
+    return dealt_join(named, met.select("id", "other_name").distinct(), ["other_name"], "other").select("id", "other").distinct()
 
 
 def looked_up_once(df: DataFrame, probe: str, lookup) -> DataFrame:

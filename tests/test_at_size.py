@@ -152,3 +152,12 @@ def test_spellings_are_compared_once(spark):
 def test_a_small_file_with_many_pairs_is_dealt(spark, sf_dir):
     made = catalogue.QUERIES["candidate_classification"](spark, sf_dir)
     assert made.rdd.getNumPartitions() >= 4
+
+
+def test_equal_names_are_cut_once(spark):
+    """Grams are cut from each name once, however many rows bear it, and every row gets its links."""
+    left = spark.createDataFrame([("A", "bank"), ("B", "mill"), ("C", "ban")], "id string, name string")
+    right = spark.createDataFrame([(i, "bank co" if i % 2 else "bank of a far land") for i in range(50)] + [(99, None)], "other int, name string")
+    made = review.substring_pairs(left, right)
+    assert sorted(map(tuple, made.collect())) == [("A", i) for i in range(1, 50, 2)]
+    assert "Aggregate [other_name" in made._jdf.queryExecution().optimizedPlan().toString()
