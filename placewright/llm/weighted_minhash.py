@@ -19,9 +19,10 @@ Groups are classes of documents joined by links of at least ``threshold``. No pa
 2. in each band bucket the most central text leads. Every text is compared with one leader, the one of its buckets' whose
    samples agree best, so its text is fetched once;
 3. what is still apart from others in its buckets is compared pair by pair, where masses and samples let a pair reach
-   ``threshold``. In crowded buckets shingles that no other remaining text has are found first: they can't be shared. What is left
+   ``threshold``. Shingles that no other remaining text has are found first: they can't be shared. What is left
    of each text is added up in ``CLASSES`` hash classes of shingles; two texts share at most the lesser sum of each class, and
-   pairs that this bound leaves below the threshold are not compared.
+   pairs that this bound leaves below the threshold are not compared. Every remaining text is bounded so, however large its
+   buckets: the work is a share of the input, not of what passes some size of bucket.
 
 Any candidate pair is in one class at last or was judged itself. Buckets, groups and leaders that many rows share are dealt to
 blocks (``block_counts``), so no task gets a whole crowd.
@@ -55,9 +56,7 @@ STEPS = 1 << 12
 BLOCK = 512
 #: Sums of weights may differ so much in their last digits, so bounds give way by it.
 SLACK = 1e-6
-#: Texts of a bucket from which on it is worth while to look for shingles of their own before pairs are made.
-CROWD = 64
-#: Hash classes of shingles in which a crowded bucket's texts are bounded.
+#: Hash classes of shingles in which texts are bounded before pairs are made.
 CLASSES = 32
 
 
@@ -249,8 +248,9 @@ def signatures(docs: DataFrame, table, size: int, bands: int, rows: int) -> Data
 
 def shared_room(texts: DataFrame, table, size: int) -> DataFrame:
     """``b, rooms`` of each of ``texts`` (doc_id, text): the weight of the shingles that another one has too, in CLASSES hash
-    classes. All aggregations combine before they shuffle, so a shingle of all texts is as cheap as any other."""
-    rows = 1 << 18
+    classes. A text's shingles are rows once, to find those that it has alone; its sums are one row. All aggregations combine
+    before they shuffle, so a shingle of all texts is as cheap as any other."""
+    rows, names = 1 << 18, [f"r{i}" for i in range(CLASSES)]
 
     def run(batches):
         cut, weight = Shingler(size), table.value
@@ -270,11 +270,23 @@ def shared_room(texts: DataFrame, table, size: int) -> DataFrame:
         if held:
             yield out()
 
-    every = texts.select("doc_id", "text").mapInArrow(run, "shingle long, b long, weight double")
-    alone = every.groupBy("shingle").agg(F.count("*").alias("n"), F.min("b").alias("b"), F.min("weight").alias("weight")).where("n = 1").select("b", "shingle", (-F.col("weight")).alias("weight"))
+    def add(batches):
+        cut, weight = Shingler(size), table.value
+        for batch in batches:
+            sums = np.zeros((CLASSES, batch.num_rows))
+            for i, text in enumerate(utf8(batch.column("text"))):
+                shingles, times, _ = cut(text)
+                sums[:, i] = np.bincount(shingles.view(np.int64) % CLASSES, weighed(shingles, times, weight), CLASSES)
+            made = pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, sums)], ["b", *names])
+            yield made.filter(pa.array(sums.any(axis=0)))  # texts that have shingles
+
+    texts = texts.select("doc_id", "text")
+    every = texts.mapInArrow(run, "shingle long, b long, weight double")
+    alone = every.groupBy("shingle").agg(F.count("*").alias("n"), F.min("b").alias("b"), F.min("weight").alias("weight")).where("n = 1")
     own = F.pmod("shingle", F.lit(CLASSES))
-    sums = every.select("b", "shingle", "weight").unionByName(alone).groupBy("b").agg(*[F.sum(F.when(own == i, F.col("weight")).otherwise(0.0)).alias(f"r{i}") for i in range(CLASSES)])
-    return sums.select("b", F.array(*[f"r{i}" for i in range(CLASSES)]).alias("rooms"))
+    less = alone.select("b", *[F.when(own == i, -F.col("weight")).otherwise(0.0).alias(r) for i, r in enumerate(names)])
+    sums = texts.mapInArrow(add, "b long, " + ", ".join(f"{r} double" for r in names)).unionByName(less).groupBy("b").agg(*[F.sum(r).alias(r) for r in names])
+    return sums.select("b", F.array(*names).alias("rooms"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, table, size: int, threshold: float) -> DataFrame:
@@ -396,18 +408,17 @@ def apart_pairs(members: DataFrame, known: DataFrame, sizes: DataFrame, total: i
     flat = named.select("b", "central", "mass", *alike.codes, "own", "keys", F.explode("keys").alias("key"))
     mixed = flat.groupBy("key").agg(F.max_by("own", F.struct("central", -F.col("b"))).alias("main"), F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "main", "n")
     mixed = staged(mixed, "mixed")
-    rest = staged(block_join(flat.drop("central"), mixed.withColumn("crowd", F.col("n") > CROWD).drop("n"), "key", "b", block_counts(mixed, "key", total)), "rest")
-    # All texts of crowded buckets are looked at together, so what one has alone can't be shared with another one there.
-    room = shared(rest.where("crowd").select(F.col("b").alias("doc_id")).distinct())
-    near = rest.join(room, "b", "left").withColumn("rooms", F.when(F.col("crowd"), F.col("rooms"))).drop("crowd")
+    rest = staged(block_join(flat.drop("central"), mixed.drop("n"), "key", "b", block_counts(mixed, "key", total)), "rest")
+    # All texts of these buckets are looked at together, so what one has alone can't be shared with another one there.
     left = F.aggregate("rooms", F.lit(0.0), lambda x, y: x + y)
-    near = staged(near.where(F.col("rooms").isNull() | (left >= (alike.threshold - SLACK) * F.col("mass"))), "near")
+    room = shared(rest.select(F.col("b").alias("doc_id")).distinct())
+    near = staged(rest.join(room, "b").where(left >= (alike.threshold - SLACK) * F.col("mass")), "near")
     # One side of each pair is outside its bucket's main class; of two such texts the lesser one asks.
     ask = near.where("own <> main").select("key", F.col("b").alias("a"), F.col("own").alias("a_own"), F.col("rooms").alias("a_rooms"), F.col("keys").alias("a_keys"), *alike.named("a_"))
     asks = ask.groupBy("key").agg(F.count("*").alias("n"))
     met = block_join(ask, near, "key", "a", block_counts(asks, "key", total, per=256))
     both = F.aggregate(F.zip_with("rooms", "a_rooms", lambda x, y: F.least(x, y)), F.lit(0.0), lambda x, y: x + y)
-    reach = F.coalesce(both * (1 + alike.threshold) >= (alike.threshold - SLACK) * (F.col("mass") + F.col("a_mass")), F.lit(True))
+    reach = both * (1 + alike.threshold) >= (alike.threshold - SLACK) * (F.col("mass") + F.col("a_mass"))
     once = F.array_intersect("a_keys", "keys")[0] == F.col("key")  # in the first bucket that both share
     met = met.where("own <> a_own AND (own = main OR a < b)").where(alike.possible("a_")).where(once).where(reach)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -98,6 +98,22 @@ def test_room_is_what_another_text_has_too(spark):
     assert got == {1: 2.0, 2: 2.0, 3: 0.0}
 
 
+def test_texts_are_bounded_in_buckets_of_any_size(spark):
+    """The texts whose shingles are looked at grow with the rows, not from some size of bucket on, and the bound holds in all."""
+    alike, seen = W.Alike(0.8, ["code0"], 0), []
+
+    def shared(ids):
+        seen.append(ids.count())
+        return ids.selectExpr("doc_id AS b", "array(if(doc_id < 2, 1.0D, 0.5D)) AS rooms")
+
+    for n in (20, 200):
+        members = spark.createDataFrame([(i, n, 1.0, 0, [1]) for i in range(n)], "b long, central long, mass double, code0 long, keys array<long>")
+        sizes = spark.createDataFrame([(1, n)], "key long, n long")
+        pairs = W.apart_pairs(members, spark.createDataFrame([], "id long, least long"), sizes, n, alike, shared)
+        assert [tuple(r) for r in pairs.collect()] == [(0, 1)]
+    assert seen == [20, 200]
+
+
 def test_weights_follow_shares_of_documents(spark):
     """Frequencies from the sketch against counts of the shingles themselves, and the same shares at any size."""
     rng = random.Random(3)
