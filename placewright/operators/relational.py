@@ -178,17 +178,26 @@ def collisions(df: DataFrame, key: Column, value: Column) -> DataFrame:
 
 def dealt_join(left: DataFrame, right: DataFrame, keys: Sequence[str], by: str, per: int = 5000, how: str = "inner", wide: bool = False) -> DataFrame:
     """``left`` and ``right`` by ``keys``, where keys with more than ``per`` rows on the left are dealt to several tasks by the hash of ``by`` and
-    their rows on the right repeated for each. ``wide`` keeps small sides on all cores: for few rows that make many pairs."""
+    their rows on the right repeated for each. ``wide`` keeps small sides on all cores, for few rows that make many pairs, and no side is broadcast, for
+    sides whose compressed files say little about their size."""
     hot = left.groupBy(*keys).agg(F.ceil(F.count("*") / per).cast("int").alias("_parts")).where("_parts > 1")
     hot = F.broadcast(hot)  # one row for each ``per`` rows at most; else this join would bring a hot key to one task
     parts = F.coalesce("_parts", F.lit(1))
     own = left.join(hot, list(keys), "left").withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_parts")
     other = right.join(hot, list(keys), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
     if wide:
-        own, other = spread(own, *keys, "_part"), spread(other, *keys, "_part")
+        own, other = spread(own, *keys, "_part"), spread(other, *keys, "_part").hint("merge")
     return own.join(other, [*keys, "_part"], how).drop("_part")
 
 
+def in_blocks(df: DataFrame, keys: Sequence[str], by: str, per: int, name: str = "_at") -> DataFrame:
+    """``df`` with ``name``, the block of its key that a row is in by the hash of ``by``: some ``per`` rows at most, so a block of a key can be one array, and
+    two of them one row of a join that only becomes pairs where it is read."""
+    many = df.groupBy(*keys).agg(F.ceil(F.count("*") / per).cast("int").alias("_parts")).where("_parts > 1")
+    told = df.join(F.broadcast(many), list(keys), "left")  # one row for each ``per`` rows at most
+    return told.withColumn(name, F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+
+
 def spread(df: DataFrame, *by: str) -> DataFrame:
     """``df`` dealt to as many tasks as there are cores or shuffle partitions, by the hash of ``by``: for small files whose rows make much work."""
     spark = df.sparkSession

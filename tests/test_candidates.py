@@ -96,3 +96,28 @@ def test_doors_meet_once_and_on_all_cores(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == [("la0", "li0", "南京东路3-90号"), ("la0", "li1", "南京东路3-90号"), ("la2", "li0", "南京东路41-47号"), ("la2", "li1", "南京东路41-47号")]
+
+
+def test_places_of_one_address_meet_in_blocks(spark, monkeypatch):
+    """Pairs that only an address makes are not shuffled or written, each comes once, and one that is known by more has all of its evidence."""
+    monkeypatch.setattr(candidates, "BLOCK", 4)
+    make = lambda rows, schema: spark.createDataFrame(list(rows), schema)
+    places = [landmark(f"l{i}", lon=121.0 + 0.01 * (i % 2), members=[i]) for i in range(30)]
+    others = [listing(f"h{i}", lon=None if i % 5 == 0 else 121.0001, components=1 + (i % 7 == 0)) for i in range(25)]
+    current = [(f"l{i}", a) for i in range(30) for a in (["上海市南京东路7号"] if i % 3 else ["南京东路7号", "福州路2号"])]
+    addresses = [(f"h{i}", "南京东路5-8号" if i % 2 else "福州路2号") for i in range(25)]
+    found = candidates.candidates(
+        make(places, LANDMARKS), make(others, LISTINGS), make([("l3", "甲乙大楼", "old"), ("l1", "丙丁大楼", "old")], "landmark string, name string, role string"), make([("h4", "甲乙大楼", "official-original-name"), ("h7", "丙丁大楼", "official-original-name")], "listing string, name string, role string"),
+        make(current, "landmark string, address string"), make([], "landmark string, address string, number string, roads array<string>"), make(addresses, "listing string, address string"), make([], "landmark string, url string"), make([], "listing string, url string"), make([(5, "h9"), (4, "h2")], "member long, listing string"))
+    rows = found.collect()
+    got = {(r["landmark"], r["listing"]): r for r in rows}
+    assert len(got) == len(rows)
+    by_address = {(f"l{i}", f"h{j}") for i in range(30) for j in range(25) if j % 2 or i % 3 == 0}
+    near = {(f"l{i}", f"h{j}") for i in range(0, 30, 2) for j in range(25) if j % 5}
+    assert set(got) == by_address | near
+    assert all((r["n_addresses"] > 0) == (k in by_address) for k, r in got.items())
+    assert [sorted(e["match"] for e in got[k]["evidence"]) for k in (("l3", "h4"), ("l1", "h7"), ("l6", "h2"))] == [["full-normalized-current-address", "normalized-exact"], ["normalized-exact", "road-door-range-overlap-review"], ["full-normalized-current-address"]]
+    assert got["l1", "h3"]["hazards"] == ["coordinate-separation-over-250m"] and got["l1", "h5"]["hazards"] == ["heritage-has-no-coordinate"] and got["l1", "h21"]["hazards"] == ["campus-complex-or-component-scope", "coordinate-separation-over-250m"]
+    assert "reviewed-pair-conflict" in got["l5", "h9"]["hazards"] and got["l1", "h7"]["class"] == "name-match-location-conflict"
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate inline(_hs" in plan.split("\n+- ")[1].split("Join")[0]  # the union's second side: from blocks to rows without a join
