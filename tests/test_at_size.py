@@ -193,3 +193,10 @@ def test_rows_alike_pair_as_arrays(spark, monkeypatch):
         assert sorted((int(r["left"]), int(r["right"]), r["rank"], round(r["distance"], 6)) for r in got) == want
         if places is alone:
             assert "Aggregate [left" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_blocks_are_made_last(spark, sf_dir):
+    """Nothing that grows with the pairs is joined, broadcast or shuffled."""
+    made = catalogue.QUERIES["candidate_classification"](spark, sf_dir)
+    assert "Generate inline(_suppliers" in made._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert made.count() == made.select("p_partkey", "s_suppkey").distinct().count() > 0
