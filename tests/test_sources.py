@@ -1,11 +1,12 @@
 """Scans, sinks and feeds on small files."""
 
 import json
+import random
 import struct
 
 from pyspark.sql import functions as F
 
-from placewright.sources import records, sinks
+from placewright.sources import html, records, sinks
 from placewright.streaming import feeds
 
 
@@ -88,3 +89,17 @@ def test_shapefile_parts_and_deleted_rows(spark, tmp_path):
         assert "argument" in str(e)
     else:
         raise AssertionError("surplus shapes were cut off")
+
+
+def test_plain_pages_need_no_parser(monkeypatch):
+    """Plain markup is read without the parser and alike; anything else is still parsed."""
+    rng = random.Random(3)
+    plain = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", '<th rowspan="2">', '<TD COLSPAN="3" class="x">', '<td colspan="2" rowspan=" 2 ">', "</th>", "a", " b  c\n", "<br>", "</p>", "</LI>", '<a href="/x?1">', '<a href="">', "</a>", '<img src="q" alt="r">', "<tr>", "<td>", "x"]
+    odd = ["&amp;", "&", "<", "<!-- <td> -->", "<script>", "</script>", "<br/>", "<td", "<img src=w>", "<title>", "</title>", '<td a="<">', '</td x="1">', "<td rowspan>", "<3"]
+    pages = ["".join(rng.choice(plain + (odd if i % 3 == 0 else [])) for _ in range(rng.randrange(25))) for i in range(3000)]
+    fast = [html.grid(p) for p in pages]
+    with monkeypatch.context() as m:
+        m.setattr(html, "_plain_cells", lambda page: None)
+        assert fast == [html.grid(p) for p in pages]
+    monkeypatch.setattr(html, "_Cells", None)
+    assert [html.grid(p) for p in pages[1::3]] == fast[1::3]
