@@ -103,3 +103,10 @@ def test_plain_pages_need_no_parser(monkeypatch):
         assert fast == [html.grid(p) for p in pages]
     monkeypatch.setattr(html, "_Cells", None)
     assert [html.grid(p) for p in pages[1::3]] == fast[1::3]
+
+
+def test_pages_of_contracts_are_plain(spark, sf_dir):
+    from placewright.plans import scans
+
+    pages, _ = scans._order_pages(spark, sf_dir)
+    assert all(html._plain_cells(r["page"]) is not None for r in pages.select("page").collect())
